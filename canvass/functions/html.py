@@ -72,14 +72,16 @@ def hrefs(clean) -> Column:
     return F.transform(raw, lambda v: decode_entities(unquote(v)))
 
 
+def first_match(href_array, patterns) -> Column:
+    """First element matching any pattern (case-insensitive search), or null."""
+    rx = "(?iU)" + "|".join(patterns)
+    return F.get(F.filter(_c(href_array), lambda h: h.rlike(rx)), 0)
+
+
 def social_links(href_array) -> dict[str, Column]:
     """First href per platform (document order), given a scheme; else ''."""
-    out = {}
-    for name, pats in SOCIAL_PATTERNS.items():
-        rx = "(?iU)" + "|".join(pats)
-        first = F.get(F.filter(_c(href_array), lambda h: h.rlike(rx)), 0)
-        out[name] = F.coalesce(link_with_scheme(first), F.lit(""))
-    return out
+    return {name: F.coalesce(link_with_scheme(first_match(href_array, pats)), F.lit(""))
+            for name, pats in SOCIAL_PATTERNS.items()}
 
 
 def page_title(clean) -> Column:
@@ -119,23 +121,40 @@ def failure_brief(reason) -> Column:
     return F.concat(F.lit("Could not fetch: "), _c(reason))
 
 
-def page_features(pages, url_col: str = "url", html_col: str = "html"):
+def page_features(pages, url_col: str = "url", html_col: str = "html", keep=()):
     """Per-page extraction: url, 4 social links, title, description.
 
-    A narrow projection (no shuffle).  The cleaned page and the href array
-    are computed once in their own projection; the raw HTML is dropped
-    immediately so that it never reaches a shuffle.
+    A narrow projection chain (no shuffle).  Each regular expression that
+    scans the whole page runs once per page in its own projection (the
+    optimizer does not inline a non-trivial expression that is used twice);
+    the raw HTML is dropped right after cleaning so it never reaches a
+    shuffle.
     """
-    staged = pages.select(
-        F.col(url_col).alias("url"),
-        clean_html(F.col(html_col)).alias("_clean"),
-        *[c for c in pages.columns if c == "status"],
-    ).select("*", hrefs("_clean").alias("_hrefs"))
-    links = social_links("_hrefs")
-    return staged.select(
-        "url",
-        *[c for c in staged.columns if c == "status"],
-        *[v.alias(k) for k, v in links.items()],
-        page_title("_clean").alias("title"),
-        page_description("_clean").alias("description"),
-    )
+    passthrough = [c for c in pages.columns if c == "status" or c in keep]
+    s1 = pages.select(F.col(url_col).alias("url"), *passthrough,
+                      clean_html(F.col(html_col)).alias("_clean"))
+    s2 = s1.select(
+        "url", *passthrough,
+        hrefs("_clean").alias("_hrefs"),
+        F.regexp_extract("_clean", _TITLE_RE, 1).alias("_title"),
+        F.regexp_extract("_clean", _META_DESC_RE, 1).alias("_meta_tag"),
+        F.regexp_extract("_clean", _FIRST_P_RE, 1).alias("_p_body"))
+    firsts = {name: first_match(F.col("_hrefs"), pats) for name, pats in SOCIAL_PATTERNS.items()}
+    s3 = s2.select(
+        "url", *passthrough,
+        *[v.alias("_first_" + k) for k, v in firsts.items()],
+        strip(decode_entities(F.col("_title"))).alias("title"),
+        F.regexp_extract("_meta_tag", _CONTENT_RE, 1).alias("_content"),
+        "_p_body")
+    s4 = s3.select(
+        "url", *passthrough,
+        *[F.coalesce(link_with_scheme(F.col("_first_" + k)), F.lit("")).alias(k)
+          for k in SOCIAL_PATTERNS],
+        "title",
+        strip(decode_entities(unquote("_content"))).alias("_meta"),
+        "_p_body")
+    return s4.select(
+        "url", *passthrough, *SOCIAL_PATTERNS.keys(), "title",
+        F.when(F.col("_meta") != "", F.col("_meta")).otherwise(
+            F.substring(strip(decode_entities(F.regexp_replace("_p_body", r"(?s)<[^>]*>", ""))),
+                        1, 300)).alias("description"))

@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from ..functions.html import brief, page_features
+from ..functions.text import miles_to_metres
+from ..operators.append import append_new, append_summary
+from ..operators.search import search_many, search_places, within_radius_many
 from .enrich import enrich_leads, enrich_reviews, enrich_summary, errors_of, with_plan_state
+from .web import enrich_web
 
 LEAD_OUT = ["row_id", "company_name", "company_address", "company_phone", "website",
             "rating", "review_count", "maps_url"]
@@ -48,10 +53,112 @@ def review_lookup(spark: SparkSession, sf: str) -> DataFrame:
         "row_id", "company_name", "rating", "review_count")
 
 
+# --- search ---------------------------------------------------------------
+
+SEARCH_QUERIES_SQL = """
+SELECT DISTINCT lower(c.c_mktsegment) || ' ' || r.r_name AS query_id,
+                lower(c.c_mktsegment) || ' ' || r.r_name AS query
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+CENTRES_SQL = """
+SELECT n_nationkey AS centre_id, CAST(-55 + 4.5 * n_nationkey AS DOUBLE) AS lat,
+       CAST(-160 + 13 * n_nationkey AS DOUBLE) AS lng FROM nation
+"""
+SINGLE_QUERY = "building machinery america"
+SINGLE_CENTRE = (30.2672, -97.7431)
+SINGLE_RADIUS_MILES = 1000
+RADIUS_M = 800000.0
+
+
+def search_text_topn(spark, sf):
+    places = _places(spark, sf)
+    qs = fx.fixture(spark, sf, SEARCH_QUERIES_SQL)
+    res = search_many(places, qs, max_results=20, payload=("name",))
+    return res.select("query_id", "rank", "place_id", "score", "review_count", "name")
+
+
+def search_single(spark, sf):
+    res = search_places(_places(spark, sf), SINGLE_QUERY, max_results=20,
+                        location=SINGLE_CENTRE, radius_m=miles_to_metres(SINGLE_RADIUS_MILES))
+    return res.select("place_id", "name", "score", "review_count",
+                      F.round("distance_m").cast("bigint").alias("distance_m"))
+
+
+def search_radius(spark, sf):
+    res = within_radius_many(_places(spark, sf), fx.fixture(spark, sf, CENTRES_SQL), RADIUS_M)
+    return res.select("centre_id", "place_id",
+                      F.round("distance_m").cast("bigint").alias("distance_m"))
+
+
+# --- append ---------------------------------------------------------------
+
+APPEND_OUT = ["row_id", "company_name", "company_address", "maps_url", "company_phone",
+              "website", "rating", "review_count"]
+
+
+def append_by_url(spark, sf):
+    ex, new = fx.fixture(spark, sf, fx.F_APPEND_EXISTING), fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    return append_new(ex, new).select(*APPEND_OUT)
+
+
+def append_by_name_addr(spark, sf):
+    ex = fx.fixture(spark, sf, fx.F_APPEND_EXISTING_NO_URL)
+    new = fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    return append_new(ex, new).select(*APPEND_OUT)
+
+
+def append_summary_q(spark, sf):
+    ex, new = fx.fixture(spark, sf, fx.F_APPEND_EXISTING), fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    return append_summary(ex, new)
+
+
+# --- web pages ------------------------------------------------------------
+
+def page_social_links(spark, sf):
+    pages = fx.fixture(spark, sf, fx.F_HTML)
+    return page_features(pages, keep=("page_id",)).select(
+        "page_id", "linkedin_url", "facebook_url", "instagram_url", "twitter_url")
+
+
+def page_brief(spark, sf):
+    pages = fx.fixture(spark, sf, fx.F_HTML)
+    f = page_features(pages, keep=("page_id",))
+    name = F.concat(F.lit("Shop "), F.col("page_id").cast("string"))
+    return f.select("page_id", "title", "description",
+                    brief(name, F.col("title"), F.col("description")).alias("research_brief"))
+
+
+def web_enrich(spark, sf):
+    leads = fx.fixture(spark, sf, fx.F_WEB_LEADS)
+    pages = fx.fixture(spark, sf, fx.F_HTML)
+    return enrich_web(leads, pages, mode="batch").select(
+        "row_id", "website", "linkedin_url", "facebook_url", "instagram_url", "twitter_url",
+        "research_brief")
+
+
+def web_enrich_interactive(spark, sf):
+    leads = fx.fixture(spark, sf, fx.F_WEB_LEADS)
+    pages = fx.fixture(spark, sf, fx.F_HTML)
+    return enrich_web(leads, pages, mode="interactive").select(
+        "row_id", "website", "linkedin_url", "facebook_url", "instagram_url", "twitter_url",
+        "research_brief")
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
     "enrich_errors": enrich_errors,
     "enrich_summary": enrich_summary_q,
     "review_lookup": review_lookup,
+    "search_text_topn": search_text_topn,
+    "search_single": search_single,
+    "search_radius": search_radius,
+    "append_by_url": append_by_url,
+    "append_by_name_addr": append_by_name_addr,
+    "append_summary": append_summary_q,
+    "page_social_links": page_social_links,
+    "page_brief": page_brief,
+    "web_enrich": web_enrich,
+    "web_enrich_interactive": web_enrich_interactive,
 }
