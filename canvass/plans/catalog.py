@@ -16,6 +16,13 @@ from ..operators.append import append_new, append_summary
 from ..operators.search import search_many, search_places, within_radius_many
 from .enrich import enrich_leads, enrich_reviews, enrich_summary, errors_of, with_plan_state
 from .web import enrich_web
+from ..functions.template import DEFAULT_TEMPLATE
+from ..operators.generate import generate, upper_generator, with_prompts
+from ..operators.merge import preview, result_metrics, resume, resume_start
+from ..session import scratch_path
+from ..sources.leads_io import read_leads_csv, write_leads
+from ..sources.responses import (collect_pages, flatten_responses, harmonise_places,
+                                 lookup_outcome)
 
 LEAD_OUT = ["row_id", "company_name", "company_address", "company_phone", "website",
             "rating", "review_count", "maps_url"]
@@ -145,6 +152,86 @@ def web_enrich_interactive(spark, sf):
         "research_brief")
 
 
+# --- prompts and generation -------------------------------------------------
+
+PRODUCT = "Acme booking: fills {website} calendars for {company_name}"
+
+
+def _email_leads(spark, sf):
+    return fx.fixture(spark, sf, fx.F_EMAIL_LEADS)
+
+
+def render_prompts(spark, sf):
+    return with_prompts(_email_leads(spark, sf), DEFAULT_TEMPLATE, PRODUCT).select("row_id", "prompt")
+
+
+def generate_resume(spark, sf):
+    out = generate(_email_leads(spark, sf), upper_generator, DEFAULT_TEMPLATE, PRODUCT,
+                   retry_errors=False)
+    return out.select("row_id", "generated_email")
+
+
+def generate_retry(spark, sf):
+    out = generate(_email_leads(spark, sf), upper_generator, DEFAULT_TEMPLATE, PRODUCT,
+                   retry_errors=True)
+    return out.select("row_id", "generated_email")
+
+
+# --- captured responses -------------------------------------------------------
+
+def flatten_responses_q(spark, sf):
+    return flatten_responses(fx.responses(spark, sf))
+
+
+def paged_collect(spark, sf):
+    return collect_pages(fx.responses(spark, sf), max_results=20)
+
+
+def response_outcome(spark, sf):
+    return lookup_outcome(fx.responses(spark, sf))
+
+
+def field_coalesce(spark, sf):
+    new = fx.fixture(spark, sf, fx.F_RECORDS_NEW)
+    old = fx.fixture(spark, sf, fx.F_RECORDS_LEGACY)
+    both = new.unionByName(old, allowMissingColumns=True)
+    return harmonise_places(both, keep=("rec_id",))
+
+
+# --- preview / resume / metrics ---------------------------------------------
+
+def _review_stage(spark, sf):
+    places = _places(spark, sf)
+    return lambda df: enrich_reviews(df, places)
+
+
+def preview_merge(spark, sf):
+    leads = _leads(spark, sf).drop("maps_url")
+    return preview(leads, _review_stage(spark, sf), n=10).select(
+        "row_id", "company_name", "rating", "review_count")
+
+
+def resume_tail(spark, sf):
+    leads = _leads(spark, sf).drop("maps_url")
+    start = resume_start(leads, 10)
+    return resume(leads, _review_stage(spark, sf), start).select(
+        "row_id", "company_name", "rating", "review_count")
+
+
+def result_metrics_q(spark, sf):
+    return result_metrics(_email_leads(spark, sf))
+
+
+# --- CSV round trip -----------------------------------------------------------
+
+def csv_roundtrip(spark, sf):
+    import uuid
+    path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
+    write_leads(_leads(spark, sf), path, fmt="csv")
+    back = read_leads_csv(spark, path)
+    return back.select(*LEAD_OUT)
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
@@ -161,4 +248,15 @@ QUERIES = {
     "page_brief": page_brief,
     "web_enrich": web_enrich,
     "web_enrich_interactive": web_enrich_interactive,
+    "render_prompts": render_prompts,
+    "generate_resume": generate_resume,
+    "generate_retry": generate_retry,
+    "flatten_responses": flatten_responses_q,
+    "paged_collect": paged_collect,
+    "response_outcome": response_outcome,
+    "field_coalesce": field_coalesce,
+    "preview_merge": preview_merge,
+    "resume_tail": resume_tail,
+    "result_metrics": result_metrics_q,
+    "csv_roundtrip": csv_roundtrip,
 }

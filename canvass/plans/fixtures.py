@@ -178,3 +178,94 @@ FROM ({F_LEADS}) l
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     register(spark, sf_dir)
     return spark.sql(sql)
+
+
+# Captured responses: one search query per nation, place pages of
+# customers grouped by key range (page = k div 100, at most 100 places per
+# page, places ordered by key).  Nation 1's last page failed (HTTP 500),
+# nation 2's last page has no ``places``, nation 3's first page has an empty
+# list, nation 4's first page has no next-page token.
+F_RESPONSE_ROWS = """
+SELECT n.n_name AS query, n.n_nationkey AS nkey, c.c_custkey AS k,
+  CAST(floor(c.c_custkey / 100) AS BIGINT) AS page,
+  'places/' || CAST(c.c_custkey AS STRING) AS id,
+  c.c_name AS name,
+  CASE WHEN c.c_custkey % 9 = 0 THEN NULL ELSE n.n_name || ', ' || r.r_name END AS address,
+  CASE WHEN c.c_custkey % 4 = 0 THEN NULL ELSE '555-' || CAST(c.c_custkey AS STRING) END AS phone,
+  CASE WHEN c.c_custkey % 10 <> 0
+       THEN round(CAST(1.0 + ((c.c_custkey * 7) % 41) / 10 AS DOUBLE), 1) END AS rating,
+  CASE WHEN c.c_custkey % 11 <> 0 THEN CAST((c.c_custkey * 13) % 500 AS BIGINT) END AS review_count,
+  'https://maps.example/?cid=' || CAST(c.c_custkey AS STRING) AS maps_url
+FROM customer c
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+F_RESPONSE_PAGES = f"""
+WITH rows AS ({F_RESPONSE_ROWS}),
+pages AS (SELECT query, nkey, page FROM rows GROUP BY query, nkey, page),
+span AS (SELECT query, min(page) AS lo, max(page) AS hi FROM pages GROUP BY query)
+SELECT p.query, p.nkey, p.page,
+  CASE WHEN p.nkey = 1 AND p.page = s.hi THEN 500 ELSE 200 END AS status,
+  CASE WHEN p.nkey = 2 AND p.page = s.hi THEN 'missing'
+       WHEN p.nkey = 3 AND p.page = s.lo THEN 'empty'
+       WHEN p.nkey = 1 AND p.page = s.hi THEN 'error'
+       ELSE 'ok' END AS body_kind,
+  NOT (p.nkey = 4 AND p.page = s.lo) AS has_token
+FROM pages p JOIN span s ON p.query = s.query
+"""
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query, page, status, body)`` with JSON bodies built by Spark."""
+    from pyspark.sql import functions as F
+
+    register(spark, sf_dir)
+    rows = spark.sql(F_RESPONSE_ROWS)
+    place = F.struct(
+        F.col("id"), F.struct(F.col("name").alias("text")).alias("displayName"),
+        F.col("address").alias("formattedAddress"), F.col("phone").alias("nationalPhoneNumber"),
+        F.col("rating"), F.col("review_count").alias("userRatingCount"),
+        F.col("maps_url").alias("googleMapsUri"))
+    # At most 100 places per (query, page): the key range bounds the list.
+    packed = (rows.groupBy("query", "page")
+              .agg(F.sort_array(F.collect_list(F.struct(F.col("k"), place.alias("p"))))
+                   .alias("_ps"))
+              .select("query", "page", F.transform("_ps", lambda x: x["p"]).alias("places")))
+    meta = spark.sql(F_RESPONSE_PAGES)
+    j = packed.join(meta, ["query", "page"])
+    token = F.when(F.col("has_token"), F.concat(F.lit("tok-"), F.col("page").cast("string")))
+    kind = F.col("body_kind")
+    body = (F.when(kind == "ok", F.to_json(F.struct(F.col("places"), token.alias("nextPageToken"))))
+            .when(kind == "empty", F.to_json(F.struct(
+                F.array().cast(T_PLACES).alias("places"), token.alias("nextPageToken"))))
+            .when(kind == "missing", F.to_json(F.struct(token.alias("nextPageToken"))))
+            .otherwise(F.lit('{"error": {"message": "quota exceeded"}}')))
+    return j.select("query", "page", "status", body.alias("body"))
+
+
+T_PLACES = ("array<struct<id:string,displayName:struct<text:string>,formattedAddress:string,"
+            "nationalPhoneNumber:string,rating:double,userRatingCount:bigint,"
+            "googleMapsUri:string>>")
+
+# Search results in two field-naming styles (customers in the current style,
+# suppliers in the legacy one) for record harmonisation.
+F_RECORDS_NEW = """
+SELECT c.c_custkey AS rec_id, c.c_name AS `Company Name`, n.n_name AS `Company Address`,
+  CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE c.c_mktsegment END AS `Phone Number`,
+  CASE WHEN c.c_custkey % 2 = 0 THEN 'https://c' || CAST(c.c_custkey AS STRING) || '.example'
+       END AS `Website`,
+  CASE WHEN c.c_custkey % 5 = 0 THEN NULL ELSE round(abs(c.c_acctbal) / 2000, 1) END
+    AS `Google Review Rating`,
+  CAST(c.c_custkey % 97 AS BIGINT) AS `Google Review Count`
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+"""
+F_RECORDS_LEGACY = """
+SELECT s.s_suppkey + 100000000 AS rec_id, s.s_name AS name, n.n_name AS address,
+  'tel-' || CAST(s.s_suppkey AS STRING) AS phone,
+  CASE WHEN s.s_suppkey % 2 = 1 THEN 'https://s' || CAST(s.s_suppkey AS STRING) || '.example'
+       END AS website,
+  round(abs(s.s_acctbal) / 2000, 1) AS rating,
+  CASE WHEN s.s_suppkey % 4 = 0 THEN NULL ELSE CAST(s.s_suppkey % 89 AS BIGINT) END
+    AS review_count
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+"""
