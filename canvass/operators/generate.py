@@ -79,8 +79,14 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
     cols = leads.columns
     pending = needs_text(retry_errors, col)
     done = leads.where(~pending)
-    todo = leads.where(pending).withColumn(
-        "_prompt", render_prompt(template, product_description, cols))
+    todo = leads.where(pending)
+    # Model calls dominate this stage: when the pending rows sit in fewer
+    # partitions than there are task slots (a small input file), spread them
+    # round-robin first.  Large inputs already have many splits: no shuffle.
+    slots = leads.sparkSession.sparkContext.defaultParallelism
+    if todo.rdd.getNumPartitions() < slots:
+        todo = todo.repartition(slots)
+    todo = todo.withColumn("_prompt", render_prompt(template, product_description, cols))
     schema = leads.schema
     # Ship this package with the closure so executors need not install it.
     cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])

@@ -8,16 +8,34 @@ derivation reads its whole source tables: the modulo rules below only vary
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "pages", "documents",
           "events", "conversations"]
 
 
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose driver tables as temp views (the names the SQL below uses)."""
+    """Expose driver tables as temp views (the names the SQL below uses).
+
+    A view is (re)created only when it is missing or points at another
+    directory, so building a plan does not re-read parquet footers.
+    """
+    sid = id(spark)
     for t in names:
+        if _REGISTERED.get((sid, t)) == sf_dir and spark.catalog.tableExists(t):
+            continue
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _REGISTERED[(sid, t)] = sf_dir
+
+
+def tables_in(sql: str) -> list[str]:
+    words = set(re.findall(r"[a-z_]+", sql.lower()))
+    return [t for t in TABLES if t in words]
 
 
 def _url(k: str) -> str:
@@ -176,7 +194,7 @@ FROM ({F_LEADS}) l
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark, sf_dir)
+    register(spark, sf_dir, tables_in(sql))
     return spark.sql(sql)
 
 
@@ -219,7 +237,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query, page, status, body)`` with JSON bodies built by Spark."""
     from pyspark.sql import functions as F
 
-    register(spark, sf_dir)
+    register(spark, sf_dir, tables_in(F_RESPONSE_ROWS))
     rows = spark.sql(F_RESPONSE_ROWS)
     place = F.struct(
         F.col("id"), F.struct(F.col("name").alias("text")).alias("displayName"),
