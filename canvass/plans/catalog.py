@@ -19,7 +19,10 @@ from .web import enrich_web
 from ..functions.template import DEFAULT_TEMPLATE
 from ..operators.generate import generate, upper_generator, with_prompts
 from ..operators.merge import preview, result_metrics, resume, resume_start
+from ..operators.fuzzy import fuzzy_lookup
+from ..operators.lookup import catalogue_by_key
 from ..session import scratch_path
+from ..streaming.append import stream_append
 from ..sources.leads_io import read_leads_csv, write_leads
 from ..sources.responses import (collect_pages, flatten_responses, harmonise_places,
                                  lookup_outcome)
@@ -232,6 +235,30 @@ def csv_roundtrip(spark, sf):
     return back.select(*LEAD_OUT)
 
 
+# --- fuzzy fallback and streaming append -----------------------------------
+
+def fuzzy_lookup_q(spark, sf):
+    leads = fx.fixture(spark, sf, fx.F_FUZZY_LEADS)
+    cat = catalogue_by_key(_places(spark, sf))
+    return fuzzy_lookup(leads, cat).select(
+        "row_id", "company_name", "company_address", "distance", "matched_name", "place_id",
+        "rating", "review_count", "maps_url")
+
+
+def stream_append_q(spark, sf):
+    import uuid
+    base = scratch_path(spark, f"stream-append-{uuid.uuid4().hex}")
+    fx.fixture(spark, sf, fx.F_APPEND_EXISTING).write.parquet(base + "/target")
+    new = fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    new.write.parquet(base + "/incoming")
+    stream = spark.readStream.schema(new.schema).parquet(base + "/incoming")
+    q = stream_append(stream, base + "/target", checkpoint=base + "/checkpoint",
+                      available_now=True)
+    q.awaitTermination()
+    return (spark.read.option("mergeSchema", "true").parquet(base + "/target")
+            .select(*APPEND_OUT))
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
@@ -259,4 +286,6 @@ QUERIES = {
     "resume_tail": resume_tail,
     "result_metrics": result_metrics_q,
     "csv_roundtrip": csv_roundtrip,
+    "fuzzy_lookup": fuzzy_lookup_q,
+    "stream_append": stream_append_q,
 }

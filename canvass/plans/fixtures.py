@@ -287,3 +287,15 @@ SELECT s.s_suppkey + 100000000 AS rec_id, s.s_name AS name, n.n_name AS address,
     AS review_count
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
 """
+
+# Leads with misspelled names: one inserted letter (k%4=1), one substituted
+# letter (k%4=2), two edits (k%4=3, must not match); others as in F-leads.
+F_FUZZY_LEADS = f"""
+SELECT row_id,
+  CASE row_id % 4 WHEN 1 THEN replace(company_name, 'Customer#', 'Custommer#')
+                  WHEN 2 THEN replace(company_name, 'Customer#', 'Kustomer#')
+                  WHEN 3 THEN replace(company_name, 'Customer#', 'Costumer#')
+                  ELSE company_name END AS company_name,
+  company_address
+FROM ({F_LEADS}) l
+"""
