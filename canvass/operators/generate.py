@@ -42,6 +42,16 @@ def with_prompts(leads: DataFrame, template: str = DEFAULT_TEMPLATE,
     return leads.withColumn(col, render_prompt(template, product_description, leads.columns))
 
 
+def _ship_by_value(module) -> None:
+    """Pickle ``module``'s functions by value so Python workers need not have
+    it installed (this package; a caller's own module).  Installed
+    libraries and ``__main__`` are left to the normal by-reference path."""
+    path = getattr(module, "__file__", None) or ""
+    if module is None or not path or "site-packages" in path or "dist-packages" in path:
+        return
+    cloudpickle.register_pickle_by_value(module)
+
+
 def _error_text(exc: BaseException) -> str:
     return ERROR_PREFIX + LLM_ERROR + str(exc)[:100]
 
@@ -88,8 +98,8 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
         todo = todo.repartition(slots)
     todo = todo.withColumn("_prompt", render_prompt(template, product_description, cols))
     schema = leads.schema
-    # Ship this package with the closure so executors need not install it.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+    _ship_by_value(sys.modules[__name__.split(".")[0]])
+    _ship_by_value(sys.modules.get(getattr(fn, "__module__", None) or ""))
 
     def run(batches):
         for pdf in batches:
