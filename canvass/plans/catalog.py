@@ -16,6 +16,8 @@ from ..operators.append import append_new, append_summary
 from ..operators.search import search_many, search_places, within_radius_many
 from .enrich import enrich_leads, enrich_reviews, enrich_summary, errors_of, with_plan_state
 from .web import enrich_web
+from .run import run as run_stages
+from .search import search
 from ..functions.template import DEFAULT_TEMPLATE
 from ..operators.generate import generate, upper_generator, with_prompts
 from ..operators.merge import preview, result_metrics, resume, resume_start
@@ -259,6 +261,23 @@ def stream_append_q(spark, sf):
             .select(*APPEND_OUT))
 
 
+# --- composite jobs ---------------------------------------------------------
+
+def search_append(spark, sf):
+    existing = fx.fixture(spark, sf, fx.F_APPEND_EXISTING)
+    out = search(_places(spark, sf), SINGLE_QUERY, 20, SINGLE_CENTRE,
+                 miles_to_metres(SINGLE_RADIUS_MILES), existing=existing)
+    return out.select(*APPEND_OUT)
+
+
+def staged_run(spark, sf):
+    leads = fx.fixture(spark, sf, fx.F_WEB_LEADS)
+    out = run_stages(leads, places=_places(spark, sf), pages=fx.fixture(spark, sf, fx.F_HTML),
+                     mode="interactive")
+    return out.select("row_id", "rating", "review_count", "linkedin_url", "facebook_url",
+                      "instagram_url", "twitter_url", "research_brief")
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
@@ -288,4 +307,6 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "fuzzy_lookup": fuzzy_lookup_q,
     "stream_append": stream_append_q,
+    "search_append": search_append,
+    "staged_run": staged_run,
 }

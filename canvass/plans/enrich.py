@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_value, is_blank, is_valid
-from ..operators.columns import ensure_columns
+from ..operators.columns import ensure_columns, to_internal
+from ..schema import ENRICH_ALIASES
 from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup
 from ..schema import MSG_MISSING_KEY, MSG_NOT_FOUND, NOT_FOUND_TOKEN
 
@@ -45,6 +46,13 @@ def with_plan_state(leads: DataFrame, placeholders=(NOT_FOUND_TOKEN,)) -> DataFr
     return leads.withColumn("plan_state", plan_state(placeholders))
 
 
+def prepare_for_enrich(raw: DataFrame) -> DataFrame:
+    """External headers -> internal names for the enrichment job: 'Business
+    Name/Address' are preferred over 'Company ...'; a table without a name or
+    address column is rejected (ValueError listing the available columns)."""
+    return to_internal(raw, ENRICH_ALIASES, required=("company_name", "company_address"))
+
+
 @dataclass
 class EnrichResult:
     leads: DataFrame

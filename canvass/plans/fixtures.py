@@ -172,7 +172,8 @@ SELECT row_id, company_name, company_address,
        WHEN row_id % 23 = 0 THEN '' ELSE website END AS website,
   CASE WHEN row_id % 7 = 0 THEN 'Known brief ' || CAST(row_id AS STRING)
        WHEN row_id % 9 = 0 THEN 'Could not fetch: Timeout'
-       WHEN row_id % 29 = 0 THEN '  ' END AS research_brief
+       WHEN row_id % 29 = 0 THEN '  ' END AS research_brief,
+  rating, review_count
 FROM ({F_LEADS}) l
 """
 

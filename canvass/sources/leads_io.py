@@ -67,10 +67,33 @@ def write_enriched(result, leads_path: str, errors_path: str, fmt: str = "parque
     spark = result.leads.sparkSession
     write_leads(result.leads, leads_path, fmt="parquet")
     written = spark.read.parquet(leads_path)
-    errors = errors_of(written).cache()
+    errors = errors_of(written)  # short lineage: a filtered scan of the written table
     n = errors.count()
     if n:
-        errors.orderBy("row").write.mode("overwrite").options(**CSV_WRITE).csv(errors_path) \
-            if fmt == "csv" else errors.write.mode("overwrite").parquet(errors_path)
-    errors.unpersist()
+        if fmt == "csv":
+            errors.orderBy("row").write.mode("overwrite").options(**CSV_WRITE).csv(errors_path)
+        else:
+            errors.write.mode("overwrite").parquet(errors_path)
     return n
+
+
+def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "auto") -> int:
+    """Append the rows of ``new`` that the dataset at ``path`` does not hold
+    yet (parquet, ``mode('append')``: existing files are never rewritten, so
+    the path is not read and overwritten by one job).  A missing dataset is
+    created.  Returns the number of rows appended, counted during the write
+    by an ``Observation`` (one pass, nothing cached)."""
+    from pyspark.errors import AnalysisException
+
+    from ..operators.append import new_rows
+
+    try:
+        current = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException:
+        current = None
+    from pyspark.sql import Observation
+
+    kept = new if current is None else new_rows(current, new, by)
+    obs = Observation("appended")
+    kept.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(obs.get["n"])

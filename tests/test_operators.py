@@ -177,3 +177,30 @@ def test_stream_append_dedups_each_batch_against_target(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.read.parquet(target), "row_id") == [(0,), (2,)]
     assert os.path.exists(tmp_path / "ck")
+
+
+def test_prepare_for_enrich_prefers_business_headers_and_requires_key(spark):
+    from canvass.plans.enrich import prepare_for_enrich
+    raw = spark.createDataFrame([("c", "b", "addr", "4.5", "12.0")],
+                                "`Company Name` string, `business_name` string, "
+                                "`Business-Address` string, `Google Review Rating` string, "
+                                "` google review count ` string")
+    df = prepare_for_enrich(raw)
+    r = df.collect()[0]
+    assert r["company_name"] == "b" and r["company_address"] == "addr"
+    assert r["rating"] == 4.5 and r["review_count"] == 12
+    assert "Company Name" in df.columns  # the non-preferred header passes through
+    with pytest.raises(ValueError, match="available columns"):
+        prepare_for_enrich(spark.createDataFrame([("x",)], "Name string"))
+
+
+def test_append_dataset_appends_only_new_rows(spark, tmp_path):
+    from canvass.sources.leads_io import append_dataset
+    path = str(tmp_path / "leads")
+    schema = "company_name string, company_address string, maps_url string"
+    first = spark.createDataFrame([("A", "x", "u1"), ("B", "y", "u2")], schema)
+    assert append_dataset(spark, path, first) == 2
+    second = spark.createDataFrame([("A", "x", "u1"), ("C", "z", "u3")], schema)
+    assert append_dataset(spark, path, second) == 1
+    assert append_dataset(spark, path, second) == 0
+    assert rows(spark.read.parquet(path), "maps_url") == [("u1",), ("u2",), ("u3",)]
