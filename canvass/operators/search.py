@@ -93,7 +93,10 @@ def search_many(places: DataFrame, queries: DataFrame, max_results: int = 20,
               .agg(F.count(F.lit(1)).alias("score"), F.max("review_count").alias("review_count")))
     best = top_n(scored, ["query_id"], RESULT_ORDER, max_results)
     info = places.select("place_id", *[c for c in payload if c in places.columns])
-    return best.join(info, "place_id", "left")
+    # Inner join: every ranked place_id comes from the catalogue, so this is
+    # the same as a left join, but either side may be the broadcast side --
+    # AQE broadcasts the small ranked result instead of shuffling the catalogue.
+    return best.join(info, "place_id", "inner")
 
 
 def _cells(lat: Column, lng: Column, cell_deg: float):

@@ -204,3 +204,18 @@ def test_append_dataset_appends_only_new_rows(spark, tmp_path):
     assert append_dataset(spark, path, second) == 1
     assert append_dataset(spark, path, second) == 0
     assert rows(spark.read.parquet(path), "maps_url") == [("u1",), ("u2",), ("u3",)]
+
+
+def test_row_ids_follow_file_and_line_order(spark, tmp_path):
+    from canvass.sources.leads_io import read_leads_csv, with_row_id
+    d = tmp_path / "csvs"
+    d.mkdir()
+    (d / "a.csv").write_text('Company Name,Company Address\n"A, one","x\ny"\nB,z\n')
+    (d / "b.csv").write_text('Company Name,Company Address\nC,w\nD,v\nE,u\n')
+    df = read_leads_csv(spark, str(d), row_id=True)
+    assert rows(df, "row_id", "company_name") == [
+        (0, "A, one"), (1, "B"), (2, "C"), (3, "D"), (4, "E")]
+    p = str(tmp_path / "pq")
+    spark.range(0, 1000, numPartitions=7).write.parquet(p)
+    got = with_row_id(spark.read.parquet(p)).collect()
+    assert sorted(r["row_id"] for r in got) == list(range(1000))
