@@ -31,20 +31,40 @@ def new_rows(existing: DataFrame, new: DataFrame, by: str = "auto") -> DataFrame
     rule = dedup_rule(existing) if by == "auto" else by
     if rule == "url":
         keys = (existing.where(F.col("maps_url").isNotNull())
-                .select(strip(F.col("maps_url").cast("string")).alias("_k")).distinct())
-        return (new.withColumn("_k", strip(F.coalesce(F.col("maps_url").cast("string"),
-                                                       F.lit(""))))
-                .join(keys, "_k", "left_anti").drop("_k"))
+                .select(strip(F.col("maps_url").cast("string")).alias("_k")))
+        staged = new.withColumn("_k", strip(F.coalesce(F.col("maps_url").cast("string"),
+                                                        F.lit(""))))
+        return _anti(staged, keys, ["_k"])
     if rule == "name_address":
         found = resolve_columns(existing.columns, NAME_ALIASES)
         keys = existing.select(match_key(found["company_name"]).alias("_kn"),
-                               match_key(found["company_address"]).alias("_ka")).distinct()
-        return (new.withColumns({"_kn": match_key("company_name"),
-                                 "_ka": match_key("company_address")})
-                .join(keys, ["_kn", "_ka"], "left_anti").drop("_kn", "_ka"))
+                               match_key(found["company_address"]).alias("_ka"))
+        staged = new.withColumns({"_kn": match_key("company_name"),
+                                  "_ka": match_key("company_address")})
+        return _anti(staged, keys, ["_kn", "_ka"])
     return new
 
 
+def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``staged`` rows whose key is not among ``keys`` (key columns dropped).
+
+    The all-blank key ('' -- a missing URL, or a missing name and address)
+    is the one value many rows share, so those rows stay out of the shuffle:
+    they are checked against a marker of at most one row ("does the
+    existing table hold a blank key?"), which is safe to broadcast.  All
+    other keys take a shuffled anti join against the distinct existing keys
+    (partial aggregation first; AQE may still split a skewed partition).
+    """
+    blank = F.lit(True)
+    for c in on:
+        blank = blank & (F.col(c) == "")
+    blank_rows = staged.where(blank)
+    marker = F.broadcast(keys.where(blank).select(*on).limit(1))
+    kept_blank = blank_rows.join(marker, on, "left_anti")
+    kept = staged.where(~blank).join(keys.where(~blank).distinct(), on, "left_anti")
+    return kept.unionByName(kept_blank).drop(*on)
+
+
 def append_new(existing: DataFrame, new: DataFrame, by: str = "auto") -> DataFrame:
     """Existing rows, then the kept new rows (union by name; columns only one
     side has are null on the other; existing column order first)."""

@@ -39,10 +39,12 @@ def fuzzy_lookup(leads: DataFrame, catalogue: DataFrame, max_distance: int = 1,
     if max_distance not in (0, 1):
         raise ValueError("max_distance must be 0 or 1")
     keyed = with_key(leads, name_col, addr_col)
-    lv = keyed.select("row_id", "_kn", "_ka",
+    # A blank name is not looked up (it would make '' a variant shared by
+    # every such row); those leads get no match.
+    lv = keyed.where(F.col("_kn") != "").select("row_id", "_kn", "_ka",
                       F.explode(deletion_variants(F.col("_kn")) if max_distance
                                 else F.array(F.col("_kn"))).alias("_v"))
-    cv = catalogue.select(F.col("_kn").alias("_ckn"), "_ka", *payload,
+    cv = catalogue.where(F.col("_kn") != "").select(F.col("_kn").alias("_ckn"), "_ka", *payload,
                           F.explode(deletion_variants(F.col("_kn")) if max_distance
                                     else F.array(F.col("_kn"))).alias("_v"))
     # A pair sharing several variants appears several times; the min() per

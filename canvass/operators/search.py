@@ -124,6 +124,10 @@ def within_radius_many(places: DataFrame, centres: DataFrame, radius_m: float,
                                     / F.cos(F.radians(max_abs)))))
     lng_lo = F.when(polar | (dlng >= 180), F.lit(-180.0)).otherwise(F.col("c_lng") - dlng)
     lng_hi = F.when(polar | (dlng >= 180), F.lit(180.0)).otherwise(F.col("c_lng") + dlng)
+    # Rows without coordinates can never be within a radius; dropping them
+    # first keeps null cell keys (one hash partition) out of the join.
+    centres = centres.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    places = places.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     c = (centres.select("centre_id", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
          .withColumn("cell_lat", F.explode(F.sequence(F.floor(lat_lo / cell_deg).cast("int"),
                                                         F.floor(lat_hi / cell_deg).cast("int"))))

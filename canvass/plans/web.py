@@ -66,17 +66,21 @@ def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
         F.when(ws == "no_site", F.lit(MSG_NO_WEBSITE)).otherwise(F.col(c)).alias(c)
         if c == "research_brief" else F.col(c) for c in cols])
 
-    todo = staged.where(ws == "fetch")
     no_url = F.col("website").isNull() | (F.col("website") == "")
-    todo = todo.withColumn("_url", F.when(~no_url, with_scheme("website")))
+    # Rows without a URL never enter the join: null join keys would all hash
+    # to one partition.  They only need the failure text.
+    no_site = staged.where((ws == "fetch") & no_url).select(*[
+        F.lit("").alias(c) if c in SOCIAL_COLUMNS else
+        failure_brief(F.lit(MSG_NO_WEBSITE_URL)).alias(c) if c == "research_brief" else
+        F.col(c) for c in cols])
+    todo = staged.where((ws == "fetch") & ~no_url).withColumn("_url", with_scheme("website"))
     feats = page_table(pages, unique_urls)
     feats = feats.select(F.col("url").alias("_url"), *[F.col(c).alias("_f_" + c)
                                                        for c in feats.columns if c != "url"],
                          F.lit(True).alias("_hit"))
     j = todo.join(feats, "_url", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    reason = (F.when(no_url, F.lit(MSG_NO_WEBSITE_URL))
-              .when(~hit, F.lit(MSG_NOT_IN_SNAPSHOT)))
+    reason = F.when(~hit, F.lit(MSG_NOT_IN_SNAPSHOT))
     if "_f_status" in j.columns:
         reason = reason.when(~F.col("_f_status").between(200, 299),
                              fetch_error(F.col("_f_status")))
@@ -91,4 +95,4 @@ def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
                        .otherwise(failure_brief(reason)).alias(c))
         else:
             out.append(F.col(c))
-    return rest.unionByName(j.select(*out))
+    return rest.unionByName(no_site).unionByName(j.select(*out))

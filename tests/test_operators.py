@@ -219,3 +219,13 @@ def test_row_ids_follow_file_and_line_order(spark, tmp_path):
     spark.range(0, 1000, numPartitions=7).write.parquet(p)
     got = with_row_id(spark.read.parquet(p)).collect()
     assert sorted(r["row_id"] for r in got) == list(range(1000))
+
+
+def test_blank_url_rows_depend_on_blank_existing_key(spark):
+    from canvass.operators.append import new_rows
+    schema = "company_name string, company_address string, maps_url string"
+    new = spark.createDataFrame([("A", "x", None), ("B", "y", " "), ("C", "z", "u3")], schema)
+    plain = spark.createDataFrame([("E", "e", "u1"), ("F", "f", None)], schema)
+    assert rows(new_rows(plain, new), "company_name") == [("A",), ("B",), ("C",)]
+    with_blank = spark.createDataFrame([("E", "e", "u1"), ("G", "g", "   ")], schema)
+    assert rows(new_rows(with_blank, new), "company_name") == [("C",)]
