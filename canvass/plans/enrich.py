@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import has_value, is_blank, is_valid
 from ..operators.columns import ensure_columns, to_internal
 from ..schema import ENRICH_ALIASES
-from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup
+from ..operators.lookup import (PLACE_PAYLOAD, catalogue_by_key, detect_hot_keys, lookup,
+                                with_key)
 from ..schema import MSG_MISSING_KEY, MSG_NOT_FOUND, NOT_FOUND_TOKEN
 
 STATE_INVALID, STATE_COMPLETE, STATE_URL_ONLY, STATE_FULL = \
@@ -61,15 +62,24 @@ class EnrichResult:
 
 
 def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,),
-                 hot_keys=None) -> DataFrame:
+                 hot_keys=None, hot_key_rows: int = 1_000_000) -> DataFrame:
     """Leads with rating/review_count/maps_url filled where missing, plus
-    ``plan_state`` and ``error`` columns (null error = row is fine)."""
+    ``plan_state`` and ``error`` columns (null error = row is fine).
+
+    ``hot_keys``: None -> AQE skew-join splitting only; a list of
+    (name key, address key) tuples -> those keys are salted; ``'detect'`` ->
+    keys with at least ``hot_key_rows`` pending rows are found first (one
+    partial-aggregated count, at most 1000 keys reach the driver) and salted.
+    """
     staged = with_plan_state(leads, placeholders)
     cols = staged.columns
     st = F.col("plan_state")
     done = staged.where(st.isin(STATE_INVALID, STATE_COMPLETE)).withColumn(
         "error", F.when(st == STATE_INVALID, F.lit(MSG_MISSING_KEY)).cast("string"))
     todo = staged.where(st.isin(STATE_URL_ONLY, STATE_FULL))
+    if hot_keys == "detect":
+        hot_keys = detect_hot_keys(with_key(todo, "company_name", "company_address"),
+                                   min_rows=hot_key_rows)
     cat = catalogue_by_key(places, payload=PLACE_PAYLOAD)
     j = lookup(todo, cat, hot_keys=hot_keys)
     hit, full = F.col("p_hit"), st == STATE_FULL
@@ -100,23 +110,26 @@ def errors_of(result: DataFrame, with_time: bool = True) -> DataFrame:
     return result.where(F.col("error").isNotNull()).select(*cols)
 
 
+def summary_columns() -> list[Column]:
+    st = F.col("plan_state")
+    return [F.count(F.lit(1)).alias("total"),
+            F.count_if(st == STATE_COMPLETE).alias("skipped_complete"),
+            F.count_if(st == STATE_URL_ONLY).alias("url_only_fetched"),
+            F.count_if(st == STATE_FULL).alias("full_fetched"),
+            F.count_if(F.col("error").isNotNull()).alias("failed")]
+
+
 def enrich_summary(result: DataFrame) -> DataFrame:
     """One row: total, skipped_complete, url_only_fetched, full_fetched,
     successful (= total - failed, skipped rows included), failed."""
-    st = F.col("plan_state")
-    agg = result.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(st == STATE_COMPLETE).alias("skipped_complete"),
-        F.count_if(st == STATE_URL_ONLY).alias("url_only_fetched"),
-        F.count_if(st == STATE_FULL).alias("full_fetched"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"))
+    agg = result.agg(*summary_columns())
     return agg.select("total", "skipped_complete", "url_only_fetched", "full_fetched",
                       (F.col("total") - F.col("failed")).alias("successful"), "failed")
 
 
 def enrich(leads: DataFrame, places: DataFrame, **kw) -> EnrichResult:
     """Lazy triple.  To produce both files, write ``leads`` first and derive
-    the errors from what was written (see ``sources.sinks.write_enriched``)."""
+    the errors from what was written (see ``sources.leads_io.write_enriched``)."""
     result = enrich_leads(leads, places, **kw)
     return EnrichResult(result, errors_of(result), enrich_summary(result))
 

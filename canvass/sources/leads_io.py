@@ -96,14 +96,26 @@ def write_leads(df: DataFrame, path: str, fmt: str = "parquet", external_headers
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_enriched(result, leads_path: str, errors_path: str, fmt: str = "parquet"):
+def write_enriched(result, leads_path: str, errors_path: str, fmt: str = "parquet",
+                   summary: dict | None = None):
     """Write the enriched leads once, then derive the error table from the
     written data (the lookup join runs once; the errors file is written only
-    when there are errors).  Returns the number of error rows."""
-    from ..plans.enrich import errors_of
+    when there are errors).  Returns the number of error rows.
+
+    When a ``summary`` dict is passed it is filled with the run summary,
+    counted by an ``Observation`` during the same write (no second pass).
+    """
+    from pyspark.sql import Observation
+
+    from ..plans.enrich import errors_of, summary_columns
 
     spark = result.leads.sparkSession
-    write_leads(result.leads, leads_path, fmt="parquet")
+    obs = Observation("enrich_summary")
+    write_leads(result.leads.observe(obs, *summary_columns()), leads_path, fmt="parquet")
+    if summary is not None:
+        got = obs.get
+        summary.update(got)
+        summary["successful"] = got["total"] - got["failed"]
     written = spark.read.parquet(leads_path)
     errors = errors_of(written)  # short lineage: a filtered scan of the written table
     n = errors.count()
