@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key, strip
 from .columns import resolve_columns
+from .skew import skew_safe_join
 
 NAME_ALIASES = {"company_name": ["company_name", "Company Name", "Business Name"],
                 "company_address": ["company_address", "Company Address", "Business Address"]}
@@ -53,7 +54,8 @@ def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     they are checked against a marker of at most one row ("does the
     existing table hold a blank key?"), which is safe to broadcast.  All
     other keys take a shuffled anti join against the distinct existing keys
-    (partial aggregation first; AQE may still split a skewed partition).
+    (partial aggregation first); a key repeated very often in the new batch
+    is salted (``operators.skew``).
     """
     blank = F.lit(True)
     for c in on:
@@ -61,7 +63,7 @@ def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     blank_rows = staged.where(blank)
     marker = F.broadcast(keys.where(blank).select(*on).limit(1))
     kept_blank = blank_rows.join(marker, on, "left_anti")
-    kept = staged.where(~blank).join(keys.where(~blank).distinct(), on, "left_anti")
+    kept = skew_safe_join(staged.where(~blank), keys.where(~blank).distinct(), on, "left_anti")
     return kept.unionByName(kept_blank).drop(*on)
 
 

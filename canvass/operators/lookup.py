@@ -9,11 +9,10 @@ Scale notes
   ``best_per_key``) so duplicated / hot catalogue keys never meet in one task.
 * Join keys are never null (``match_key`` maps null to ''), so no artificial
   null-key partition forms.
-* A lead key that holds a large share of rows is split at run time by AQE's
-  skew-join rule (left outer and left anti joins may split the left side).
-  ``salt_hot_keys`` is the explicit alternative: the listed hot keys are
-  spread over ``buckets`` salts on the lead side and their (single) catalogue
-  row is replicated ``buckets`` times; all other keys get salt 0.
+* A lead key that holds a large share of rows is detected and salted
+  (``operators.skew``): its lead rows spread over many salts, its single
+  catalogue row is replicated per salt.  AQE's own skew split cannot apply
+  here because the catalogue side is an aggregate output.
 * No broadcast hint: the catalogue can be large; AQE turns the join into a
   broadcast only when the runtime size is under
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
@@ -25,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from .skew import HOT_KEY_ROWS, skew_safe_join
+from .skew import detect_hot_keys as _detect
 from .topn import best_per_key
 
 KEY_COLS = ["_kn", "_ka"]
@@ -44,62 +45,26 @@ def catalogue_by_key(places: DataFrame, payload=PLACE_PAYLOAD, order=PLACE_ORDER
     return best_per_key(keyed, KEY_COLS, order, list(payload))
 
 
-def detect_hot_keys(df: DataFrame, key_cols=KEY_COLS, min_rows: int = 1_000_000,
+def detect_hot_keys(df: DataFrame, key_cols=KEY_COLS, min_rows: int = HOT_KEY_ROWS,
                     max_keys: int = 1000) -> list[tuple]:
-    """Keys holding at least ``min_rows`` rows (at most ``max_keys`` of them).
-
-    A partial-aggregating count; the driver receives at most ``max_keys``
-    rows, so the collected list has a fixed bound.
-    """
-    counts = df.groupBy(*key_cols).count().where(F.col("count") >= min_rows)
-    rows = counts.orderBy(F.col("count").desc()).limit(max_keys).collect()
-    return [tuple(r[c] for c in key_cols) for r in rows]
-
-
-def _hot_predicate(hot_keys, key_cols):
-    cond = F.lit(False)
-    for key in hot_keys:
-        term = F.lit(True)
-        for c, v in zip(key_cols, key):
-            term = term & (F.col(c) == F.lit(v))
-        cond = cond | term
-    return cond
-
-
-def salt_hot_keys(left: DataFrame, right: DataFrame, hot_keys, buckets: int,
-                  salt_source: str = "row_id", key_cols=KEY_COLS):
-    """Add ``_salt`` to both sides so the listed hot keys spread over
-    ``buckets`` join partitions.  Rows are neither dropped nor duplicated on
-    the left; each hot right row is replicated ``buckets`` times."""
-    if not hot_keys or buckets <= 1:
-        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
-    hot_l = _hot_predicate(hot_keys, key_cols)
-    left = left.withColumn(
-        "_salt", F.when(hot_l, F.pmod(F.xxhash64(F.col(salt_source)), F.lit(buckets)))
-        .otherwise(F.lit(0)).cast("int"))
-    hot_r = _hot_predicate(hot_keys, key_cols)
-    right = right.withColumn(
-        "_salt", F.explode(F.when(hot_r, F.sequence(F.lit(0), F.lit(buckets - 1)))
-                           .otherwise(F.array(F.lit(0)))))
-    return left, right
+    return _detect(df, key_cols, min_rows, max_keys)
 
 
 def lookup(leads: DataFrame, catalogue: DataFrame, name_col: str = "company_name",
            addr_col: str = "company_address", prefix: str = "p_",
-           hot_keys=None, salt_buckets: int = 16) -> DataFrame:
+           hot_keys="detect", hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """``leads`` left-joined to a one-row-per-key ``catalogue``.
 
     Catalogue payload columns arrive prefixed with ``prefix`` plus a boolean
-    ``{prefix}hit``; lead rows are never multiplied or dropped.
+    ``{prefix}hit``; lead rows are never multiplied or dropped.  Hot lead
+    keys are salted (``operators.skew``); ``hot_keys=None`` turns that off.
     """
     cat = catalogue.select(*KEY_COLS, *[F.col(c).alias(prefix + c) for c in catalogue.columns
                                         if c not in KEY_COLS],
                            F.lit(True).alias(prefix + "hit"))
     keyed = with_key(leads, name_col, addr_col)
-    on = list(KEY_COLS)
-    if hot_keys:
-        keyed, cat = salt_hot_keys(keyed, cat, hot_keys, salt_buckets)
-        on.append("_salt")
-    joined = keyed.join(cat, on=on, how="left")
+    salt = F.xxhash64("row_id") if "row_id" in leads.columns else None
+    joined = skew_safe_join(keyed, cat, list(KEY_COLS), "left", hot_keys=hot_keys,
+                            min_rows=hot_key_rows, salt_source=salt)
     return joined.withColumn(prefix + "hit", F.coalesce(F.col(prefix + "hit"), F.lit(False))) \
-        .drop(*on)
+        .drop(*KEY_COLS)

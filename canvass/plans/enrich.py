@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import has_value, is_blank, is_valid
 from ..operators.columns import ensure_columns, to_internal
 from ..schema import ENRICH_ALIASES
-from ..operators.lookup import (PLACE_PAYLOAD, catalogue_by_key, detect_hot_keys, lookup,
-                                with_key)
+from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup
+from ..operators.skew import HOT_KEY_ROWS
 from ..schema import MSG_MISSING_KEY, MSG_NOT_FOUND, NOT_FOUND_TOKEN
 
 STATE_INVALID, STATE_COMPLETE, STATE_URL_ONLY, STATE_FULL = \
@@ -62,14 +62,15 @@ class EnrichResult:
 
 
 def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,),
-                 hot_keys=None, hot_key_rows: int = 1_000_000) -> DataFrame:
+                 hot_keys="detect", hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Leads with rating/review_count/maps_url filled where missing, plus
     ``plan_state`` and ``error`` columns (null error = row is fine).
 
-    ``hot_keys``: None -> AQE skew-join splitting only; a list of
-    (name key, address key) tuples -> those keys are salted; ``'detect'`` ->
-    keys with at least ``hot_key_rows`` pending rows are found first (one
-    partial-aggregated count, at most 1000 keys reach the driver) and salted.
+    ``hot_keys``: ``'detect'`` (default) -> keys with at least
+    ``hot_key_rows`` pending rows are found first (one partial-aggregated
+    count, at most 1000 keys reach the driver) and salted; a list of
+    (name key, address key) tuples -> those keys are salted; None -> plain
+    join.
     """
     staged = with_plan_state(leads, placeholders)
     cols = staged.columns
@@ -77,11 +78,8 @@ def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TO
     done = staged.where(st.isin(STATE_INVALID, STATE_COMPLETE)).withColumn(
         "error", F.when(st == STATE_INVALID, F.lit(MSG_MISSING_KEY)).cast("string"))
     todo = staged.where(st.isin(STATE_URL_ONLY, STATE_FULL))
-    if hot_keys == "detect":
-        hot_keys = detect_hot_keys(with_key(todo, "company_name", "company_address"),
-                                   min_rows=hot_key_rows)
     cat = catalogue_by_key(places, payload=PLACE_PAYLOAD)
-    j = lookup(todo, cat, hot_keys=hot_keys)
+    j = lookup(todo, cat, hot_keys=hot_keys, hot_key_rows=hot_key_rows)
     hit, full = F.col("p_hit"), st == STATE_FULL
     updated = j.select(
         *[F.when(hit & full, F.col("p_rating")).otherwise(F.col("rating")).alias(c)
@@ -141,7 +139,8 @@ def needs_reviews() -> Column:
     return ~(has_value("rating") & has_value("review_count")) & ~is_blank("company_name")
 
 
-def enrich_reviews(leads: DataFrame, places: DataFrame, hot_keys=None) -> DataFrame:
+def enrich_reviews(leads: DataFrame, places: DataFrame, hot_keys="detect",
+                   hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Fill rating and review_count (never the URL) for rows that lack them;
     a miss leaves the row unchanged and is not an error."""
     leads = ensure_columns(leads, {"rating": ("double", None),
@@ -151,7 +150,7 @@ def enrich_reviews(leads: DataFrame, places: DataFrame, hot_keys=None) -> DataFr
     done = leads.where(~need)
     todo = leads.where(need)
     cat = catalogue_by_key(places, payload=["place_id", "rating", "review_count"])
-    j = lookup(todo, cat, hot_keys=hot_keys)
+    j = lookup(todo, cat, hot_keys=hot_keys, hot_key_rows=hot_key_rows)
     hit = F.col("p_hit")
     updated = j.select(*[
         F.when(hit, F.col("p_" + c)).otherwise(F.col(c)).alias(c)

@@ -137,9 +137,22 @@ def test_salted_lookup_equals_plain_lookup_with_hot_key(spark):
         "maps_url string")
     hot = detect_hot_keys(with_key(leads, "company_name", "company_address"), min_rows=500)
     assert hot == [("hot shop", "main st")]
-    plain = rows(enrich_leads(leads, places), "row_id", "maps_url", "error")
+    plain = rows(enrich_leads(leads, places, hot_keys=None), "row_id", "maps_url", "error")
     salted = rows(enrich_leads(leads, places, hot_keys=hot), "row_id", "maps_url", "error")
-    assert plain == salted and len(salted) == n
+    detected = enrich_leads(leads, places, hot_key_rows=500)
+    assert "_salt" in detected._jdf.queryExecution().optimizedPlan().toString()
+    assert plain == salted == rows(detected, "row_id", "maps_url", "error")
+    assert len(salted) == n
+
+
+def test_skew_safe_anti_join_and_web_join_with_hot_keys(spark):
+    from canvass.operators.skew import skew_safe_join
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)],
+                                 "row_id bigint, k string")
+    right = spark.createDataFrame([("hot",), ("k3",)], "k string")
+    plain = rows(left.join(right, ["k"], "left_anti"), "row_id")
+    salted = rows(skew_safe_join(left, right, ["k"], "left_anti", min_rows=100), "row_id")
+    assert plain == salted and len(salted) == 299
 
 
 def test_fuzzy_lookup_edit_distance(spark):
