@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.columns import first_present
+from ..operators.skew import skew_safe_join
 from ..operators.topn import top_n
 from ..schema import MSG_NOT_FOUND
 
@@ -86,7 +87,8 @@ def collect_pages(responses: DataFrame, max_results: int = 20) -> DataFrame:
 
     The stop page of each query comes from one partial-aggregating
     ``groupBy(query)`` over page rows (not place rows); pages are then kept
-    by a join on query, exploded, and cut with a window limit.
+    by a join on query (a query with very many pages is salted), exploded,
+    and cut with a window limit.
     """
     p = parse(responses)
     j = F.col("_j")
@@ -95,7 +97,7 @@ def collect_pages(responses: DataFrame, max_results: int = 20) -> DataFrame:
     stops = p.groupBy("query").agg(
         F.min(F.when(bad, F.col("page"))).alias("_first_bad"),
         F.min(F.when(~bad & last, F.col("page"))).alias("_first_last"))
-    kept = (p.join(stops, "query")
+    kept = (skew_safe_join(p, stops, ["query"], "inner")
             .where((F.col("_first_bad").isNull() | (F.col("page") < F.col("_first_bad")))
                    & (F.col("_first_last").isNull() | (F.col("page") <= F.col("_first_last")))))
     ex = kept.select("query", "page", F.posexplode(j.getField("places")).alias("pos", "_p"))
