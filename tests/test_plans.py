@@ -123,3 +123,21 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(orc[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _sorted_rows(df.columns, srows) == _sorted_rows(rel.columns, rel.fetchall())
+
+
+PY_QUERIES = {"generate_resume", "generate_retry"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_append", "csv_roundtrip"}))
+def test_no_cross_join_and_python_only_where_declared(spark, name):
+    plan = plan_of(E.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert bool(PY_RE.search(plan)) == (name in PY_QUERIES), plan
+
+
+def test_library_avoids_driver_side_shortcuts():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "canvass"
+    text = "\n".join(p.read_text() for p in root.rglob("*.py"))
+    for banned in ("localCheckpoint", "toPandas(", ".rdd.map", "crossJoin(", "spark.ui.enabled\", \"true"):
+        assert banned not in text, banned
