@@ -59,6 +59,28 @@ def with_row_id(df: DataFrame, kind: str = "parquet", col: str = "row_id") -> Da
             .drop("_file", "_pos", "_off"))
 
 
+def unique_headers(names: list[str]) -> list[str]:
+    """Spark resolves column names case-insensitively, so a header repeated
+    with any casing gets a '.N' suffix (the pandas convention for exact
+    repeats): ['a', 'A', 'a'] -> ['a', 'A.1', 'a.2']."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        k = n.lower()
+        if k in seen:
+            seen[k] += 1
+            m = f"{n}.{seen[k]}"
+            while m.lower() in seen:
+                seen[k] += 1
+                m = f"{n}.{seen[k]}"
+            seen[m.lower()] = 0
+            out.append(m)
+        else:
+            seen[k] = 0
+            out.append(n)
+    return out
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.options(**{**CSV_READ, "header": "false"}).csv(path).limit(1).collect()
     return [str(v) if v is not None else "" for v in first[0]] if first else []
@@ -69,7 +91,7 @@ def read_leads_csv(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
     """CSV -> DataFrame.  Columns are read positionally (headers that differ
     only by case stay distinct), missing tokens -> null, known columns typed.
     ``row_id=True`` adds the 0-based data-row position (see ``with_row_id``)."""
-    names = _header(spark, path)
+    names = unique_headers(_header(spark, path))
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     raw = spark.read.options(**CSV_READ).schema(schema).csv(path)
     if row_id and "row_id" not in names:

@@ -242,3 +242,14 @@ def test_blank_url_rows_depend_on_blank_existing_key(spark):
     assert rows(new_rows(plain, new), "company_name") == [("A",), ("B",), ("C",)]
     with_blank = spark.createDataFrame([("E", "e", "u1"), ("G", "g", "   ")], schema)
     assert rows(new_rows(with_blank, new), "company_name") == [("C",)]
+
+
+def test_csv_headers_differing_by_case_stay_distinct(spark, tmp_path):
+    from canvass.sources.leads_io import read_leads_csv, unique_headers
+    assert unique_headers(["a", "A", "a", "b"]) == ["a", "A.1", "a.2", "b"]
+    path = tmp_path / "h.csv"
+    path.write_text("Company Name,Notes,notes\nA,x,y\n")
+    df = read_leads_csv(spark, str(path))
+    assert df.columns == ["company_name", "Notes", "notes.1"]
+    r = df.collect()[0]
+    assert (r["Notes"], r["notes.1"]) == ("x", "y")
