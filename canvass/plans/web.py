@@ -43,14 +43,26 @@ def web_state(mode: str = "batch") -> Column:
 
 
 def page_table(pages: DataFrame, unique_urls: bool = False) -> DataFrame:
-    """One feature row per URL (min over the feature struct when a URL was
-    crawled twice; a partial aggregate, never a per-URL collect)."""
-    feats = page_features(pages)
+    """One feature row per URL.
+
+    A URL crawled more than once keeps one crawl: the latest (when the
+    snapshot has ``fetched_at``), then a 2xx one, then one with a
+    description, then one with a title, then the smallest texts (a
+    deterministic tie-break).  A partial aggregate, never a per-URL collect.
+    """
+    keep = ("fetched_at",) if "fetched_at" in pages.columns else ()
+    feats = page_features(pages, keep=keep)
     if unique_urls:
-        return feats
+        return feats.drop(*keep)
     extra = ["status"] if "status" in feats.columns else []
-    return best_per_key(feats, ["url"], [("description", "asc"), ("title", "asc")],
-                        FEATURES + extra)
+    order = []
+    if keep:
+        order.append((F.col("fetched_at").cast("timestamp").cast("double"), "desc"))
+    if extra:
+        order.append((~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "asc"))
+    order += [(F.col("description") == "", "asc"), (F.col("title") == "", "asc"),
+              ("description", "asc"), ("title", "asc")]
+    return best_per_key(feats, ["url"], order, FEATURES + extra)
 
 
 def fetch_error(status_col) -> Column:

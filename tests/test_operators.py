@@ -253,3 +253,20 @@ def test_csv_headers_differing_by_case_stay_distinct(spark, tmp_path):
     assert df.columns == ["company_name", "Notes", "notes.1"]
     r = df.collect()[0]
     assert (r["Notes"], r["notes.1"]) == ("x", "y")
+
+
+def test_web_snapshot_status_and_duplicate_urls(spark):
+    from canvass.plans.web import enrich_web
+    leads = spark.createDataFrame(
+        [(0, "Ok Co", "a.example", None), (1, "Gone Co", "https://b.example", None),
+         (2, "Twice", "https://c.example", None), (3, "Kept", "https://a.example", "done before")],
+        "row_id bigint, company_name string, website string, research_brief string")
+    pages = spark.createDataFrame(
+        [("https://a.example", "<title>A</title><p>About A</p>", 200),
+         ("https://b.example", "<title>B</title>", 404),
+         ("https://c.example", "<title>C</title>", 200),
+         ("https://c.example", "<title>C</title><meta name=description content='Cc'>", 200)],
+        "url string, html string, status int")
+    out = {r["row_id"]: r["research_brief"] for r in enrich_web(leads, pages).collect()}
+    assert out == {0: "Ok Co: About A", 1: "Could not fetch: Request failed: HTTP 404",
+                   2: "Twice: Cc", 3: "done before"}
