@@ -104,7 +104,7 @@ def _cells(lat: Column, lng: Column, cell_deg: float):
 
 
 def within_radius_many(places: DataFrame, centres: DataFrame, radius_m: float,
-                       cell_deg: float = 1.0) -> DataFrame:
+                       cell_deg: float | None = None) -> DataFrame:
     """``centres(centre_id, lat, lng)`` x places within ``radius_m``.
 
     Grid equi-join on (lat cell, lng cell): every centre lists all cells its
@@ -115,6 +115,11 @@ def within_radius_many(places: DataFrame, centres: DataFrame, radius_m: float,
     if radius_m is None or radius_m <= 0:
         raise ValueError("radius must be > 0")
     dlat = _lat_span(radius_m)
+    if cell_deg is None:
+        # Cells about one radius wide: a centre touches ~3x3 cells away from
+        # the poles, and the candidate pairs are a small constant multiple of
+        # the true matches.  360 must divide into whole cells.
+        cell_deg = 360.0 / max(1, min(36000, int(360.0 / max(dlat, 0.01))))
     n_lng_cells = int(round(360.0 / cell_deg))
     lat = F.col("c_lat")
     lat_lo, lat_hi = F.greatest(lat - dlat, F.lit(-90.0)), F.least(lat + dlat, F.lit(90.0))

@@ -70,6 +70,9 @@ def test_radius_many_matches_brute_force_incl_poles_and_antimeridian(spark):
            within_radius_many(places, cdf, r, cell_deg=2.0).collect()}
     want = {(c, p) for c, cl, cg in centres for p, pl, pg in pts if _hav(cl, cg, pl, pg) <= r}
     assert got == want and ("edge_w" in {p for c, p in got if c == 0})
+    auto = {(x["centre_id"], x["place_id"]) for x in
+            within_radius_many(places, cdf, r).collect()}      # cells sized to the radius
+    assert auto == want
     one = {x["place_id"] for x in within_radius(places, 10.0, 179.95, r).collect()}
     assert one == {p for c, p in want if c == 0}
 
