@@ -14,6 +14,7 @@ from .operators.generate import generate, with_prompts
 from .operators.merge import merge_back, preview, result_metrics, resume
 from .operators.search import search_many, search_places, within_radius, within_radius_many
 from .plans.enrich import enrich, enrich_reviews, prepare_for_enrich
+from .plans.jobs import enrich_file, enrich_web_file, generate_file, search_file
 from .plans.run import run, run_preview, run_rest
 from .plans.search import search
 from .plans.web import enrich_web
@@ -25,7 +26,8 @@ from .streaming.append import stream_append
 
 __all__ = [
     "append_dataset", "append_new", "append_summary", "checkpoint_dir", "collect_pages",
-    "enrich", "enrich_reviews", "enrich_web", "flatten_responses", "fuzzy_lookup", "generate",
+    "enrich", "enrich_file", "enrich_reviews", "enrich_web", "enrich_web_file", "generate_file",
+    "search_file", "flatten_responses", "fuzzy_lookup", "generate",
     "get_spark", "harmonise_places", "lookup_outcome", "merge_back", "prepare_for_enrich",
     "preview", "read_leads_csv", "result_metrics", "resume", "run", "run_preview", "run_rest",
     "search", "search_many", "search_places", "stream_append", "with_prompts", "with_row_id",
