@@ -110,7 +110,9 @@ def write_leads(df: DataFrame, path: str, fmt: str = "parquet", external_headers
     out = df.orderBy(order_by) if order_by and order_by in df.columns else df
     if fmt == "csv":
         if external_headers:
-            out = to_external(out)
+            # A spreadsheet file has no row-id column: identity is the line
+            # position, recomputed on read (``with_row_id``).
+            out = to_external(out.drop("row_id"))
         out.write.mode(mode).options(**CSV_WRITE).csv(path)
     elif fmt == "parquet":
         out.write.mode(mode).parquet(path)

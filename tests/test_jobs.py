@@ -37,7 +37,7 @@ def test_enrich_file_keeps_extra_columns_and_writes_errors(spark, tmp_path):
     rows = _read_csv_dir(out)
     assert [r["Contact Email"] for r in rows] == ["a@x.com", "b@x.com", "c@x.com"]
     assert rows[0]["Google Review Rating"] == "4.8" and rows[0]["Google Maps URL"] == "https://m/?cid=1"
-    assert "plan_state" not in rows[0] and "error" not in rows[0]
+    assert "plan_state" not in rows[0] and "error" not in rows[0] and "row_id" not in rows[0]
     errs = _read_csv_dir(err)
     assert [(e["row"], e["error"]) for e in errs] == [
         ("3", "Missing business name or address"), ("4", "Business not found on Google Maps")]
