@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .langid import identify, train
 from .lines import line_dedup
 from .mixing import mix
+from .setjoin import jaccard_components
 
 QUERIES, ORACLE = {}, {}
 
@@ -87,3 +88,9 @@ def op9_language_id(spark, sf_dir):
     dictionaries = train(docs.where(~held_out))
     return (identify(docs.select("doc_id", "text"), dictionaries)
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    return (jaccard_components(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id"))
