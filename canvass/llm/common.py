@@ -129,7 +129,7 @@ class Words:
         return at, run_hashes(hashes, at, at + width, BASES[1 - which])
 
 
-def byte_slices(texts: list[bytes], limit: int = 8 << 20):
+def byte_slices(texts: list[bytes], limit: int = 4 << 20):
     """(from, to) of consecutive texts of about ``limit`` bytes; a longer text stands alone."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .langid import identify, train
 from .lines import line_dedup
 from .mixing import mix
+from .repeats import remove_repeats
 from .setjoin import jaccard_components
 
 QUERIES, ORACLE = {}, {}
@@ -81,6 +82,29 @@ FROM w LEFT JOIN hw ON w.rid = hw.rid LEFT JOIN hi ON w.rid = hi.rid WHERE w.kin
 """
 
 
+@query
+def op8_substring_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(list_filter(string_split(regexp_replace(text,
+             '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> ''), []) AS ws FROM documents),
+w AS (SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM w JOIN r USING (h)),
+x AS (SELECT d.rid, p.no, p.word FROM d, LATERAL (SELECT unnest(ws) AS word, generate_subscripts(ws, 1) AS no) p),
+k AS (SELECT x.rid, count(g.p) AS n_removed, string_agg(x.word, ' ' ORDER BY x.no) FILTER (g.p IS NULL) AS kept
+      FROM x LEFT JOIN g ON x.rid = g.rid AND x.no = g.p GROUP BY x.rid)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""
+
+
 @query
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
