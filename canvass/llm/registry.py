@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import hmm
 from .common import WORD, crc_remainder, stage, table
 from .decontaminate import decontaminate
 from .langid import identify, train
@@ -52,6 +53,12 @@ FROM d LEFT JOIN g ON d.rid = g.rid
 """
 
 
+@query
+def op5_hidden_markov(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score(docs, crc_remainder(F.col("doc_id"), 7) == 2)
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
