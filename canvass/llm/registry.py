@@ -10,6 +10,7 @@ from .decontaminate import decontaminate
 from .langid import identify, train
 from .lines import line_dedup
 from .mixing import mix
+from .pivots import top_k
 from .repeats import remove_repeats
 from .setjoin import jaccard_components
 
@@ -31,6 +32,22 @@ def op2_mix_sources(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+@query
+def op3_pivot_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLE["op3_pivot_topk"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+      FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
