@@ -9,6 +9,7 @@ from .common import WORD, crc_remainder, stage, table
 from .decontaminate import decontaminate
 from .langid import identify, train
 from .lines import line_dedup
+from .mainhtml import extract
 from .mixing import mix
 from .pivots import top_k
 from .repeats import remove_repeats
@@ -106,6 +107,11 @@ FROM w LEFT JOIN hw ON w.rid = hw.rid LEFT JOIN hi ON w.rid = hi.rid WHERE w.kin
 """
 
 
+@query
+def op7_main_html(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
