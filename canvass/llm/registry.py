@@ -14,6 +14,7 @@ from .mixing import mix
 from .pivots import top_k
 from .repeats import remove_repeats
 from .setjoin import jaccard_components
+from .surrogates import pseudonymise
 
 QUERIES, ORACLE = {}, {}
 
@@ -23,6 +24,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key="op1").select("doc_id", "text", "n_entities")
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
