@@ -42,7 +42,7 @@ def letters_of(text: str) -> bytes:
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          sample_docs: int = 2000, dict_bytes: int = 64 << 10, take: int = 256) -> dict[str, bytes]:
+          sample_docs: int = 500, dict_bytes: int = 64 << 10, take: int = 256) -> dict[str, bytes]:
     """language -> dictionary content, from a bounded sample of labelled rows.
 
     The rows with the smallest key hash are drawn per language; the first
