@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key, strip
-from .columns import resolve_columns
+from .columns import found_headers, resolve_columns, to_external, to_internal
 from .skew import skew_safe_join
 
+# Headers that name a lead, in the order they are tried.
 NAME_ALIASES = {"company_name": ["company_name", "Company Name", "Business Name"],
                 "company_address": ["company_address", "Company Address", "Business Address"]}
 
@@ -55,7 +56,7 @@ def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     existing table hold a blank key?"), which is safe to broadcast.  All
     other keys take a shuffled anti join against the distinct existing keys
     (partial aggregation first); a key repeated very often in the new batch
-    is salted (``operators.skew``).
+    is split at run time (``operators.skew``).
     """
     blank = F.lit(True)
     for c in on:
@@ -69,9 +70,20 @@ def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def append_new(existing: DataFrame, new: DataFrame, by: str = "auto") -> DataFrame:
     """Existing rows, then the kept new rows (union by name; columns only one
-    side has are null on the other; existing column order first)."""
-    kept = new_rows(existing, new, by)
-    return existing.unionByName(kept, allowMissingColumns=True)
+    side has are null on the other; existing column order first).
+
+    Either side may have external headers; the existing table's headers are
+    kept, and new columns get the external ones if it has any.
+    """
+    headers = found_headers(existing.columns)
+    inner, new = to_internal(existing, typed=False), to_internal(new, typed=False)
+    kept = new_rows(inner, new, by)
+    if headers:
+        # Text cells of a spreadsheet file stay text.
+        kinds = {c: t for c, t in inner.dtypes}
+        kept = kept.select(*[F.col(c).cast(kinds.get(c, t)).alias(c) for c, t in kept.dtypes])
+    out = inner.unionByName(kept, allowMissingColumns=True)
+    return to_external(out, headers) if headers else out
 
 
 def append_summary(existing: DataFrame, new: DataFrame, by: str = "auto") -> DataFrame:

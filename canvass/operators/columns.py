@@ -44,18 +44,25 @@ def resolve_columns(columns, aliases: dict[str, list[str]],
     return found
 
 
+def found_headers(columns, aliases: dict[str, list[str]] | None = None,
+                  required=()) -> dict[str, str]:
+    """{internal name: the header that the table has for it}."""
+    cols = [c for c in columns if c not in LEAD_FIELDS]
+    required = [r for r in required if r not in columns]
+    return resolve_columns(cols, {k: v for k, v in {**HEADER_ALIASES, **(aliases or {})}.items()
+                                  if k not in columns}, required)
+
+
 def to_internal(df: DataFrame, aliases: dict[str, list[str]] | None = None,
-                required=()) -> DataFrame:
+                required=(), typed: bool = True) -> DataFrame:
     """Rename external headers to internal names and cast known columns.
 
     Unknown columns pass through untouched.  Known typed columns use
     ``try_cast`` (text such as 'Not Found' in a numeric column becomes null;
-    '127.0' becomes 127).
+    '127.0' becomes 127).  ``typed=False`` keeps every cell as it is, for jobs
+    that write a user's file back.
     """
-    aliases = {**HEADER_ALIASES, **(aliases or {})}
-    cols = [c for c in df.columns if c not in LEAD_FIELDS]
-    mapping = resolve_columns(cols, aliases, required)
-    inv = {v: k for k, v in mapping.items()}
+    inv = {v: k for k, v in found_headers(df.columns, aliases, required).items()}
     out = []
     for c in df.columns:
         internal = inv.get(c, c if c in LEAD_FIELDS else None)
@@ -64,7 +71,9 @@ def to_internal(df: DataFrame, aliases: dict[str, list[str]] | None = None,
             continue
         typ = LEAD_FIELDS[internal][0]
         col = F.col(f"`{c}`")
-        if isinstance(typ, T.LongType):
+        if not typed:
+            pass
+        elif isinstance(typ, T.LongType):
             col = col.cast("string").try_cast("double").try_cast("bigint") \
                 if not isinstance(df.schema[c].dataType, T.LongType) else col
         elif isinstance(typ, T.DoubleType):
@@ -74,9 +83,11 @@ def to_internal(df: DataFrame, aliases: dict[str, list[str]] | None = None,
     return df.select(*out)
 
 
-def to_external(df: DataFrame) -> DataFrame:
-    """Internal names back to the external CSV headers."""
-    return df.select(*[F.col(f"`{c}`").alias(LEAD_FIELDS[c][1]) if c in LEAD_FIELDS
+def to_external(df: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """Internal names back to headers: those the user had (``headers``, see
+    ``found_headers``), else the external CSV headers."""
+    headers = headers or {}
+    return df.select(*[F.col(f"`{c}`").alias(headers.get(c, LEAD_FIELDS[c][1])) if c in LEAD_FIELDS
                        and c != "row_id" else F.col(f"`{c}`") for c in df.columns])
 
 
@@ -95,8 +106,3 @@ def first_present(columns, *names: str, default=None) -> Column:
     if not cols:
         return F.lit(None)
     return F.coalesce(*cols) if len(cols) > 1 else cols[0]
-
-
-def update_when(df: DataFrame, cond: Column, updates: dict[str, Column]) -> DataFrame:
-    """``col := new`` only where ``cond`` holds; other rows keep old values."""
-    return df.withColumns({c: F.when(cond, v).otherwise(F.col(c)) for c, v in updates.items()})

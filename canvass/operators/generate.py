@@ -3,11 +3,12 @@
 Rendering is a JVM-side ``concat`` (see ``functions.template``).  The
 generator is the one Python stage of the library: rows that still need a
 text go through ``mapInPandas`` in Arrow batches; rows that are done never
-leave the JVM.  Each batch is handed to ``fn`` at once; if that call raises,
-the batch is retried row by row so one bad row only fails itself.
+leave the JVM.  ``fn`` gets ``batch_rows`` prompts a call and no prompt twice:
+a call that raises fails the rows of that call, and a call may return an
+exception in place of a text to fail one row.
 
-``fn(prompts: pandas.Series) -> sequence of str`` -- e.g. a client for a
-hosted model.  Results are stripped; failures become
+``fn(prompts: pandas.Series) -> sequence of str or Exception`` -- e.g. a
+client for a hosted model.  Results are stripped; failures become
 ``'Error: LLM error: <first 100 chars of the exception>'``.
 """
 
@@ -56,46 +57,41 @@ def _error_text(exc: BaseException) -> str:
     return ERROR_PREFIX + LLM_ERROR + str(exc)[:100]
 
 
-def _call_rows(fn, prompts: pd.Series) -> list[str]:
+def _call(fn, prompts: pd.Series) -> list[str]:
     try:
         out = list(fn(prompts))
         if len(out) != len(prompts):
             raise ValueError(f"generator returned {len(out)} texts for {len(prompts)} prompts")
-        return [_finish(v) for v in out]
-    except Exception:
-        if len(prompts) == 1:
-            raise
-    res = []
-    for p in prompts:
-        try:
-            res.append(_finish(list(fn(pd.Series([p])))[0]))
-        except Exception as e:  # one row's failure never stops the job
-            res.append(_error_text(e))
-    return res
+    except Exception as e:  # a failed call never stops the job
+        return [_error_text(e)] * len(prompts)
+    return [_finish(v) for v in out]
 
 
 def _finish(v) -> str:
     if v is None:
-        raise ValueError("empty response")
-    return str(v).strip()
+        v = ValueError("empty response")
+    return _error_text(v) if isinstance(v, BaseException) else str(v).strip()
 
 
 def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
              product_description: str = "", retry_errors: bool = False,
-             col: str = "generated_email") -> DataFrame:
-    """``leads`` with ``col`` filled for pending rows (others unchanged)."""
+             col: str = "generated_email", batch_rows: int = 1,
+             partitions: int | None = None) -> DataFrame:
+    """``leads`` with ``col`` filled for pending rows (others unchanged).
+
+    ``batch_rows``: prompts per call of ``fn``.  ``partitions``: spreads the
+    pending rows over so many tasks (a small input file whose calls are slow);
+    without it they stay where they are.  Lazy, and every action runs ``fn``
+    again: write the result once before sorting or reusing it.
+    """
     render_prompt(template, product_description, leads.columns)  # fail before any row runs
     leads = ensure_columns(leads, {col: ("string", "")})
     cols = leads.columns
     pending = needs_text(retry_errors, col)
     done = leads.where(~pending)
     todo = leads.where(pending)
-    # Model calls dominate this stage: when the pending rows sit in fewer
-    # partitions than there are task slots (a small input file), spread them
-    # round-robin first.  Large inputs already have many splits: no shuffle.
-    slots = leads.sparkSession.sparkContext.defaultParallelism
-    if todo.rdd.getNumPartitions() < slots:
-        todo = todo.repartition(slots)
+    if partitions:
+        todo = todo.repartition(partitions)
     todo = todo.withColumn("_prompt", render_prompt(template, product_description, cols))
     schema = leads.schema
     _ship_by_value(sys.modules[__name__.split(".")[0]])
@@ -103,12 +99,9 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                try:
-                    texts = _call_rows(fn, pdf["_prompt"])
-                except Exception as e:
-                    texts = [_error_text(e)]
-                pdf[col] = texts
+            prompts = pdf["_prompt"]
+            pdf[col] = [text for at in range(0, len(prompts), batch_rows)
+                        for text in _call(fn, prompts.iloc[at:at + batch_rows])]
             yield pdf[cols]
 
     return done.unionByName(todo.mapInPandas(run, schema))
@@ -117,7 +110,7 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
 def upper_generator(prompts: pd.Series) -> list[str]:
     """Deterministic stand-in generator (upper-cases the prompt).  Rows whose
     prompt has no company name fail, to exercise per-row error handling."""
-    bad = prompts.str.contains("Company: N/A", regex=False)
+    bad = prompts.str.contains("Business name: N/A", regex=False)
     if bad.any():
         raise ValueError("no company name")
     return list(prompts.str.upper())

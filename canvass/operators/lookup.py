@@ -9,10 +9,8 @@ Scale notes
   ``best_per_key``) so duplicated / hot catalogue keys never meet in one task.
 * Join keys are never null (``match_key`` maps null to ''), so no artificial
   null-key partition forms.
-* A lead key that holds a large share of rows is detected and salted
-  (``operators.skew``): its lead rows spread over many salts, its single
-  catalogue row is replicated per salt.  AQE's own skew split cannot apply
-  here because the catalogue side is an aggregate output.
+* A lead key that holds a large share of rows is split at run time by
+  adaptive execution (``operators.skew``).
 * No broadcast hint: the catalogue can be large; AQE turns the join into a
   broadcast only when the runtime size is under
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
@@ -24,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
-from .skew import HOT_KEY_ROWS, skew_safe_join
-from .skew import detect_hot_keys as _detect
+from .skew import skew_safe_join
 from .topn import best_per_key
 
 KEY_COLS = ["_kn", "_ka"]
@@ -45,26 +42,17 @@ def catalogue_by_key(places: DataFrame, payload=PLACE_PAYLOAD, order=PLACE_ORDER
     return best_per_key(keyed, KEY_COLS, order, list(payload))
 
 
-def detect_hot_keys(df: DataFrame, key_cols=KEY_COLS, min_rows: int = HOT_KEY_ROWS,
-                    max_keys: int = 1000) -> list[tuple]:
-    return _detect(df, key_cols, min_rows, max_keys)
-
-
 def lookup(leads: DataFrame, catalogue: DataFrame, name_col: str = "company_name",
-           addr_col: str = "company_address", prefix: str = "p_",
-           hot_keys="detect", hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+           addr_col: str = "company_address", prefix: str = "p_") -> DataFrame:
     """``leads`` left-joined to a one-row-per-key ``catalogue``.
 
     Catalogue payload columns arrive prefixed with ``prefix`` plus a boolean
-    ``{prefix}hit``; lead rows are never multiplied or dropped.  Hot lead
-    keys are salted (``operators.skew``); ``hot_keys=None`` turns that off.
+    ``{prefix}hit``; lead rows are never multiplied or dropped.
     """
     cat = catalogue.select(*KEY_COLS, *[F.col(c).alias(prefix + c) for c in catalogue.columns
                                         if c not in KEY_COLS],
                            F.lit(True).alias(prefix + "hit"))
     keyed = with_key(leads, name_col, addr_col)
-    salt = F.xxhash64("row_id") if "row_id" in leads.columns else None
-    joined = skew_safe_join(keyed, cat, list(KEY_COLS), "left", hot_keys=hot_keys,
-                            min_rows=hot_key_rows, salt_source=salt)
+    joined = skew_safe_join(keyed, cat, list(KEY_COLS), "left")
     return joined.withColumn(prefix + "hit", F.coalesce(F.col(prefix + "hit"), F.lit(False))) \
         .drop(*KEY_COLS)

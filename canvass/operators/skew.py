@@ -1,75 +1,22 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Every lookup-style join in this package has a one-row-per-key right side
-that comes out of an aggregate (catalogue dedup, distinct keys, page dedup).
-Such a side keeps the aggregate's partitioning, and AQE's skew-join rule
-only splits joins whose *both* inputs are join-inserted shuffles, so it
-cannot help there.  ``skew_safe_join`` therefore handles hot keys itself:
-
-1. ``detect_hot_keys``: one partial-aggregated count per key over the left
-   side; keys with at least ``min_rows`` rows are returned, at most
-   ``max_keys`` of them (a fixed bound on what reaches the driver).
-2. Left rows of a hot key get a salt in ``[0, buckets)`` derived from the
-   row's own content (deterministic, so a retried task routes every row the
-   same way); all other rows get salt 0.  The right row of a hot key is
-   replicated once per salt (``buckets`` copies of one row per hot key).
-3. Equi-join on (key, salt).  No left row is dropped or duplicated.
+Every lookup-style join in this package has a one-row-per-key right side that
+comes out of an aggregate (catalogue dedup, distinct keys, page dedup).  Such a
+side keeps the aggregate's partitioning, and adaptive execution only splits
+joins whose *both* inputs are shuffled for the join itself.  ``skew_safe_join``
+therefore joins on one more column, a hash of the keys made after the
+aggregate: both sides get a shuffle of their own, and a partition that a hot
+key fills is split at run time, its right row replicated per part.  Nothing is
+counted beforehand, and no key or size is treated apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEY_ROWS = 200_000   # a key this large would make one task far above the rest
-MAX_HOT_KEYS = 1000
-SALT_BUCKETS = 32
-
-
-def detect_hot_keys(df: DataFrame, key_cols, min_rows: int = HOT_KEY_ROWS,
-                    max_keys: int = MAX_HOT_KEYS) -> list[tuple]:
-    counts = df.groupBy(*key_cols).count().where(F.col("count") >= min_rows)
-    rows = counts.orderBy(F.col("count").desc()).limit(max_keys).collect()
-    return [tuple(r[c] for c in key_cols) for r in rows]
-
-
-def _hot_predicate(hot_keys, key_cols) -> Column:
-    cond = F.lit(False)
-    for key in hot_keys:
-        term = F.lit(True)
-        for c, v in zip(key_cols, key):
-            term = term & (F.col(c) == F.lit(v)) if v is not None else term & F.col(c).isNull()
-        cond = cond | term
-    return cond
-
-
-def salt_hot_keys(left: DataFrame, right: DataFrame, hot_keys, key_cols, buckets: int,
-                  salt_source: Column | None = None):
-    """Add ``_salt`` to both sides (see module doc)."""
-    if not hot_keys or buckets <= 1:
-        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
-    src = salt_source if salt_source is not None else F.xxhash64(*[F.col(c) for c in left.columns])
-    hot = _hot_predicate(hot_keys, key_cols)
-    left = left.withColumn(
-        "_salt", F.when(hot, F.pmod(src, F.lit(buckets))).otherwise(F.lit(0)).cast("int"))
-    right = right.withColumn(
-        "_salt", F.explode(F.when(_hot_predicate(hot_keys, key_cols),
-                                  F.sequence(F.lit(0), F.lit(buckets - 1)))
-                           .otherwise(F.array(F.lit(0)))))
-    return left, right
-
-
-def skew_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                   hot_keys="detect", min_rows: int = HOT_KEY_ROWS,
-                   buckets: int = SALT_BUCKETS, salt_source: Column | None = None) -> DataFrame:
-    """``left.join(right, on, how)`` with hot left keys salted.
 
-    ``right`` must hold at most one row per key.  ``hot_keys``: 'detect'
-    (default), an explicit list of key tuples, or None (plain join).
-    """
-    if hot_keys == "detect":
-        hot_keys = detect_hot_keys(left, on, min_rows)
-    if not hot_keys:
-        return left.join(right, on, how)
-    l2, r2 = salt_hot_keys(left, right, hot_keys, on, buckets, salt_source)
-    return l2.join(r2, on + ["_salt"], how).drop("_salt")
+def skew_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``left.join(right, on, how)`` in a shape that adaptive execution can split."""
+    key = F.xxhash64(*[F.col(c) for c in on])
+    return left.withColumn("_jk", key).join(right.withColumn("_jk", key), ["_jk", *on], how).drop("_jk")

@@ -21,7 +21,6 @@ from ..functions.text import has_value, is_blank, is_valid
 from ..operators.columns import ensure_columns, to_internal
 from ..schema import ENRICH_ALIASES
 from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup
-from ..operators.skew import HOT_KEY_ROWS
 from ..schema import MSG_MISSING_KEY, MSG_NOT_FOUND, NOT_FOUND_TOKEN
 
 STATE_INVALID, STATE_COMPLETE, STATE_URL_ONLY, STATE_FULL = \
@@ -47,11 +46,11 @@ def with_plan_state(leads: DataFrame, placeholders=(NOT_FOUND_TOKEN,)) -> DataFr
     return leads.withColumn("plan_state", plan_state(placeholders))
 
 
-def prepare_for_enrich(raw: DataFrame) -> DataFrame:
+def prepare_for_enrich(raw: DataFrame, typed: bool = True) -> DataFrame:
     """External headers -> internal names for the enrichment job: 'Business
     Name/Address' are preferred over 'Company ...'; a table without a name or
     address column is rejected (ValueError listing the available columns)."""
-    return to_internal(raw, ENRICH_ALIASES, required=("company_name", "company_address"))
+    return to_internal(raw, ENRICH_ALIASES, required=("company_name", "company_address"), typed=typed)
 
 
 @dataclass
@@ -61,17 +60,9 @@ class EnrichResult:
     summary: DataFrame
 
 
-def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,),
-                 hot_keys="detect", hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,)) -> DataFrame:
     """Leads with rating/review_count/maps_url filled where missing, plus
-    ``plan_state`` and ``error`` columns (null error = row is fine).
-
-    ``hot_keys``: ``'detect'`` (default) -> keys with at least
-    ``hot_key_rows`` pending rows are found first (one partial-aggregated
-    count, at most 1000 keys reach the driver) and salted; a list of
-    (name key, address key) tuples -> those keys are salted; None -> plain
-    join.
-    """
+    ``plan_state`` and ``error`` columns (null error = row is fine)."""
     staged = with_plan_state(leads, placeholders)
     cols = staged.columns
     st = F.col("plan_state")
@@ -79,20 +70,22 @@ def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TO
         "error", F.when(st == STATE_INVALID, F.lit(MSG_MISSING_KEY)).cast("string"))
     todo = staged.where(st.isin(STATE_URL_ONLY, STATE_FULL))
     cat = catalogue_by_key(places, payload=PLACE_PAYLOAD)
-    j = lookup(todo, cat, hot_keys=hot_keys, hot_key_rows=hot_key_rows)
+    j = lookup(todo, cat)
     hit, full = F.col("p_hit"), st == STATE_FULL
     updated = j.select(
-        *[F.when(hit & full, F.col("p_rating")).otherwise(F.col("rating")).alias(c)
-          if c == "rating" else
-          F.when(hit & full, F.col("p_review_count")).otherwise(F.col("review_count")).alias(c)
-          if c == "review_count" else
-          F.when(hit, F.col("p_maps_url")).otherwise(F.col("maps_url")).alias(c)
-          if c == "maps_url" else F.col(c)
+        *[_update(staged, c, hit & full) if c in ("rating", "review_count") else
+          _update(staged, c, hit) if c == "maps_url" else F.col(c)
           for c in cols],
         F.when(~hit, F.lit(MSG_NOT_FOUND)).alias("error"))
     return done.unionByName(updated)
 
 
+def _update(df: DataFrame, c: str, cond: Column) -> Column:
+    """The place's value where ``cond`` holds, in the column's own type (a
+    file's text column stays text), else the lead's own value untouched."""
+    return F.when(cond, F.col("p_" + c).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+
+
 def event_time() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -139,8 +132,7 @@ def needs_reviews() -> Column:
     return ~(has_value("rating") & has_value("review_count")) & ~is_blank("company_name")
 
 
-def enrich_reviews(leads: DataFrame, places: DataFrame, hot_keys="detect",
-                   hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def enrich_reviews(leads: DataFrame, places: DataFrame) -> DataFrame:
     """Fill rating and review_count (never the URL) for rows that lack them;
     a miss leaves the row unchanged and is not an error."""
     leads = ensure_columns(leads, {"rating": ("double", None),
@@ -150,9 +142,8 @@ def enrich_reviews(leads: DataFrame, places: DataFrame, hot_keys="detect",
     done = leads.where(~need)
     todo = leads.where(need)
     cat = catalogue_by_key(places, payload=["place_id", "rating", "review_count"])
-    j = lookup(todo, cat, hot_keys=hot_keys, hot_key_rows=hot_key_rows)
+    j = lookup(todo, cat)
     hit = F.col("p_hit")
     updated = j.select(*[
-        F.when(hit, F.col("p_" + c)).otherwise(F.col(c)).alias(c)
-        if c in ("rating", "review_count") else F.col(c) for c in cols])
+        _update(leads, c, hit) if c in ("rating", "review_count") else F.col(c) for c in cols])
     return done.unionByName(updated)

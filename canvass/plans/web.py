@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.html import brief, failure_brief, page_features
 from ..functions.text import is_blank, with_scheme
 from ..operators.columns import ensure_columns
-from ..operators.skew import HOT_KEY_ROWS, skew_safe_join
+from ..operators.skew import skew_safe_join
 from ..operators.topn import best_per_key
 from ..schema import (MSG_NO_WEBSITE, MSG_NO_WEBSITE_URL, MSG_NOT_IN_SNAPSHOT,
                       SOCIAL_COLUMNS, WEB_COLUMNS)
@@ -70,11 +70,10 @@ def fetch_error(status_col) -> Column:
 
 
 def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
-               unique_urls: bool = False, hot_keys="detect",
-               hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+               unique_urls: bool = False) -> DataFrame:
     """Leads with the four social links and the research brief filled for
-    the rows that need them.  A website shared by very many leads is salted
-    (``operators.skew``)."""
+    the rows that need them.  A website shared by very many leads is split
+    at run time (``operators.skew``)."""
     leads = ensure_columns(leads, {c: ("string", "") for c in WEB_COLUMNS})
     cols = leads.columns
     staged = leads.withColumn("_ws", web_state(mode))
@@ -95,9 +94,7 @@ def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
     feats = feats.select(F.col("url").alias("_url"), *[F.col(c).alias("_f_" + c)
                                                        for c in feats.columns if c != "url"],
                          F.lit(True).alias("_hit"))
-    salt = F.xxhash64("row_id") if "row_id" in todo.columns else None
-    j = skew_safe_join(todo, feats, ["_url"], "left", hot_keys=hot_keys,
-                       min_rows=hot_key_rows, salt_source=salt)
+    j = skew_safe_join(todo, feats, ["_url"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     reason = F.when(~hit, F.lit(MSG_NOT_IN_SNAPSHOT))
     if "_f_status" in j.columns:

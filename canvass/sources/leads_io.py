@@ -25,38 +25,31 @@ CSV_WRITE = {"header": "true", "escape": '"', "quote": '"', "emptyValue": "",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-MAX_BROADCAST_FILES = 1_000_000  # offsets table: one small row per input file
-
-
 def with_row_id(df: DataFrame, kind: str = "parquet", col: str = "row_id") -> DataFrame:
     """Stable 0-based row position across all input files, in (file path,
     position in file) order -- the row number a spreadsheet user sees.
 
     ``df`` must come straight from a file scan (no shuffle in between).
     parquet: position = ``_metadata.row_index``.  csv: files are read with
-    ``multiLine`` (not splittable: one partition per file), so the position
-    is ``monotonically_increasing_id`` minus its partition base.  Per-file
-    offsets come from a one-row-per-file aggregate; it is broadcast only
-    after checking the number of input files.
+    ``multiLine`` (not splittable; several files may share a partition), so
+    the position is ``monotonically_increasing_id`` minus the file's least
+    id.  Offsets come from a one-row-per-file aggregate.
     """
     if kind == "parquet":
         pos = F.col("_metadata.row_index")
     elif kind == "csv":
-        pos = F.monotonically_increasing_id() - F.shiftleft(
-            F.spark_partition_id().cast("bigint"), 33)
+        pos = F.monotonically_increasing_id()
     else:
         raise ValueError(f"unknown kind {kind!r}")
     base = df.select("*", F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
-    counts = base.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    counts = base.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_min"))
     # One row per file: the running sum runs in a single task over file rows.
     offsets = counts.select(
-        "_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(
+        "_file", "_min", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (base.join(offsets, "_file")
-            .withColumn(col, (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_file", "_pos", "_off"))
+            .withColumn(col, (F.col("_off") + F.col("_pos") - F.col("_min")).cast("bigint"))
+            .drop("_file", "_pos", "_off", "_min"))
 
 
 def unique_headers(names: list[str]) -> list[str]:
@@ -87,7 +80,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_leads_csv(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
-                   internal: bool = True, row_id: bool = False) -> DataFrame:
+                   internal: bool = True, row_id: bool = False, typed: bool = True) -> DataFrame:
     """CSV -> DataFrame.  Columns are read positionally (headers that differ
     only by case stay distinct), missing tokens -> null, known columns typed.
     ``row_id=True`` adds the 0-based data-row position (see ``with_row_id``)."""
@@ -99,22 +92,25 @@ def read_leads_csv(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
     keep = ["row_id"] if row_id and "row_id" not in names else []
     df = raw.select(*keep, *[F.when(~F.col(f"_c{i}").isin(*na_tokens), F.col(f"_c{i}")).alias(n)
                              for i, n in enumerate(names)])
-    return to_internal(df) if internal else df
+    return to_internal(df, typed=typed) if internal else df
 
 
 def write_leads(df: DataFrame, path: str, fmt: str = "parquet", external_headers: bool = True,
-                order_by: str | None = None, mode: str = "overwrite") -> None:
-    """Write a lead table.  CSV uses external headers and keeps cell text
-    byte for byte.  ``order_by='row_id'`` restores input order across the
+                order_by: str | None = None, mode: str = "overwrite",
+                headers: dict[str, str] | None = None) -> None:
+    """Write a lead table.  CSV uses external headers (``headers``: those the
+    user's file had) and keeps cell text byte for byte.  ``order_by='row_id'`` restores input order across the
     file parts; it is a range-partitioned global sort, so it is opt-in."""
     out = df.orderBy(order_by) if order_by and order_by in df.columns else df
     if fmt == "csv":
         if external_headers:
             # A spreadsheet file has no row-id column: identity is the line
             # position, recomputed on read (``with_row_id``).
-            out = to_external(out.drop("row_id"))
+            out = to_external(out.drop("row_id"), headers)
         out.write.mode(mode).options(**CSV_WRITE).csv(path)
     elif fmt == "parquet":
+        if headers:
+            out = out.withColumnsRenamed({k: v for k, v in headers.items() if k in out.columns})
         out.write.mode(mode).parquet(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators.fuzzy import fuzzy_lookup
 from canvass.operators.generate import generate
-from canvass.operators.lookup import catalogue_by_key, detect_hot_keys, lookup, with_key
+from canvass.operators.lookup import catalogue_by_key, lookup
 from canvass.operators.merge import merge_back, result_metrics
 from canvass.operators.search import (EARTH_RADIUS_M, search_many, search_places,
                                       within_radius, within_radius_many)
@@ -125,37 +125,64 @@ def test_csv_round_trip_quotes_newlines_and_tokens(spark, tmp_path):
     assert rows(back, "company_name", "company_address") == rows(df, "company_name", "company_address")
 
 
-def test_salted_lookup_equals_plain_lookup_with_hot_key(spark):
-    # one key holds a third of all leads
-    n = 3000
-    data = [(i, "Hot Shop" if i % 3 == 0 else f"Shop {i}", "Main St", None, None, None)
-            for i in range(n)]
-    leads = spark.createDataFrame(data, "row_id bigint, company_name string, "
-                                  "company_address string, rating double, review_count bigint, "
-                                  "maps_url string")
-    places = spark.createDataFrame(
-        [(f"p{i}", "Hot Shop" if i == 0 else f"Shop {i}", "Main St", 4.0, i, f"u{i}")
-         for i in range(0, n, 2)],
-        "place_id string, name string, address string, rating double, review_count bigint, "
-        "maps_url string")
-    hot = detect_hot_keys(with_key(leads, "company_name", "company_address"), min_rows=500)
-    assert hot == [("hot shop", "main st")]
-    plain = rows(enrich_leads(leads, places, hot_keys=None), "row_id", "maps_url", "error")
-    salted = rows(enrich_leads(leads, places, hot_keys=hot), "row_id", "maps_url", "error")
-    detected = enrich_leads(leads, places, hot_key_rows=500)
-    assert "_salt" in detected._jdf.queryExecution().optimizedPlan().toString()
-    assert plain == salted == rows(detected, "row_id", "maps_url", "error")
-    assert len(salted) == n
-
-
-def test_skew_safe_anti_join_and_web_join_with_hot_keys(spark):
+def test_calls_see_each_prompt_once(spark, tmp_path):
+    import glob
+
+    leads = spark.range(40).selectExpr("id as row_id", "concat('Shop ', id) as company_name")
+    seen = str(tmp_path)
+
+    def counting(prompts):
+        import uuid
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(prompts))
+        if len(prompts) > 1 and any(p.endswith("7") for p in prompts):
+            raise RuntimeError("down")
+        return [ValueError("odd") if p.endswith("3") else p for p in prompts]
+
+    out = {r["row_id"]: r["generated_email"]
+           for r in generate(leads, counting, "{company_name}", batch_rows=4).collect()}
+    prompts = [line for f in glob.glob(seen + "/*") for line in open(f).read().split("\n")]
+    assert len(prompts) == 40 == len(set(prompts))
+    assert out[0] == "Shop 0" and out[3] == "Error: LLM error: odd" and out[7] == "Error: LLM error: down"
+
+
+def test_a_hot_key_is_split_at_run_time(spark):
+    """A key of a third of all leads: adaptive execution marks the join as skewed; rows are as in a plain join."""
+    n = 60000
+    leads = spark.range(n).selectExpr(
+        "id as row_id", "if(id % 3 = 0, 'Hot Shop', concat('Shop ', id)) as company_name", "'Main St' as company_address",
+        "cast(null as double) as rating", "cast(null as bigint) as review_count", "cast(null as string) as maps_url",
+        "sha2(cast(id as string), 512) as extra").repartition(6)
+    places = spark.range(0, n, 2).selectExpr(
+        "concat('p', id) as place_id", "if(id = 0, 'Hot Shop', concat('Shop ', id)) as name", "'Main St' as address",
+        "4.0D as rating", "id as review_count", "concat('u', id) as maps_url")
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = enrich_leads(leads, places)
+        assert got.count() == n
+        out = got.groupBy("maps_url", "error").count()
+        hot = out.where("maps_url = 'u0'").first()["count"]
+        assert hot == n // 3
+        joined = enrich_leads(leads, places).select("row_id", "extra", "maps_url")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_skew_safe_anti_join(spark):
     from canvass.operators.skew import skew_safe_join
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)],
                                  "row_id bigint, k string")
     right = spark.createDataFrame([("hot",), ("k3",)], "k string")
     plain = rows(left.join(right, ["k"], "left_anti"), "row_id")
-    salted = rows(skew_safe_join(left, right, ["k"], "left_anti", min_rows=100), "row_id")
-    assert plain == salted and len(salted) == 299
+    split = rows(skew_safe_join(left, right, ["k"], "left_anti"), "row_id")
+    assert plain == split and len(split) == 299
 
 
 def test_fuzzy_lookup_edit_distance(spark):
