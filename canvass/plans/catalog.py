@@ -6,26 +6,30 @@ runs the library operator over all of their rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from ..functions.html import brief, page_features
-from ..functions.text import miles_to_metres
+from ..functions.text import miles_to_metres, parse_location_col
 from ..operators.append import append_new, append_summary
+from ..operators.columns import to_internal
 from ..operators.search import search_many, search_places, within_radius_many
 from .enrich import enrich_leads, enrich_reviews, enrich_summary, errors_of, with_plan_state
+from .jobs import enrich_file
 from .web import enrich_web
 from .run import run as run_stages
 from .search import search
 from ..functions.template import DEFAULT_TEMPLATE
 from ..operators.generate import generate, upper_generator, with_prompts
-from ..operators.merge import preview, result_metrics, resume, resume_start
+from ..operators.merge import merge_back, preview, result_metrics, resume, resume_start
 from ..operators.fuzzy import fuzzy_lookup
 from ..operators.lookup import catalogue_by_key
 from ..session import scratch_path
 from ..streaming.append import stream_append
-from ..sources.leads_io import read_leads_csv, write_leads
+from ..sources.leads_io import CSV_WRITE, append_dataset, read_leads_csv, write_leads
 from ..sources.responses import (collect_pages, flatten_responses, harmonise_places,
                                  lookup_outcome)
 
@@ -229,12 +233,107 @@ def result_metrics_q(spark, sf):
 
 # --- CSV round trip -----------------------------------------------------------
 
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+SHEET_HEADERS = {"business_name": "Business Name", "business_address": "Business Address", "notes": "My notes",
+                 "rating": "google_review_rating", "review_count": "Google Review Count",
+                 "maps_url": "Google Maps URL"}
+
+
+def _sheet(spark, sf):
+    """A user's spreadsheet as a CSV file set with the user's own headers, in row order."""
+    path = _scratch(spark, "sheet")
+    df = fx.fixture(spark, sf, fx.F_SHEET).repartitionByRange(24, "row_id").sortWithinPartitions("row_id")
+    df.select(*[F.col(k).alias(v) for k, v in SHEET_HEADERS.items()]).write.options(**CSV_WRITE).csv(path)
+    return path
+
+
 def csv_roundtrip(spark, sf):
-    import uuid
-    path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
+    """Typed leads out to CSV and back: every cell of every row."""
+    path = _scratch(spark, "csv-roundtrip")
     write_leads(_leads(spark, sf), path, fmt="csv")
+    return read_leads_csv(spark, path).select(*LEAD_OUT[1:])
+
+
+def csv_row_ids(spark, sf):
+    """Row positions over two dozen CSV parts, with cells as the file has them."""
+    back = read_leads_csv(spark, _sheet(spark, sf), internal=False, row_id=True)
+    return back.select("row_id", *[F.col(f"`{v}`").alias(k) for k, v in SHEET_HEADERS.items()])
+
+
+def enrich_csv(spark, sf):
+    """The file-to-file enrichment of a user's spreadsheet, read back as text."""
+    out = _scratch(spark, "sheet-enriched")
+    enrich_file(spark, _sheet(spark, sf), out, _places(spark, sf))
+    back = read_leads_csv(spark, out, internal=False, row_id=True)
+    return back.select("row_id", *[F.col(f"`{v}`").alias(k) for k, v in SHEET_HEADERS.items()])
+
+
+def enrich_errors_written(spark, sf):
+    """The written error table of the same job (all but its time stamps)."""
+    out, errors = _scratch(spark, "sheet-enriched"), _scratch(spark, "sheet-errors")
+    enrich_file(spark, _sheet(spark, sf), out, _places(spark, sf), errors_path=errors)
+    back = read_leads_csv(spark, errors, internal=False)
+    return back.select(F.col("row").cast("bigint").alias("row"), "business_name", "business_address", "error")
+
+
+def resolve_headers(spark, sf):
+    """Loose header resolution: a user's headers to internal names and types."""
+    raw = fx.fixture(spark, sf, fx.F_SHEET).select(
+        "row_id", F.col("business_name").alias(" business-NAME "), F.col("business_address").alias("Company_Address"),
+        F.col("rating").alias("GOOGLE review rating"), F.col("review_count").alias("google-review-count"))
+    return to_internal(raw).select("row_id", "company_name", "company_address", "rating", "review_count")
+
+
+LOCATION_SQL = """
+SELECT n_nationkey AS place, CASE WHEN n_nationkey % 5 = 4 THEN 'somewhere'
+  ELSE CAST(n_nationkey * 3 - 30 AS STRING) || ', ' || CAST(n_nationkey * 7 - 80 AS STRING) END AS location FROM nation
+"""
+
+
+def parse_locations(spark, sf):
+    p = parse_location_col("location")
+    return fx.fixture(spark, sf, LOCATION_SQL).select("place", p["lat"].alias("lat"), p["lng"].alias("lng"))
+
+
+def merge_back_q(spark, sf):
+    """Write-back of an enriched subset (the rows that lack a rating) by row id."""
+    leads = _leads(spark, sf).drop("maps_url")
+    part = enrich_reviews(leads.where(F.col("rating").isNull()), _places(spark, sf))
+    return merge_back(leads, part).select("row_id", "company_name", "rating", "review_count")
+
+
+def append_external_headers(spark, sf):
+    """Append to a table whose headers are a spreadsheet's."""
+    ex = fx.fixture(spark, sf, fx.F_APPEND_EXISTING).select(
+        "row_id", F.col("company_name").alias("Business Name"), F.col("company_address").alias("company-address"),
+        F.col("maps_url").alias("google_maps_url"))
+    out = append_new(ex, fx.fixture(spark, sf, fx.F_APPEND_NEW))
+    return out.select("row_id", F.col("Business Name").alias("company_name"), F.col("`company-address`").alias("company_address"),
+                      F.col("google_maps_url").alias("maps_url"), F.col("Company Phone").alias("company_phone"),
+                      F.col("Google Review Rating").alias("rating"))
+
+
+def append_dataset_q(spark, sf):
+    path = _scratch(spark, "dataset")
+    fx.fixture(spark, sf, fx.F_APPEND_EXISTING).write.parquet(path)
+    new = fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    append_dataset(spark, path, new)
+    append_dataset(spark, path, new.where("maps_url != ''"))   # nothing new the second time
+    return spark.read.option("mergeSchema", "true").parquet(path).select(*APPEND_OUT)
+
+
+def append_csv(spark, sf):
+    """Append to a CSV file under its own headers."""
+    path = _scratch(spark, "append-csv")
+    ex = fx.fixture(spark, sf, fx.F_APPEND_EXISTING)
+    ex.select(F.col("company_name").alias("Business Name"), F.col("company_address").alias("Company Address"),
+              F.col("maps_url").alias("google_maps_url")).write.options(**CSV_WRITE).csv(path)
+    append_dataset(spark, path, fx.fixture(spark, sf, fx.F_APPEND_NEW).drop("row_id"), fmt="csv")
     back = read_leads_csv(spark, path)
-    return back.select(*LEAD_OUT)
+    return back.select("company_name", "company_address", "maps_url", "company_phone", "rating", "review_count")
 
 
 # --- fuzzy fallback and streaming append -----------------------------------
@@ -248,7 +347,6 @@ def fuzzy_lookup_q(spark, sf):
 
 
 def stream_append_q(spark, sf):
-    import uuid
     base = scratch_path(spark, f"stream-append-{uuid.uuid4().hex}")
     fx.fixture(spark, sf, fx.F_APPEND_EXISTING).write.parquet(base + "/target")
     new = fx.fixture(spark, sf, fx.F_APPEND_NEW)
@@ -305,6 +403,15 @@ QUERIES = {
     "resume_tail": resume_tail,
     "result_metrics": result_metrics_q,
     "csv_roundtrip": csv_roundtrip,
+    "csv_row_ids": csv_row_ids,
+    "enrich_csv": enrich_csv,
+    "enrich_errors_written": enrich_errors_written,
+    "resolve_headers": resolve_headers,
+    "parse_locations": parse_locations,
+    "merge_back": merge_back_q,
+    "append_external_headers": append_external_headers,
+    "append_dataset": append_dataset_q,
+    "append_csv": append_csv,
     "fuzzy_lookup": fuzzy_lookup_q,
     "stream_append": stream_append_q,
     "search_append": search_append,

@@ -103,6 +103,19 @@ F_PLACES = (
 # customer again, where odd keys got a new URL (cid + 1,000,000), k%5 names
 # are upper-cased and double-spaced, k%13 URLs are blank, and k%50 rows are
 # sent twice (a duplicate inside the new batch survives).
+# Leads as a user's spreadsheet holds them: own headers, text cells with
+# quotes, newlines, outer spaces, thousands separators and placeholders.
+F_SHEET = f"""
+SELECT row_id, company_name AS business_name, company_address AS business_address,
+  CASE WHEN row_id % 9 = 0 THEN 'said "' || company_phone || '"' || chr(10) || ' twice '
+       WHEN row_id % 10 = 0 THEN ' n/k, ' || company_phone ELSE company_phone END AS notes,
+  CASE WHEN row_id % 4 = 0 THEN CAST(rating AS STRING) WHEN row_id % 7 = 0 THEN 'n/k' END AS rating,
+  CASE WHEN row_id % 4 = 0 THEN '1,' || CAST(100 + row_id % 300 AS STRING)
+       WHEN row_id % 6 = 0 THEN 'Not Found' END AS review_count,
+  maps_url
+FROM ({F_LEADS}) sheet_leads
+"""
+
 F_APPEND_EXISTING = f"""
 SELECT c.c_custkey AS row_id, c.c_name AS company_name,
   n.n_name || ', ' || r.r_name AS company_address,

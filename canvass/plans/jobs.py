@@ -84,20 +84,17 @@ def search_file(spark: SparkSession, places: DataFrame, query: str, output_path:
                 radius_miles: float | None = None, append: bool = False,
                 pages: DataFrame | None = None, fmt: str = "parquet") -> int:
     """Search and save.  ``append=True`` adds only the found rows the
-    dataset at ``output_path`` does not hold yet (parquet append: existing
-    files stay, the path is never read and overwritten by one job).
-    Returns the number of rows written; a search without hits writes nothing."""
+    dataset at ``output_path`` does not hold yet.  Returns the number of rows
+    written; a search without hits writes nothing."""
     loc = parse_location(location) if location else None
     radius = miles_to_metres(radius_miles) if radius_miles else None
-    found = search(places, query, max_results, loc, radius, pages=pages)
+    found = _staged(search(places, query, max_results, loc, radius, pages=pages), "search")
+    n = found.count()   # of the written result: the search runs once
     if append:
-        if fmt != "parquet":
-            raise ValueError("append is supported for parquet datasets")
-        return append_dataset(spark, output_path, found)
-    if not found.limit(1).collect():
-        return 0
-    _write(found, output_path, fmt)
-    return spark.read.parquet(output_path).count() if fmt == "parquet" else -1
+        return append_dataset(spark, output_path, found, fmt=fmt) if n else 0
+    if n:
+        _write(found, output_path, fmt)
+    return n
 
 
 def enrich_web_file(spark: SparkSession, input_path: str, output_path: str, pages: DataFrame,

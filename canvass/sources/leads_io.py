@@ -8,11 +8,15 @@ Writing mirrors that so a file reads back unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.columns import to_external, to_internal
+from ..session import scratch_path
 
 # Cell texts read as missing (the pandas read_csv defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -125,8 +129,6 @@ def write_enriched(result, leads_path: str, errors_path: str, fmt: str = "parque
     When a ``summary`` dict is passed it is filled with the run summary,
     counted by an ``Observation`` during the same write (no second pass).
     """
-    from pyspark.sql import Observation
-
     from ..plans.enrich import errors_of, summary_columns
 
     spark = result.leads.sparkSession
@@ -147,23 +149,60 @@ def write_enriched(result, leads_path: str, errors_path: str, fmt: str = "parque
     return n
 
 
-def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "auto") -> int:
-    """Append the rows of ``new`` that the dataset at ``path`` does not hold
-    yet (parquet, ``mode('append')``: existing files are never rewritten, so
-    the path is not read and overwritten by one job).  A missing dataset is
-    created.  Returns the number of rows appended, counted during the write
-    by an ``Observation`` (one pass, nothing cached)."""
-    from pyspark.errors import AnalysisException
+def missing_path(e: AnalysisException) -> bool:
+    """The path does not exist, or holds no file yet; every other error is one."""
+    return (e.getCondition() or "").split(".")[0] in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
-    from ..operators.append import new_rows
 
+def read_dataset(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet dataset at ``path``, or None if there is none yet."""
     try:
-        current = spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException:
-        current = None
-    from pyspark.sql import Observation
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return None
+
+
+def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "auto",
+                   fmt: str = "parquet") -> int:
+    """Append the rows of ``new`` that the dataset at ``path`` does not hold
+    yet; returns their number.  A missing dataset is created.
+
+    parquet: ``mode('append')``, existing files are never rewritten, and the
+    rows are counted during the write by an ``Observation``.  csv: one header
+    holds for the whole file, so the union is written once to the shared
+    checkpoint folder and then replaces the file, under the headers it had.
+    """
+    from ..operators.append import append_new, new_rows
 
+    if fmt == "csv":
+        return _append_csv(spark, path, new, by, append_new)
+    current = read_dataset(spark, path)
     kept = new if current is None else new_rows(current, new, by)
     obs = Observation("appended")
     kept.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(obs.get["n"])
+
+
+def _append_csv(spark: SparkSession, path: str, new: DataFrame, by: str, append_new) -> int:
+    try:
+        current = read_leads_csv(spark, path, internal=False)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        current = None
+    if current is None:
+        union, before = to_external(new), 0
+    else:
+        # An order column keeps the file's rows in place and the new ones last.
+        current, before = read_leads_csv(spark, path, internal=False, row_id=True), current.count()
+        union = append_new(current, new.withColumn("row_id", F.lit(None).cast("bigint")), by)
+    staged = scratch_path(spark, f"append-{uuid.uuid4().hex}")
+    obs = Observation("appended")
+    union.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+    back = spark.read.schema(union.schema).parquet(staged)
+    if "row_id" in back.columns:
+        back = back.orderBy(F.col("row_id").asc_nulls_last()).drop("row_id")
+    back.write.mode("overwrite").options(**CSV_WRITE).csv(path)
+    return int(obs.get["n"]) - before

@@ -14,19 +14,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.append import new_rows
 from ..session import scratch_path
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException:
-        return None
+from ..sources.leads_io import read_dataset
 
 
 def stream_append(stream: DataFrame, target_path: str, by: str = "auto",
@@ -37,7 +30,7 @@ def stream_append(stream: DataFrame, target_path: str, by: str = "auto",
     checkpoint = checkpoint or scratch_path(spark, f"stream-append-{uuid.uuid4().hex}")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        current = read_table(batch.sparkSession, target_path)
+        current = read_dataset(batch.sparkSession, target_path)
         kept = batch if current is None else new_rows(current, batch, by)
         kept.write.mode("append").parquet(target_path)
 
