@@ -7,6 +7,8 @@ extracted field is a regular-expression projection over those two values.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,21 +23,20 @@ SOCIAL_PATTERNS: dict[str, list[str]] = {
     "twitter_url": [r"twitter\.com/[\w_]+", r"x\.com/[\w_]+"],
 }
 
-# Named entities decoded in extracted text, '&amp;' last so
-# that '&amp;lt;' becomes '&lt;' and not '<'.
-ENTITIES: list[tuple[str, str]] = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# Named references: the HTML set of the standard library, plus two; a
+# non-breaking space reads as a space.
+NAMED = {**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+_REFERENCE_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
 
+# The end of a tag name: 'p' must not match '<p-card>'.
+_E = r"(?=[\s/>])"
 _HIDDEN_RE = (r"(?is)<!--.*?-->"
-              r"|<script\b[^>]*>.*?</script\s*>"
-              r"|<style\b[^>]*>.*?</style\s*>")
+              r"|<script" + _E + r"[^>]*>.*?</script\s*>"
+              r"|<style" + _E + r"[^>]*>.*?</style\s*>")
 _ATTR_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _HREF_RE = r"(?is)<a\s[^>]*?(?<![\w-])href\s*=\s*" + _ATTR_VALUE
-_TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-_META_DESC_RE = (r"(?s)(<(?i:meta)\b[^>]*?(?<![\w-])(?i:name)\s*=\s*"
+_TITLE_RE = r"(?is)<title" + _E + r"[^>]*>(.*?)</title\s*>"
+_META_DESC_RE = (r"(?s)(<(?i:meta)" + _E + r"[^>]*?(?<![\w-])(?i:name)\s*=\s*"
                  r"(?:\"description\"|'description'|description(?=[\s/>]))[^>]*>)")
 _CONTENT_RE = r"(?s)(?<![\w-])(?i:content)\s*=\s*" + _ATTR_VALUE
 # First <p>: its body ends at </p, at the next block-level start tag, at the
@@ -43,15 +44,31 @@ _CONTENT_RE = r"(?s)(?<![\w-])(?i:content)\s*=\s*" + _ATTR_VALUE
 _BLOCK = (r"p|div|ul|ol|dl|table|h[1-6]|hr|pre|form|blockquote|address|fieldset"
           r"|section|article|header|footer|nav|aside|main|figure")
 _CLOSE = r"div|article|section|body|html|td|th|li|blockquote|form|main|aside|header|footer|nav"
-_FIRST_P_RE = (r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<(?:" + _BLOCK + r")\b|</(?:"
-               + _CLOSE + r")\b|\z)")
+_FIRST_P_RE = (r"(?is)<p" + _E + r"[^>]*>(.*?)(?=</p\s*>|<(?:" + _BLOCK + ")" + _E + "|</(?:"
+               + _CLOSE + ")" + _E + r"|\z)")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
 
 
 def decode_entities(c) -> Column:
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Numeric and named character references decoded, each once."""
+    c = _c(c)
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(ref):
+        body = F.regexp_replace(ref, "^&|;$", "")
+        return (F.when(body.rlike("^#[xX]"), _character(F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint")))
+                .when(body.startswith("#"), _character(F.substring(body, 2, 8).cast("bigint")))
+                .otherwise(F.coalesce(F.try_element_at(names, body), ref)))
+
+    found = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE_RE), F.lit(0)), decoded)
+    text = F.array_join(F.transform(F.split(c, _REFERENCE_RE, -1), lambda part, i: F.concat(
+        part, F.coalesce(F.get(found, i), F.lit("")))), "")
+    return F.when(c.contains("&"), text).otherwise(c)
 
 
 def unquote(c) -> Column:

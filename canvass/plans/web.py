@@ -1,6 +1,7 @@
 """Website stage: social links and a research brief for each lead.
 
-The crawl snapshot (``pages(url, html[, status])``) replaces live fetches.
+The crawl snapshot (``pages(url, html[, status][, fetch_error])``) replaces
+live fetches.
 Plan shape: pages -> per-page features (narrow; HTML dropped right there)
 -> one row per URL -> left join from the leads that need a fetch.  Leads
 that are done (or have no website in batch mode) never enter the join.
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import brief, failure_brief, page_features
-from ..functions.text import is_blank, with_scheme
+from ..functions.text import is_blank, short_error, with_scheme
 from ..operators.columns import ensure_columns
 from ..operators.skew import skew_safe_join
 from ..operators.topn import best_per_key
@@ -51,14 +52,17 @@ def page_table(pages: DataFrame, unique_urls: bool = False) -> DataFrame:
     deterministic tie-break).  A partial aggregate, never a per-URL collect.
     """
     keep = ("fetched_at",) if "fetched_at" in pages.columns else ()
-    feats = page_features(pages, keep=keep)
+    more = ("fetch_error",) if "fetch_error" in pages.columns else ()
+    feats = page_features(pages, keep=keep + more)
     if unique_urls:
         return feats.drop(*keep)
-    extra = ["status"] if "status" in feats.columns else []
+    extra = [c for c in ("status", "fetch_error") if c in feats.columns]
     order = []
     if keep:
         order.append((F.col("fetched_at").cast("timestamp").cast("double"), "desc"))
-    if extra:
+    if "fetch_error" in extra:
+        order.append((~is_blank("fetch_error"), "asc"))
+    if "status" in extra:
         order.append((~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "asc"))
     order += [(F.col("description") == "", "asc"), (F.col("title") == "", "asc"),
               ("description", "asc"), ("title", "asc")]
@@ -69,6 +73,13 @@ def fetch_error(status_col) -> Column:
     return F.concat(F.lit("Request failed: HTTP "), status_col.cast("string"))
 
 
+def captured_error(reason: Column) -> Column:
+    """A crawl's own failure text: 'Timeout' and 'SSL Error' as they are, any
+    other as a failed request, cut at 50 characters."""
+    return F.when(reason.isin("Timeout", "SSL Error"), reason).otherwise(
+        F.concat(F.lit("Request failed: "), short_error(reason, 50)))
+
+
 def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
                unique_urls: bool = False) -> DataFrame:
     """Leads with the four social links and the research brief filled for
@@ -97,6 +108,8 @@ def enrich_web(leads: DataFrame, pages: DataFrame, mode: str = "batch",
     j = skew_safe_join(todo, feats, ["_url"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     reason = F.when(~hit, F.lit(MSG_NOT_IN_SNAPSHOT))
+    if "_f_fetch_error" in j.columns:
+        reason = reason.when(~is_blank("_f_fetch_error"), captured_error(F.col("_f_fetch_error")))
     if "_f_status" in j.columns:
         reason = reason.when(~F.col("_f_status").between(200, 299),
                              fetch_error(F.col("_f_status")))

@@ -131,3 +131,27 @@ def test_template_missing_column_is_na(spark):
     df = spark.createDataFrame([(1,)], "row_id int")
     out = df.select(render_prompt("{company_phone}|{rating}", "", df.columns)).collect()[0][0]
     assert out == "N/A|N/A"
+
+
+def test_character_references_and_exact_tag_names(spark):
+    from canvass.functions.html import decode_entities, page_features
+    cases = [("Caf&eacute; &#8217;n&#x27; &mdash;&hellip; &amp;lt; &bogus; &#0; &#x1F600; a&b &nbsp;.",
+              "Café ’n' —… &lt; &bogus; � \U0001F600 a&b  ."), ("plain", "plain"), (None, None), ("&", "&"), ("", "")]
+    df = spark.createDataFrame(cases, "raw string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", decode_entities("raw").alias("got")).collect())
+    page = ("<title-bar>no</title-bar><title>Caf&eacute;</title><p-card>no</p-card><metadata name='description' "
+            "content='no'><p class=x>It&#8217;s</p>")
+    r = page_features(spark.createDataFrame([("u", page)], "url string, html string")).first()
+    assert (r["title"], r["description"]) == ("Café", "It’s")
+
+
+def test_captured_failure_reasons(spark):
+    from canvass.plans.web import enrich_web
+    long = "connection reset " + "by peer " * 20
+    pages = spark.createDataFrame([("https://a", None, "Timeout"), ("https://b", None, "SSL Error"), ("https://c", None, long),
+                                   ("https://d", "<title>T</title>", None)], "url string, html string, fetch_error string")
+    leads = spark.createDataFrame([(i, "N", f"https://{s}", None) for i, s in enumerate("abcd")],
+                                  "row_id bigint, company_name string, website string, research_brief string")
+    got = [r["research_brief"] for r in enrich_web(leads, pages).orderBy("row_id").collect()]
+    assert got == ["Could not fetch: Timeout", "Could not fetch: SSL Error",
+                   "Could not fetch: Request failed: " + long[:50], "N - T"]
