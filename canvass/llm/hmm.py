@@ -25,7 +25,8 @@ training documents all counts are 0 and every word is unknown; null ids are
 ordinary values; repeated rows are separate documents; an empty table gives
 an empty result; only the id and the text are carried.
 
-Scale: a task pre-sums the words of its batches before the count shuffle, so
+Scale: texts are read twice, for the counts and to be encoded; the rounds read
+the written class sequences.  A task pre-sums the words of its batches before the count shuffle, so
 a frequent word arrives once per batch.  Head words, class totals and
 emission tables are broadcast and bounded by parameters.  The other words of
 a text meet their counts in a join of distinct (document, word) rows.
@@ -231,19 +232,18 @@ def word_counts(docs: DataFrame, text: str, flush: int = 300_000) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encode(classes: Classes, texts: list[bytes]) -> list[np.ndarray]:
-    of = classes.of
-    return [np.fromiter((of(w) for w in tokens(t)), np.int32, count=-1) if t else np.zeros(0, np.int32) for t in texts]
+def _sequences(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32).astype(np.int64) for x in column.to_pylist()]
 
 
-def train(docs: DataFrame, text: str, classes: Classes, totals: np.ndarray, states: int, rounds: int,
-          segment: int) -> Model:
-    """Baum-Welch over all ``docs``; expected counts are summed across partitions by class."""
-    spark = docs.sparkSession
+def train(encoded: DataFrame, classes: Classes, totals: np.ndarray, states: int, rounds: int, segment: int) -> Model:
+    """Baum-Welch over all rows of ``encoded`` (seq: class numbers as uint32 bytes).
+
+    Expected counts are summed across partitions by class.
+    """
+    spark = encoded.sparkSession
     model = Model.initial(states, totals)
     prior = 0.01 * (totals + 0.1) / (totals + 0.1).sum() * max(1.0, totals.sum()) / states + 1e-3
-    names = spark.sparkContext.broadcast((list(classes.head), classes.suffix))
-    raw = docs.select(F.col(text).cast("binary").alias("text"))
     fields = ["c"] + [f"s{i}" for i in range(states)]
     schema = ", ".join(["c int"] + [f"s{i} double" for i in range(states)])
     for _ in range(rounds):
@@ -251,10 +251,9 @@ def train(docs: DataFrame, text: str, classes: Classes, totals: np.ndarray, stat
 
         def gather(batches, now=now):
             start, move, emit = 0.0, 0.0, 0.0
-            known, current = Classes(*names.value), Model(*now.value)
+            current = Model(*now.value)
             for batch in batches:
-                sequences = [np.append(s, np.int32(0)) for s in _encode(known, _texts(batch.column(0)))]
-                for part in _slices(sequences):
+                for part in _slices(_sequences(batch.column(0))):
                     a, b, c, _ = expected_counts(current, part, segment)
                     start, move, emit = start + a, move + b, emit + c
             if isinstance(emit, float):
@@ -265,7 +264,7 @@ def train(docs: DataFrame, text: str, classes: Classes, totals: np.ndarray, stat
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(rows[:, i]) for i in range(states)]],
                                              names=fields)
 
-        sums = raw.mapInArrow(gather, schema).groupBy("c").agg(*[F.sum(f).alias(f) for f in fields[1:]])
+        sums = encoded.select("seq").mapInArrow(gather, schema).groupBy("c").agg(*[F.sum(f).alias(f) for f in fields[1:]])
         emit, move, start = np.zeros((states, classes.size)), np.zeros((states, states)), np.zeros(states)
         for r in sums.collect():
             row = np.array(r[1:])
@@ -318,52 +317,62 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
         tail_total[r["k"]], tail_words[r["k"]] = r["total"], r["words"]
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     totals = np.concatenate([[ends], head_counts, tail_total]).astype(float)
-    model = train(training, "text", classes, totals, states, rounds, segment)
-
     base_norm = log10(n + v + 1)
     base_of_class = np.log10(totals + 1) - base_norm
     tail_norm = np.log10(tail_total + tail_words + 1)
-    fixed = spark.sparkContext.broadcast((model.arrays, base_of_class, tail_norm))
+    fixed = spark.sparkContext.broadcast((base_of_class, tail_norm))
     first_tail = 1 + len(tops)
 
-    def sequences(batches):
-        """One row per document with what needs no join; the other words as distinct (word, n) lists."""
-        arrays, base, norm = fixed.value
-        model, known = Model(*arrays), Classes(*shared.value)
+    def encode(batches):
+        """Class sequence of each document, what its score needs beside the
+        model and a join, and its other words as distinct (word, n) lists."""
+        base, norm = fixed.value
+        known = Classes(*shared.value)
         for batch in batches:
-            texts = _texts(batch.column(1))
-            encoded = [np.append(s, np.int32(0)) for s in _encode(known, texts)]
-            hmm = np.concatenate([sequence_log10(model, p, segment) for p in _slices(encoded)]) if texts else []
-            rows = {"base": [], "within": [], "known": [], "words": [], "ns": []}
-            for t, s in zip(texts, encoded):
+            rows = {"seq": [], "base": [], "within": [], "known": [], "words": [], "ns": []}
+            for t in _texts(batch.column(1)):
+                words = tokens(t)
+                s = np.fromiter(map(known.of, words), np.uint32, len(words))
                 tail = s >= first_tail
-                rest = Counter(w for w, far in zip(tokens(t), tail) if far) if tail.any() else {}
-                rows["base"].append(float(base[s[~tail]].sum()))
+                rest = Counter(w for w, far in zip(words, tail.tolist()) if far)
+                rows["seq"].append(np.append(s, np.uint32(0)).tobytes())
+                rows["base"].append(float(base[s[~tail]].sum() + base[0]))
                 rows["within"].append(float(-norm[s[tail] - first_tail].sum()))
-                rows["known"].append(int((~tail).sum()) - (0 if ends else 1))
+                rows["known"].append(int((~tail).sum()) + (1 if ends else 0))
                 rows["words"].append(list(rest))
                 rows["ns"].append(list(rest.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in encoded], pa.int64()),
-                 pa.array(hmm, pa.float64()), pa.array(rows["base"], pa.float64()), pa.array(rows["within"], pa.float64()),
-                 pa.array(rows["known"], pa.int64()), pa.array(rows["words"], pa.list_(pa.binary())),
-                 pa.array(rows["ns"], pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "n_tokens", "hmm", "base", "within", "known", "words", "ns"])
+                [batch.column(0), batch.column(2), pa.array(rows["seq"], pa.binary()), pa.array(rows["base"], pa.float64()),
+                 pa.array(rows["within"], pa.float64()), pa.array(rows["known"], pa.int64()),
+                 pa.array(rows["words"], pa.list_(pa.binary())), pa.array(rows["ns"], pa.list_(pa.int32()))],
+                names=["doc_id", "held_out", "seq", "base", "within", "known", "words", "ns"])
 
     kind = dict(docs.dtypes)["doc_id"]
     raw = docs.select("doc_id", F.col("text").cast("binary"), "held_out")
-    done = (raw.mapInArrow(sequences, f"doc_id {kind}, held_out boolean, n_tokens long, hmm double, base double, "
-                                      "within double, known long, words array<binary>, ns array<int>")
-            .withColumn("row", F.monotonically_increasing_id()))
-    done = stage(done, "hmm-documents")
+    done = stage(raw.mapInArrow(encode, f"doc_id {kind}, held_out boolean, seq binary, base double, within double, "
+                                        "known long, words array<binary>, ns array<int>")
+                 .withColumn("row", F.monotonically_increasing_id()), "hmm-documents")
+    model = train(done.where(~F.col("held_out")), classes, totals, states, rounds, segment)
+    trained = spark.sparkContext.broadcast(model.arrays)
+
+    def forward(batches):
+        model = Model(*trained.value)
+        for batch in batches:
+            parts = _slices(_sequences(batch.column(1)))
+            scores = np.concatenate([sequence_log10(model, p, segment) for p in parts]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "hmm"])
+
+    scored = done.select("row", "seq").mapInArrow(forward, "row long, hmm double")
     asked = done.select("row", F.explode(F.arrays_zip("words", "ns")).alias("e")).select(
         "row", F.col("e.words").alias("word"), F.col("e.ns").alias("n"))
     found = (asked.join(counts, "word").groupBy("row")
              .agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"), F.sum("n").alias("hits")))
     tail_n = F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x)
     gain, hits = F.coalesce("gain", F.lit(0.0)), F.coalesce("hits", F.lit(0))
-    return (done.join(found, "row", "left")
+    rest = done.select("row", "doc_id", "held_out", F.expr("octet_length(seq) div 4").cast("long").alias("n_tokens"),
+                       "base", "within", "known", tail_n.alias("tail_n"))
+    return (rest.join(scored, "row").join(found, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("known") + hits).alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("base") + gain - tail_n * base_norm).alias("base_score"),
+                    (F.col("base") + gain - F.col("tail_n") * base_norm).alias("base_score"),
                     (F.col("hmm") + F.col("within") + gain).alias("score")))
