@@ -64,7 +64,7 @@ def op4_line_dedup(spark, sf_dir):
 
 
 ORACLE["op4_line_dedup"] = r"""
-WITH d AS (SELECT doc_id, text, coalesce('s' || source, 'n') AS site, row_number() OVER () AS rid FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, text, coalesce('s' || source, 'n') AS site, row_number() OVER () AS rid FROM documents),
 p AS (SELECT rid, site, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
 l AS (SELECT rid, site, line, no, trim(regexp_replace(line, '[\t\r]', ' ', 'g'), ' ') AS bare FROM p),
@@ -95,7 +95,7 @@ def op6_decontaminate(spark, sf_dir):
 ORACLE["op6_decontaminate"] = r"""
 WITH raw AS (SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id::VARCHAR AS id, text FROM documents
              UNION ALL SELECT 'b', row_number() OVER (), coalesce(item_id::VARCHAR, ''), text FROM benchmark),
-w AS (SELECT kind, rid, id, coalesce(list_filter(string_split(regexp_replace(
+w AS MATERIALIZED (SELECT kind, rid, id, coalesce(list_filter(string_split(regexp_replace(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> ''), []) AS ws FROM raw),
 bw AS (SELECT DISTINCT id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS win
@@ -127,7 +127,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 ORACLE["op8_substring_dedup"] = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(list_filter(string_split(regexp_replace(text,
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(list_filter(string_split(regexp_replace(text,
              '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> ''), []) AS ws FROM documents),
 w AS (SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
@@ -155,3 +155,22 @@ def op9_language_id(spark, sf_dir):
 def op10_jaccard_join(spark, sf_dir):
     return (jaccard_components(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_shingles", "component_id"))
+
+
+ORACLE["op10_jaccard_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(list_filter(string_split(regexp_replace(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> ''), []) AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, sh FROM (
+      SELECT rid, array_to_string(ws[i:i + 3], ' ') AS sh
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) - 2)) AS i FROM d WHERE len(ws) >= 4)
+      UNION ALL SELECT rid, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n AS a ON a.rid = x JOIN n AS b ON b.rid = y
+      WHERE 100 * i >= 85 * (a.n + b.n - i)),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.rid = d.rid JOIN c ON c.x = d.rid
+"""
