@@ -41,6 +41,11 @@ def test_query_equals_sql(spark, duck, name):
     assert canon(tuple(r[c] for c in cols) for r in df.collect()) == canon(rel.select(*cols).fetchall())
 
 
+def luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
 def test_surrogates_query(spark, duck):
     before = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
     found = re.compile(r"[\w.+-]+@[\w.-]+\.com|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b")
@@ -50,9 +55,13 @@ def test_surrogates_query(spark, duck):
     seen = {}
     for r in df.collect():
         old, new = found.findall(before[r.doc_id]), found.findall(r.text)
-        assert len(old) == len(new) and not set(old) & set(new)
+        # Sixteen digits that fail the check digit are a number, not a card.
+        plain = [x for x in old if re.fullmatch(r"\d{16}", x) and not luhn(x)]
+        assert len(old) == len(new) and set(old) & set(new) == set(plain)
+        old, new = [x for x in old if x not in plain], [x for x in new if x not in plain]
         assert r.text == before[r.doc_id] or r.n_entities > 0
         assert found.sub("", r.text) == found.sub("", before[r.doc_id]) or r.n_entities > len(old)
+        assert all(luhn(x) for x in new if re.fullmatch(r"\d{16}", x))
         for a, b in zip(old, new):
             assert seen.setdefault(a, b) == b
     assert len(set(seen.values())) == len(seen)
