@@ -21,6 +21,7 @@ from .enrich import enrich_leads, enrich_reviews, enrich_summary, errors_of, wit
 from .jobs import enrich_file
 from .web import enrich_web
 from .run import run as run_stages
+from .run import run_preview, run_rest
 from .search import search
 from ..functions.template import DEFAULT_TEMPLATE
 from ..operators.generate import generate, upper_generator, with_prompts
@@ -371,11 +372,38 @@ def search_append(spark, sf):
 def staged_run(spark, sf):
     leads = fx.fixture(spark, sf, fx.F_WEB_LEADS)
     out = run_stages(leads, places=_places(spark, sf), pages=fx.fixture(spark, sf, fx.F_HTML),
-                     mode="interactive")
+                     mode="interactive", checkpoint=True)
     return out.select("row_id", "rating", "review_count", "linkedin_url", "facebook_url",
                       "instagram_url", "twitter_url", "research_brief")
 
 
+RUN_TEMPLATE = "Business name: {company_name}, {rating} from {review_count}"
+
+
+def staged_run_generate(spark, sf):
+    """All three stages: reviews, website, generated text."""
+    out = run_stages(fx.fixture(spark, sf, fx.F_WEB_LEADS), places=_places(spark, sf), pages=fx.fixture(spark, sf, fx.F_HTML),
+                     mode="interactive", generator=upper_generator, template=RUN_TEMPLATE, product_description="-",
+                     checkpoint=True)
+    return out.select("row_id", "rating", "review_count", "linkedin_url", "research_brief", "generated_email")
+
+
+def _staged(spark, sf):
+    return dict(places=_places(spark, sf), pages=fx.fixture(spark, sf, fx.F_HTML), mode="interactive", checkpoint=True)
+
+
+RUN_OUT = ["row_id", "rating", "review_count", "linkedin_url", "facebook_url", "instagram_url", "twitter_url",
+           "research_brief"]
+
+
+def run_preview_q(spark, sf):
+    return run_preview(fx.fixture(spark, sf, fx.F_WEB_LEADS), n=10, **_staged(spark, sf)).select(*RUN_OUT)
+
+
+def run_rest_q(spark, sf):
+    return run_rest(fx.fixture(spark, sf, fx.F_WEB_LEADS), start=10, **_staged(spark, sf)).select(*RUN_OUT)
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
@@ -416,4 +444,7 @@ QUERIES = {
     "stream_append": stream_append_q,
     "search_append": search_append,
     "staged_run": staged_run,
+    "staged_run_generate": staged_run_generate,
+    "run_preview": run_preview_q,
+    "run_rest": run_rest_q,
 }

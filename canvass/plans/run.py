@@ -1,11 +1,15 @@
 """Staged lead pipeline: reviews -> website -> generated text, each optional.
 
 Stages compose lazily into one plan; nothing runs until the caller writes or
-collects the result.
+collects the result.  Every stage splits its input by what a row still needs,
+so a long plan would compute its upstream once per branch: ``checkpoint=True``
+writes each stage's result to the shared checkpoint folder instead, and every
+join and every generator call then runs once.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -13,13 +17,14 @@ from pyspark.sql import DataFrame
 from ..functions.template import DEFAULT_TEMPLATE
 from ..operators.generate import generate
 from ..operators.merge import preview, resume, resume_start
+from ..session import scratch_path
 from .enrich import enrich_reviews
 from .web import enrich_web
 
 
 def stages(places: DataFrame | None = None, pages: DataFrame | None = None, generator=None,
            template: str = DEFAULT_TEMPLATE, product_description: str = "",
-           mode: str = "interactive", retry_errors: bool = True):
+           mode: str = "interactive", retry_errors: bool = True, checkpoint: bool = False):
     """A ``DataFrame -> DataFrame`` function applying the enabled stages."""
     steps = []
     if places is not None:
@@ -34,6 +39,10 @@ def stages(places: DataFrame | None = None, pages: DataFrame | None = None, gene
     def apply(df: DataFrame) -> DataFrame:
         for step in steps:
             df = step(df)
+            if checkpoint:
+                path = scratch_path(df.sparkSession, f"stage-{uuid.uuid4().hex}")
+                df.write.parquet(path)
+                df = df.sparkSession.read.schema(df.schema).parquet(path)
         return df
     return apply
 
