@@ -74,24 +74,26 @@ _ASSIGN = r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)[\"'
 _TITLE = "(?:" + "|".join(TITLES_M + TITLES_F + TITLES_N) + r")\b\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 _GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
-PATTERN = "|".join([
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    _B + _ASSIGN + r"[^\s\"',;]{6,128}",
-    _B + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _E,
-    _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
-    r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\p{L}\p{N}:])",
-    r"(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
-    r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
-    r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
-    r"(?<![\p{L}\p{N}+.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}]|-\d)",
-    r"(?<![\p{L}\p{N}+.])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\p{L}\p{N}]|-\d)",
-    r"(?<![\p{L}\p{N}+.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}]|-\d)",
-    r"(?<![\p{L}\p{N}+.-])\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}]|-\d)",
-    r"(?<![\p{L}\p{N}+.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\p{L}\p{N}]|-\d)",
-    _B + _TITLE + " " + _NAME + "(?: " + _NAME + "){0,2}",
-    _B + _GIVEN + " " + _NAME + _E,
+#: Every alternative opens with a look at the characters it can start with, so
+#: that most positions of a text fail at once.
+_NAMES = r"(?=[A-ZА-Я])" + _B + "(?:" + _TITLE + " " + _NAME + "(?: " + _NAME + "){0,2}|" + _GIVEN + " " + _NAME + _E + ")"
+_MARKS = "|".join([
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    r"(?=[pPsStTaA])" + _B + _ASSIGN + r"[^\s\"',;]{6,128}",
+    r"(?=A)" + _B + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _E,
+    r"(?=[A-Z]{2}\d)" + _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
+    r"(?=[0-9A-Fa-f]{1,4}[:-])(?:(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
+    r"|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\p{L}\p{N}:])"
+    r"|(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-]))",
+    r"(?=[0-9])(?:(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)"
+    r"|(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
+    r"|(?<![\p{L}\p{N}+.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}]|-\d)"
+    r"|(?<![\p{L}\p{N}+.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\p{L}\p{N}]|-\d))",
+    r"(?=\+\d)(?<![\p{L}\p{N}+.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\p{L}\p{N}]|-\d)"
+    r"|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}]|-\d))",
+    r"(?=\(\d)(?<![\p{L}\p{N}+.-])\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}]|-\d)",
 ])
+PATTERN = _MARKS + "|" + _NAMES
 NAME_TYPES = ("given_m", "given_f", "given_n", "surname", "surname_f")
 
 
@@ -295,7 +297,9 @@ def _shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with surrogates in ``text`` and ``n_entities`` (replaced entities, long)."""
     docs = docs.drop("n_entities")
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
+    # All but names hold a digit, an at sign or an assignment; a text without
+    # one needs only the search for names.
+    has = F.coalesce((F.col(text).rlike("[0-9@=:]") & F.col(text).rlike(_MARKS)) | F.col(text).rlike(_NAMES), F.lit(False))
     some = stage(docs.where(has).select(
         "*", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("__found"),
         F.struct(row_key(F.col(doc_id), F.col(text)).alias("a"), row_key(F.col(text), F.col(doc_id), seed=1).alias("b")).alias("__key")),
