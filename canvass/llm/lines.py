@@ -37,6 +37,10 @@ def line_parts(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _numbered(line: Column, number: Column) -> Column:
+    return F.concat(number.cast("string"), F.lit("\n"), line)
+
+
 def _hash(line: Column) -> Column:
     """Two 64-bit hashes of the line without outer blanks; null for a blank line."""
     bare = F.trim(F.regexp_replace(line, r"[\t\r]", " "))
@@ -67,12 +71,16 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", key: s
     lines = boilerplate(docs, text, site, min_sites, precision)
     keyed = docs.withColumn("__key", F.struct(row_key(F.col(key), F.col(text)).alias("a"),
                                               row_key(F.col(text), F.col(key), seed=1).alias("b")))
-    places = keyed.select("__key", F.posexplode(F.transform(line_parts(F.col(text)), _hash)).alias("__no", "line"))
+    places = (keyed.select("__key", F.posexplode(line_parts(F.col(text))).alias("__no", "__line"))
+              .select("__key", _numbered(F.col("__line"), F.col("__no")).alias("__mark"), _hash(F.col("__line")).alias("line")))
     gone = (places.where(F.col("line").isNotNull()).join(lines, "line", "left_semi")
-            .groupBy("__key").agg(F.collect_set("__no").alias("__gone")))
+            .groupBy("__key").agg(F.collect_set("__mark").alias("__gone")))
     gone = stage(gone, "line-places")
     parts = line_parts(F.col(text))
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    # Lines are told apart by their numbers, and array_except hashes: linear in
+    # the lines of a text, however many go.
+    kept = F.transform(F.array_except(F.transform(parts, _numbered), F.col("__gone")),
+                       lambda x: F.substring_index(x, "\n", -1))
     left = F.exists(kept, lambda x: _hash(x).isNotNull())
     cut = F.col("__gone").isNotNull() & left
     out = keyed.join(gone, "__key", "left")

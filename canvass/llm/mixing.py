@@ -137,10 +137,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[
                     _source_key(F.col(source)).alias("__src"))
     light = stage(d.select("__src", F.col(source).alias("source"), "__h", "__size"), "mix-sizes")
     totals = light.groupBy("__src", "source").agg(F.sum("__size").alias("source_size"))
-    sources = stage(_blocks(source_targets(totals, weights, max_epochs),
-                            block_words, min_blocks, max_epochs)
-                    .unionByName(source_targets(totals, weights, max_epochs).where("source_size = 0"),
-                                 allowMissingColumns=True), "mix-sources")
+    targets = stage(source_targets(totals, weights, max_epochs), "mix-targets")
+    sources = stage(_blocks(targets, block_words, min_blocks, max_epochs)
+                    .unionByName(targets.where("source_size = 0"), allowMissingColumns=True), "mix-sources")
     filled = sources.where("source_size > 0")
     most = filled.agg(F.max("__n")).first()[0] or 1
     buckets = max(16, 1 << (most // blocks_per_bucket).bit_length())
