@@ -161,7 +161,7 @@ def count_min(docs: DataFrame, text: str, width: int, cells: int) -> list[np.nda
 
     schema = "part int, cells binary"
     merged = (docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(fill, schema)
-              .repartition(min(64, ROWS * groups), "part").mapInArrow(merge, schema))
+              .repartition(min(512, ROWS * groups), "part").mapInArrow(merge, schema))
     bits = [np.zeros(max(cells, SLICE) // 8, np.uint8) for _ in range(ROWS)]
     step = per * SLICE // 8
     for r in merged.toLocalIterator():
