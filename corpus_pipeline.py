@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
-    first = (jaccard_components(docs).where(F.col("row_key") == F.col("first_key"))
+    """One document, that of the least id, of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    first = (jaccard_components(docs, width=5, percent=80).where(F.col("row_key") == F.col("first_key"))
              .select("row_key").distinct())
     keyed = docs.withColumn("row_key", key_of(F.col("doc_id"), F.col("text")))
     return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)

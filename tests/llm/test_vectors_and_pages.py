@@ -124,3 +124,14 @@ def test_pipeline_stages_take_effect(spark):
     assert docs.where("taken = 0 or taken > 3 * size").count() == 0
     run = c.run(spark, sf).select("doc_id", "taken").collect()
     assert sorted(run) == sorted(docs.select("doc_id", "taken").collect())
+
+
+def test_pipeline_joins_near_copies_over_five_words_at_80_percent(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{i}" for i in range(104)]
+    with_passage = lambda name, n: " ".join(words[:50] + [f"{name}{i}" for i in range(n)] + words[50:])
+    # 96 of 117 shingles of five words are shared (0.82), 98 of 117 of four (0.84); 96 of 124 of five (0.77).
+    rows = [(1, " ".join(words)), (2, with_passage("a", 13)), (3, with_passage("b", 20)), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
