@@ -242,6 +242,23 @@ def test_language_id(spark):
     assert identify(docs.limit(0), train(docs.limit(0))).collect() == []
 
 
+def test_short_clean_texts_pass_the_language_stage(spark):
+    import corpus_pipeline as c
+
+    r = random.Random(4)
+    sound = {"de": "bcdfg", "en": "hjklm", "es": "npqrs", "fr": "tvwxz"}
+    words = {lang: ["".join(r.choice(s) + r.choice("aeiou") for _ in range(r.randrange(2, 5))) for _ in range(150)]
+             for lang, s in sound.items()}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n)).capitalize() + "."
+    rows = [(i, text(lang, 80), lang) for i, lang in enumerate(list(words) * 100)]
+    short = [(1000 + i, text(lang, n), lang) for i, (lang, n) in enumerate((lang, n) for lang in words for n in range(1, 11) for _ in range(4))]
+    docs = spark.createDataFrame(rows + short, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in c.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows + short}
+    got = {x.doc_id: x for x in identify(docs, train(docs.where("doc_id < 1000"))).where("doc_id >= 1000").collect()}
+    assert [got[i].lang_pred for i, _, _ in short] == [lang for _, _, lang in short]
+
+
 def brute_forward(model, s):
     a = model.start * model.emit[:, s[0]]
     total = 0.0
