@@ -17,9 +17,11 @@ language that sorts first, with score 0; null and blank training texts teach
 nothing; null ids are ordinary values; input columns named like an output
 column are replaced; an empty table gives an empty result.
 
-Scale: training reads a bounded sample, ``sample_docs`` documents per language
-picked by hash and at most ``dict_bytes`` per dictionary (the whole set at
-most ``MAX_DICT_BYTES``, which bounds the broadcast).  Prediction is one
+Scale: training reads a bounded sample.  What binds is ``dict_bytes`` per
+dictionary (the whole set at most ``MAX_DICT_BYTES``, which bounds the
+broadcast), filled by pieces of ``take`` characters; at most ``sample_docs``
+documents per language, picked by hash, are drawn for it, enough for 64 kB
+unless most texts are short.  Prediction is one
 pass without a shuffle.
 """
 
@@ -48,13 +50,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
           sample_docs: int = 500, dict_bytes: int = 64 << 10, take: int = 256) -> dict[str, bytes]:
     """language -> dictionary content, from a bounded sample of labelled rows.
 
-    The rows with the smallest key hash are drawn per language; the first
-    ``take`` characters of each drawn text teach.
+    The rows with the smallest key hash are drawn per language.  A piece of
+    ``take`` characters of each drawn text, at a place picked by hash, teaches;
+    in the order of the hashes until the dictionary's bytes are full.
     """
     rows = rows.where(F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
     order = Window.partitionBy(lang).orderBy("__h", F.col(key))
+    places = F.greatest(F.length(F.col(text)) - take + 1, F.lit(1))
+    start = (F.pmod(row_key(F.col(key), seed=1), places) + 1).cast("int")
     drawn = (rows.select(F.col(lang).alias("lang"), F.col(key), row_key(F.col(key)).alias("__h"),
-                         F.substring(F.col(text), 1, take).alias("text"))
+                         F.col(text).substr(start, F.lit(take)).alias("text"))
              .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample_docs))
     found: dict[str, list] = {}
     for r in drawn.select("lang", "__n", "text").collect():

@@ -259,6 +259,14 @@ def test_short_clean_texts_pass_the_language_stage(spark):
     assert [got[i].lang_pred for i, _, _ in short] == [lang for _, _, lang in short]
 
 
+def test_training_pieces_come_from_the_whole_text(spark):
+    rows = [(i, "head " * 60 + "middle " * 60 + "tail " * 60, "xx") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = train(docs)["xx"]
+    assert all(content.count(w) > 50 for w in (b"head", b"middle", b"tail"))
+    assert len(train(docs, dict_bytes=1000)["xx"]) == 1000
+
+
 def brute_forward(model, s):
     a = model.start * model.emit[:, s[0]]
     total = 0.0
