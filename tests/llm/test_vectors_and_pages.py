@@ -103,6 +103,27 @@ def test_copied_articles_are_no_template(spark):
     assert got == {i: text if i < 15 else f"own {i}" for i in range(60)}
 
 
+def test_a_host_of_mostly_copies_keeps_its_articles(spark):
+    text = " ".join(f"c{i}" for i in range(40))
+    shared = "This section stands in every article of the host and belongs to it"
+    rows, want = [], {}
+
+    def host(name, n, page, main):
+        for i in range(n):
+            k = len(rows)
+            rows.append((k, f"https://{name}.example/{i}", f"<body><nav>Menu {i}</nav>{page(i)}</body>"))
+            want[k] = main(i)
+
+    body = lambda i: text if i < 10 else f"own {i}"
+    for tag in ("article", "main", "div"):
+        host(tag, 12, lambda i: f"<{tag}><p>{body(i)}</p></{tag}>", body)
+    host("article-near", 12, lambda i: f"<article><p>{text} session {i}</p></article>", lambda i: f"{text} session {i}")
+    host("main-near", 12, lambda i: f"<main><p>{text} session {i}</p></main>", lambda i: f"{text} session {i}")
+    host("section", 30, lambda i: f"<article><p>own text {i}</p><p>{shared}</p></article>", lambda i: f"own text {i}\n{shared}")
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == want
+
+
 def test_blocks_of_broken_markup():
     assert blocks("<div><p class=ad>x<p>y</div>z</b></span>") == [("x", 0), ("y", 1), ("z", 1)]
     assert blocks("<script>never closed <p>x") == []
