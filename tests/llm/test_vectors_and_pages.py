@@ -129,6 +129,21 @@ def test_blocks_of_broken_markup():
     assert blocks("<script>never closed <p>x") == []
 
 
+def test_sections_named_like_furniture_stay_in_an_article():
+    article = ("<article id=discussion-paper aria-label='Reply to a critic'><section id=discussion><p>one</p></section>"
+               "<h2 id=related-work>two</h2><h2 id=search-results>three</h2><section id=comments class=social-policy>four</section>"
+               "<p class=ad-hoc>five</p><figure aria-label='Share of exports'>six</figure><p data-id=ad>seven</p>"
+               "<p>so <math><mi>x</mi><mo>&lt;</mo><mn>8</mn><annotation encoding=tex>x < 8</annotation></math></p>"
+               "<xmp>nine <b>&amp;</xmp></article>")
+    kept = ["one", "two", "three", "four", "five", "six", "seven", "so x<8", "nine <b>&amp;"]
+    assert blocks(article) == [(t, 3) for t in kept]
+    for furniture in ("<div class=ad>f</div>", "<div class='x ad-slot'>f</div>", "<div id=share-bar>f</div>", "<ul class='social-links'><li>f</ul>",
+                      "<div id=comments>f</div>", "<ol class=comment-list><li>f</ol>", "<div role=navigation>f</div>",
+                      "<article class='comment even'>f</article>", "<xmp class=ad>f</xmp>"):
+        assert [t for t, kind in blocks(f"<article>a{furniture}<p>b</article>") if kind] == ["a", "b"]
+    assert blocks("<div id=related-links>f</div><div class=site-search>g</div>") == [("f", 0), ("g", 0)]
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as c
 
