@@ -53,6 +53,12 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def whole_vector(x: Column) -> Column:
+    """Whether a vector is there and all its components are finite; never null."""
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    return x.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
 def row_key(*cols: Column, seed: int = 0) -> Column:
     """64-bit hash of the given columns; equal rows get equal keys."""
     return F.xxhash64(F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols])

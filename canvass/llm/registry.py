@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import hmm
+from .centroids import cluster
 from .common import WORD, crc_remainder, stage, table
 from .decontaminate import decontaminate
+from .fingerprint import with_next
 from .langid import identify, train
 from .lines import line_dedup
 from .mainhtml import extract
@@ -15,6 +17,7 @@ from .pivots import top_k
 from .repeats import remove_repeats
 from .setjoin import jaccard_components
 from .surrogates import pseudonymise
+from .whitening import whiten
 
 QUERIES, ORACLE = {}, {}
 
@@ -174,3 +177,45 @@ c AS (SELECT r.x, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GRO
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.rid = d.rid JOIN c ON c.x = d.rid
 """
+
+
+@query
+def op11_fingerprints(spark, sf_dir):
+    return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_centroids(spark, sf_dir):
+    return cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """The rounds of op13 as a chain of tables: a<r> assigns to the centroids c<r>, c<r + 1> are the floors of the means."""
+    assign = """a{r} AS MATERIALIZED (SELECT rid, min(struct_pack(d := d, c := c)) AS best FROM (
+      SELECT v.rid, c{r}.c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+      FROM v, c{r}) GROUP BY rid)"""
+    update = """c{s} AS MATERIALIZED (SELECT c{r}.c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (
+      SELECT c, list((t - ((t % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM (
+        SELECT a{r}.best.c AS c, i, sum(x[i]) AS t, count(*) AS n FROM v JOIN a{r} USING (rid), range(1, 65) AS g(i)
+        GROUP BY 1, 2) GROUP BY c) AS m ON m.c = c{r}.c)"""
+    parts = [p.format(r=r, s=r + 1) for r in range(rounds) for p in (assign, update)]
+    return ",\n".join(parts + [assign.format(r=rounds)])
+
+
+ORACLE["op13_centroids"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+        list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x
+      FROM v) WHERE c < 8),
+{_centroid_rounds(10)},
+f AS MATERIALIZED (SELECT vec_id, best.c AS c, best.d AS d FROM a10 JOIN v USING (rid))
+SELECT vec_id, f.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM f JOIN c10 ON c10.c = f.c
+"""
