@@ -1,65 +1,156 @@
-"""Spelling-tolerant place lookup (edit distance <= 1 on the name).
-
-Candidates come from the *deletion neighbourhood*: every name contributes
-itself and each one-character deletion of itself.  Two names are within
-Levenshtein distance 1 only if they share one of these variants, so an
-equi-join on (address key, variant) finds every candidate pair -- no cross
-join, no blocking bucket whose pairs are all enumerated, no cap.  Shared
-variants can also come from distance-2 pairs ('ab' / 'ba'), so each pair is
-then checked with ``levenshtein``.  The best candidate per lead is chosen
-by a partial-aggregating ``min(struct)``.
+"""Spelling-tolerant place lookup: the nearest name within ``k`` edits at the same address.
+
+Candidates come from a *segment index*.  A catalogue name is cut into k + 1
+segments; for any name within k edits of it there is a segment i that the
+edits leave whole, with at most i edits before it and k - i after it (the
+first i at which the edits of the segments up to i number at most i).  So a
+lead name, for each length that k edits can lead to, probes the few substrings
+that can be that segment, and an equi-join on (address, length, i, segment)
+finds every pair within k edits.  ``levenshtein`` then decides each pair.
+
+Names of one address often share a segment ('dental', or 'customer#' in a
+generated table; a blank address holds names of everywhere).  A segment that
+more than ``crowd`` names share is refined: the key also takes the text before
+it with up to i characters deleted and the text after it with up to k - i
+deleted.  Two texts within d edits share such a variant, so the refined join
+is exact too, and the names it brings together are at most 2k edits apart.
+``crowd`` moves work, never results.
+
+Each distinct (name, address) is looked up once, and only if the catalogue
+does not hold it; the best candidate per key is a partial-aggregating
+``min(struct)``; leads then meet their key's answer in one skew-safe join.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import with_key
+from .lookup import KEY_COLS, PLACE_PAYLOAD, with_key
+from .skew import skew_safe_join
 
+PROBE = ["_ka", "_len", "_i", "_seg"]
+MAX_EDITS = 3
 
-def deletion_variants(c: Column) -> Column:
-    """array(c, c without char 1, ..., c without char n), distinct."""
-    n = F.length(c)
-    dels = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                       lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, n)))
-    return F.array_distinct(F.concat(F.array(c), F.when(n > 0, dels).otherwise(F.array())))
 
+def deletion_variants(c: Column, d: int) -> Column:
+    """Distinct texts that ``c`` becomes by deleting up to ``d`` characters."""
+    out = F.array(c)
+    for _ in range(d):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda v: F.when(
+            F.length(v) > 0, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(
+                v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v))))).otherwise(F.array().cast("array<string>"))))))
+    return out
 
-def fuzzy_lookup(leads: DataFrame, catalogue: DataFrame, max_distance: int = 1,
-                 name_col: str = "company_name", addr_col: str = "company_address",
-                 payload=("place_id", "rating", "review_count", "maps_url")) -> DataFrame:
-    """Every lead (``row_id`` required) with its best catalogue place whose
-    address key is equal and whose name key is within ``max_distance``
-    edits (0 or 1); ``distance`` is null when nothing matched.
 
-    ``catalogue`` must be one row per (``_kn``, ``_ka``) key (see
-    ``lookup.catalogue_by_key``).
+def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
+    """0-based start and length of segment i of k + 1: the last ``length mod (k + 1)`` are longer by one."""
+    base, short = F.floor(length / (k + 1)).cast("int"), F.lit(k + 1) - length % (k + 1)
+    return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+
+
+def _piece(name: Column, i: int, start: Column, size: Column) -> Column:
+    return F.struct(F.lit(i).alias("_i"), name.substr(start + 1, size).alias("_seg"),
+                    name.substr(F.lit(1), start).alias("_left"),
+                    name.substr(start + size + 1, F.length(name)).alias("_right"))
+
+
+def _piece_at(name: Column, i: int, size: Column, start: Column) -> Column:
+    return _piece(name, i, start, size)
+
+
+def index_segments(names: DataFrame, k: int) -> DataFrame:
+    """A row per name and segment: ``PROBE`` columns, the texts around it, the name."""
+    name, length = F.col("_kn"), F.col("_len")
+    pieces = F.array(*[_piece(name, i, *_segment(length, i, k)) for i in range(k + 1)])
+    return (names.select("_kn", "_ka", F.length(name).alias("_len"))
+            .select("_ka", "_len", F.explode(pieces).alias("_p"), F.col("_kn").alias("_ckn"))
+            .select("_ka", "_len", "_p.*", "_ckn"))
+
+
+def probe_segments(names: DataFrame, k: int) -> DataFrame:
+    """A row per name, length of a name within k edits, and place that one of its segments can stand at."""
+    name, length = F.col("_kn"), F.col("_len")
+    own = F.length(name)
+    none = F.array().cast("array<struct<_i:int,_seg:string,_left:string,_right:string>>")
+    pieces = []
+    for i in range(k + 1):
+        start, size = _segment(length, i, k)
+        longer = own - length
+        low = F.greatest(start - i, start + longer - (k - i), F.lit(0))
+        high = F.least(start + i, start + longer + (k - i), own - size)
+        pieces.append(F.when(low <= high, F.transform(F.sequence(low, high), partial(_piece_at, name, i, size))).otherwise(none))
+    lengths = F.sequence(F.greatest(own - k, F.lit(1)), own + k)
+    return (names.select("_kn", "_ka", F.explode(lengths).alias("_len"))
+            .select("_kn", "_ka", "_len", F.explode(F.flatten(F.array(*pieces))).alias("_p"))
+            .select("_kn", "_ka", "_len", "_p.*"))
+
+
+def _refined(segments: DataFrame, k: int) -> DataFrame:
+    """``segments`` once for each pair of variants of the texts before and after the segment."""
+    def by_segment(side: str, edits) -> Column:
+        out = F.when(F.col("_i") == 0, deletion_variants(F.col(side), edits(0)))
+        for i in range(1, k + 1):
+            out = out.when(F.col("_i") == i, deletion_variants(F.col(side), edits(i)))
+        return out
+
+    return (segments.withColumn("_lv", F.explode(by_segment("_left", lambda i: i)))
+            .withColumn("_rv", F.explode(by_segment("_right", lambda i: k - i))).drop("_left", "_right"))
+
+
+def candidates(leads: DataFrame, names: DataFrame, k: int, crowd: int = 64) -> DataFrame:
+    """(``_kn``, ``_ka``, ``_ckn``) pairs, repeats included: all within k edits at one address are among them."""
+    index, probes = index_segments(names, k), probe_segments(leads, k)
+    # Counts leave the map tasks as partial sums: a crowded segment is a row per task.
+    crowded = index.groupBy(*PROBE).count().where(F.col("count") > crowd).select(*PROBE)
+    plain = probes.join(skew_safe_join(index, crowded, PROBE, "left_anti").drop("_left", "_right"), PROBE)
+    fine = (_refined(skew_safe_join(probes, crowded, PROBE, "left_semi"), k)
+            .join(_refined(skew_safe_join(index, crowded, PROBE, "left_semi"), k), [*PROBE, "_lv", "_rv"]))
+    return plain.select("_kn", "_ka", "_ckn").unionByName(fine.select("_kn", "_ka", "_ckn"))
+
+
+def nearest(keys: DataFrame, catalogue: DataFrame, max_distance: int, payload=PLACE_PAYLOAD,
+            crowd: int = 64) -> DataFrame:
+    """One row per (``_kn``, ``_ka``) of ``keys`` that has a place within
+    ``max_distance`` edits: the payload of the best one (fewest edits, most
+    reviews, least place id), ``matched_name`` and ``distance``.
+
+    ``catalogue`` must be one row per key (``lookup.catalogue_by_key``).  A
+    blank name is not looked up and never found; addresses must be equal.
     """
-    if max_distance not in (0, 1):
-        raise ValueError("max_distance must be 0 or 1")
+    if not 0 <= max_distance <= MAX_EDITS:
+        raise ValueError(f"max_distance must be 0 to {MAX_EDITS}")
+    payload = list(payload)
+    wanted = keys.where(F.col("_kn") != "").select(*KEY_COLS).distinct()
+    cat = catalogue.where(F.col("_kn") != "").select(*KEY_COLS, *payload)
+    exact = wanted.join(cat, KEY_COLS).select(
+        *KEY_COLS, *payload, F.col("_kn").alias("matched_name"), F.lit(0).alias("distance"))
+    if not max_distance:
+        return exact
+    missing = wanted.join(cat.select(*KEY_COLS), KEY_COLS, "left_anti")
+    pairs = (candidates(missing, cat.select(*KEY_COLS), max_distance, crowd)
+             .withColumn("distance", F.levenshtein("_kn", "_ckn", max_distance))
+             .where(F.col("distance") >= 0))
+    # Names first, places after: the variants carry no payload, and of equally near names all meet their place.
+    near = pairs.groupBy(*KEY_COLS, "_ckn").agg(F.min("distance").alias("distance"))
+    places = cat.withColumnRenamed("_kn", "_ckn")
+    best = (near.join(places, ["_ckn", "_ka"]).groupBy(*KEY_COLS)
+            .agg(F.min(F.struct("distance", F.col("review_count").isNull().alias("_rn"), (-F.col("review_count")).alias("_rc"),
+                                F.col("place_id").alias("_pid"), *payload, "_ckn")).alias("_b"))
+            .select(*KEY_COLS, *[F.col("_b." + p).alias(p) for p in payload],
+                    F.col("_b._ckn").alias("matched_name"), F.col("_b.distance").alias("distance")))
+    return exact.unionByName(best)
+
+
+def fuzzy_lookup(leads: DataFrame, catalogue: DataFrame, max_distance: int = 1,
+                 name_col: str = "company_name", addr_col: str = "company_address",
+                 payload=("place_id", "rating", "review_count", "maps_url"), crowd: int = 64) -> DataFrame:
+    """Every lead with the payload, ``matched_name`` and ``distance`` of its
+    ``nearest`` place, null where there is none."""
     keyed = with_key(leads, name_col, addr_col)
-    # A blank name is not looked up (it would make '' a variant shared by
-    # every such row); those leads get no match.
-    lv = keyed.where(F.col("_kn") != "").select("row_id", "_kn", "_ka",
-                      F.explode(deletion_variants(F.col("_kn")) if max_distance
-                                else F.array(F.col("_kn"))).alias("_v"))
-    cv = catalogue.where(F.col("_kn") != "").select(F.col("_kn").alias("_ckn"), "_ka", *payload,
-                          F.explode(deletion_variants(F.col("_kn")) if max_distance
-                                    else F.array(F.col("_kn"))).alias("_v"))
-    # A pair sharing several variants appears several times; the min() per
-    # lead below absorbs that, so no extra de-duplication shuffle is needed.
-    pairs = (lv.join(cv, ["_ka", "_v"])
-             .withColumn("distance", F.levenshtein("_kn", "_ckn"))
-             .where(F.col("distance") <= max_distance))
-    best = (pairs.groupBy("row_id")
-            .agg(F.min(F.struct(F.col("distance"),
-                                F.col("review_count").isNull().alias("_rn"),
-                                (-F.col("review_count")).alias("_rc"),
-                                F.col("place_id").alias("_pid"),
-                                *[F.col(p).alias(p) for p in payload],
-                                F.col("_ckn").alias("matched_name"))).alias("_b"))
-            .select("row_id", F.col("_b.distance").alias("distance"),
-                    F.col("_b.matched_name").alias("matched_name"),
-                    *[F.col("_b." + p).alias(p) for p in payload]))
-    return keyed.drop("_kn", "_ka").join(best, "row_id", "left")
+    best = nearest(keyed, catalogue, max_distance, payload, crowd)
+    found = ["distance", "matched_name", *payload]
+    joined = skew_safe_join(keyed.drop(*found), best.select(*KEY_COLS, *found), KEY_COLS, "left")
+    return joined.drop(*KEY_COLS)

@@ -339,14 +339,33 @@ def append_csv(spark, sf):
 
 # --- fuzzy fallback and streaming append -----------------------------------
 
-def fuzzy_lookup_q(spark, sf):
+def fuzzy_lookup_q(spark, sf, k=1):
     leads = fx.fixture(spark, sf, fx.F_FUZZY_LEADS)
     cat = catalogue_by_key(_places(spark, sf))
-    return fuzzy_lookup(leads, cat).select(
+    return fuzzy_lookup(leads, cat, k).select(
         "row_id", "company_name", "company_address", "distance", "matched_name", "place_id",
         "rating", "review_count", "maps_url")
 
 
+def fuzzy_lookup_2(spark, sf):
+    return fuzzy_lookup_q(spark, sf, 2)
+
+
+def fuzzy_lookup_3(spark, sf):
+    return fuzzy_lookup_q(spark, sf, 3)
+
+
+def enrich_fuzzy(spark, sf):
+    """Enrichment of misspelled leads: up to two edits away where no place has the name itself."""
+    res = enrich_leads(fx.fixture(spark, sf, fx.F_MISSPELT), _places(spark, sf), fuzzy=2)
+    return res.select(*LEAD_OUT, "plan_state", "error")
+
+
+def review_lookup_fuzzy(spark, sf):
+    leads = fx.fixture(spark, sf, fx.F_MISSPELT).drop("maps_url")
+    return enrich_reviews(leads, _places(spark, sf), fuzzy=1).select("row_id", "company_name", "rating", "review_count")
+
+
 def stream_append_q(spark, sf):
     base = scratch_path(spark, f"stream-append-{uuid.uuid4().hex}")
     fx.fixture(spark, sf, fx.F_APPEND_EXISTING).write.parquet(base + "/target")
@@ -441,6 +460,10 @@ QUERIES = {
     "append_dataset": append_dataset_q,
     "append_csv": append_csv,
     "fuzzy_lookup": fuzzy_lookup_q,
+    "fuzzy_lookup_2": fuzzy_lookup_2,
+    "fuzzy_lookup_3": fuzzy_lookup_3,
+    "enrich_fuzzy": enrich_fuzzy,
+    "review_lookup_fuzzy": review_lookup_fuzzy,
     "stream_append": stream_append_q,
     "search_append": search_append,
     "staged_run": staged_run,

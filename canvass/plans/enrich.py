@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import has_value, is_blank, is_valid
 from ..operators.columns import ensure_columns, to_internal
 from ..schema import ENRICH_ALIASES
-from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup
+from ..operators.fuzzy import nearest
+from ..operators.lookup import PLACE_PAYLOAD, catalogue_by_key, lookup, with_key
 from ..schema import MSG_MISSING_KEY, MSG_NOT_FOUND, NOT_FOUND_TOKEN
 
 STATE_INVALID, STATE_COMPLETE, STATE_URL_ONLY, STATE_FULL = \
@@ -60,17 +61,27 @@ class EnrichResult:
     summary: DataFrame
 
 
-def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,)) -> DataFrame:
+def _catalogue(todo: DataFrame, places: DataFrame, payload, fuzzy: int) -> DataFrame:
+    """One place per key; with ``fuzzy`` one per key of ``todo``, up to that many edits away in the name."""
+    cat = catalogue_by_key(places, payload=payload)
+    if not fuzzy:
+        return cat
+    return nearest(with_key(todo, "company_name", "company_address"), cat, fuzzy, payload).drop("matched_name", "distance")
+
+
+def enrich_leads(leads: DataFrame, places: DataFrame, placeholders=(NOT_FOUND_TOKEN,), fuzzy: int = 0) -> DataFrame:
     """Leads with rating/review_count/maps_url filled where missing, plus
-    ``plan_state`` and ``error`` columns (null error = row is fine)."""
+    ``plan_state`` and ``error`` columns (null error = row is fine).
+
+    ``fuzzy``: a lead whose name the catalogue does not hold at its address
+    takes the place of the nearest name there, up to so many edits away."""
     staged = with_plan_state(leads, placeholders)
     cols = staged.columns
     st = F.col("plan_state")
     done = staged.where(st.isin(STATE_INVALID, STATE_COMPLETE)).withColumn(
         "error", F.when(st == STATE_INVALID, F.lit(MSG_MISSING_KEY)).cast("string"))
     todo = staged.where(st.isin(STATE_URL_ONLY, STATE_FULL))
-    cat = catalogue_by_key(places, payload=PLACE_PAYLOAD)
-    j = lookup(todo, cat)
+    j = lookup(todo, _catalogue(todo, places, PLACE_PAYLOAD, fuzzy))
     hit, full = F.col("p_hit"), st == STATE_FULL
     updated = j.select(
         *[_update(staged, c, hit & full) if c in ("rating", "review_count") else
@@ -132,17 +143,16 @@ def needs_reviews() -> Column:
     return ~(has_value("rating") & has_value("review_count")) & ~is_blank("company_name")
 
 
-def enrich_reviews(leads: DataFrame, places: DataFrame) -> DataFrame:
+def enrich_reviews(leads: DataFrame, places: DataFrame, fuzzy: int = 0) -> DataFrame:
     """Fill rating and review_count (never the URL) for rows that lack them;
-    a miss leaves the row unchanged and is not an error."""
+    a miss leaves the row unchanged and is not an error.  ``fuzzy``: see ``enrich_leads``."""
     leads = ensure_columns(leads, {"rating": ("double", None),
                                    "review_count": ("bigint", None)})
     cols = leads.columns
     need = needs_reviews()
     done = leads.where(~need)
     todo = leads.where(need)
-    cat = catalogue_by_key(places, payload=["place_id", "rating", "review_count"])
-    j = lookup(todo, cat)
+    j = lookup(todo, _catalogue(todo, places, ["place_id", "rating", "review_count"], fuzzy))
     hit = F.col("p_hit")
     updated = j.select(*[
         _update(leads, c, hit) if c in ("rating", "review_count") else F.col(c) for c in cols])

@@ -323,3 +323,9 @@ SELECT row_id,
   company_address
 FROM ({F_LEADS}) l
 """
+
+# The leads with all their columns and the misspellings above.
+F_MISSPELT = f"""
+SELECT l.row_id, f.company_name, l.company_address, l.company_phone, l.website, l.rating, l.review_count, l.maps_url
+FROM ({F_LEADS}) l JOIN ({F_FUZZY_LEADS}) f ON l.row_id = f.row_id
+"""

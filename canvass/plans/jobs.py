@@ -56,8 +56,8 @@ def _write(df: DataFrame, path: str, fmt: str, headers: dict[str, str] | None =
 
 
 def enrich_file(spark: SparkSession, input_path: str, output_path: str, places: DataFrame,
-                errors_path: str | None = None, fmt: str = "csv") -> dict:
-    """Review enrichment.  The result is staged once (parquet, in the shared
+                errors_path: str | None = None, fmt: str = "csv", fuzzy: int = 0) -> dict:
+    """Review enrichment (``fuzzy``: edits tolerated in a name).  The result is staged once (parquet, in the shared
     checkpoint folder); output and error table are both derived from it, so
     the lookup join runs once.  Returns the run summary."""
     from pyspark.sql import Observation
@@ -65,7 +65,7 @@ def enrich_file(spark: SparkSession, input_path: str, output_path: str, places:
     leads, headers = read_table(spark, input_path, fmt, enrich_aliases=True)
     staging = scratch_path(spark, f"enrich-{uuid.uuid4().hex}")
     obs = Observation("summary")
-    enrich_leads(leads, places).observe(obs, *summary_columns()).write.parquet(staging)
+    enrich_leads(leads, places, fuzzy=fuzzy).observe(obs, *summary_columns()).write.parquet(staging)
     summary = dict(obs.get)
     summary["successful"] = summary["total"] - summary["failed"]
     staged = spark.read.parquet(staging)

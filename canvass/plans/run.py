@@ -24,11 +24,11 @@ from .web import enrich_web
 
 def stages(places: DataFrame | None = None, pages: DataFrame | None = None, generator=None,
            template: str = DEFAULT_TEMPLATE, product_description: str = "",
-           mode: str = "interactive", retry_errors: bool = True, checkpoint: bool = False):
+           mode: str = "interactive", retry_errors: bool = True, checkpoint: bool = False, fuzzy: int = 0):
     """A ``DataFrame -> DataFrame`` function applying the enabled stages."""
     steps = []
     if places is not None:
-        steps.append(partial(enrich_reviews, places=places))
+        steps.append(partial(enrich_reviews, places=places, fuzzy=fuzzy))
     if pages is not None:
         steps.append(partial(enrich_web, pages=pages, mode=mode))
     if generator is not None:
