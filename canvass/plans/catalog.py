@@ -187,6 +187,15 @@ def generate_retry(spark, sf):
     return out.select("row_id", "generated_email")
 
 
+def generate_journal(spark, sf):
+    """Texts through a journal that an earlier run over a part of the rows has filled."""
+    journal = _scratch(spark, "journal")
+    leads = _email_leads(spark, sf)
+    generate(leads.where("row_id % 4 = 0"), upper_generator, DEFAULT_TEMPLATE, PRODUCT, journal=journal)
+    out = generate(leads, upper_generator, DEFAULT_TEMPLATE, PRODUCT, journal=journal)
+    return out.select("row_id", "generated_email")
+
+
 # --- captured responses -------------------------------------------------------
 
 def flatten_responses_q(spark, sf):
@@ -442,6 +451,7 @@ QUERIES = {
     "render_prompts": render_prompts,
     "generate_resume": generate_resume,
     "generate_retry": generate_retry,
+    "generate_journal": generate_journal,
     "flatten_responses": flatten_responses_q,
     "paged_collect": paged_collect,
     "response_outcome": response_outcome,

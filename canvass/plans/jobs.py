@@ -106,11 +106,12 @@ def enrich_web_file(spark: SparkSession, input_path: str, output_path: str, page
 def generate_file(spark: SparkSession, input_path: str, output_path: str, fn,
                   product_description: str, template: str = DEFAULT_TEMPLATE,
                   retry_errors: bool = False, fmt: str = "csv", batch_rows: int = 1,
-                  partitions: int | None = None) -> None:
-    """Generated texts for the pending rows; ``fn`` sees each prompt once."""
+                  partitions: int | None = None, journal: str | None = None) -> None:
+    """Generated texts for the pending rows; ``fn`` sees each prompt once, with a
+    ``journal`` also over interrupted runs."""
     leads, headers = read_table(spark, input_path, fmt)
     out = generate(leads, fn, template, product_description, retry_errors,
-                   batch_rows=batch_rows, partitions=partitions)
+                   batch_rows=batch_rows, partitions=partitions, journal=journal)
     _write(_staged(out, "generate"), output_path, fmt, headers)
 
 

@@ -24,7 +24,8 @@ from .web import enrich_web
 
 def stages(places: DataFrame | None = None, pages: DataFrame | None = None, generator=None,
            template: str = DEFAULT_TEMPLATE, product_description: str = "",
-           mode: str = "interactive", retry_errors: bool = True, checkpoint: bool = False, fuzzy: int = 0):
+           mode: str = "interactive", retry_errors: bool = True, checkpoint: bool = False, fuzzy: int = 0,
+           journal: str | None = None):
     """A ``DataFrame -> DataFrame`` function applying the enabled stages."""
     steps = []
     if places is not None:
@@ -34,7 +35,7 @@ def stages(places: DataFrame | None = None, pages: DataFrame | None = None, gene
     if generator is not None:
         steps.append(partial(generate, fn=generator, template=template,
                              product_description=product_description,
-                             retry_errors=retry_errors))
+                             retry_errors=retry_errors, journal=journal))
 
     def apply(df: DataFrame) -> DataFrame:
         for step in steps:
