@@ -118,10 +118,10 @@ class Words:
         self.offsets = offsets
         #: Words of text i are those from first[i] up to first[i + 1].
         self.first = np.searchsorted(self.start, offsets)
-        self._raw = raw
+        self.bytes = raw
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return run_hashes(self._raw.astype(np.uint64) + np.uint64(1), self.start, self.end,
+        return run_hashes(self.bytes.astype(np.uint64) + np.uint64(1), self.start, self.end,
                           BASES[which])
 
     def windows(self, hashes: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -15,13 +15,15 @@ with one end token, a class of its own.
 Baum-Welch runs over all training documents: each task runs scaled
 forward-backward over its sequences, cut into segments of ``segment`` words,
 and sends expected counts, which are summed by class across partitions.
-Scoring is exact over whole texts: segments are folded into state-to-state
-matrices, rescaled at each step, and chained per text.
+Scoring is exact over whole texts: word by word, and for long texts by
+segments, which are folded into state-to-state matrices, rescaled at each step,
+and chained per text.
 
 ``base_score`` is the add-one unigram score with the same counts.
 
 Defined cases: null and wordless texts consist of the end token; without
-training documents all counts are 0 and every word is unknown; null ids are
+training documents all counts are 0 and every word is unknown; a word of over
+64 bytes is no head word, however frequent; null ids are
 ordinary values; repeated rows are separate documents; an empty table gives
 an empty result; only the id and the text are carried.
 
@@ -39,10 +41,11 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import Words, byte_slices, ship, stage
 
 HEAD_BYTES = 64
 
@@ -51,35 +54,36 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def suffix_class(word: bytes, classes: int) -> int:
-    """Class by the last three bytes, with a sign for words that end in other than a letter."""
-    tail = word[-3:]
-    h = 0
-    for b in tail:
-        h = (h * 257 + b + 1) & 0xFFFFFFFF
-    h = (h * 2654435761) & 0xFFFFFFFF
-    return (h >> 8) % classes
-
-
 class Classes:
-    """word -> class number; the end token is class 0, head words 1..H, suffix classes above."""
+    """word -> class number; the end token is class 0, head words 1..H, suffix classes above.
 
-    def __init__(self, head: list[bytes], suffix_classes: int):
-        self.head = {w: i + 1 for i, w in enumerate(head)}
-        self.suffix = suffix_classes
-        self.size = 1 + len(head) + suffix_classes
-        self._seen: dict[bytes, int] = {}
+    Head words are known by a 64-bit hash.  The suffix class is one by the
+    last three bytes of a word."""
 
-    def of(self, word: bytes) -> int:
-        c = self.head.get(word)
-        return c if c is not None else 1 + len(self.head) + self.tail(word)
-
-    def tail(self, word: bytes) -> int:
-        key = word[-3:]
-        c = self._seen.get(key)
-        if c is None:
-            c = self._seen[key] = suffix_class(word, self.suffix)
-        return c
+    def __init__(self, head: list[bytes], suffix_classes: int):
+        self.first_tail, self.suffix = 1 + len(head), suffix_classes
+        self.size = self.first_tail + suffix_classes
+        hashes = Words([b"\n".join(head)]).hashes() if head else np.zeros(0, np.uint64)
+        self.number = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.number]
+
+    def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Class of each word."""
+        out = self.first_tail + self._tail(words)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            found = self.hashes[at] == hashes
+            out[found] = 1 + self.number[at[found]]
+        return out
+
+    def _tail(self, words: Words) -> np.ndarray:
+        h = np.zeros(len(words.start), np.uint64)
+        for back in (3, 2, 1):
+            at = words.end - back
+            inside = at >= words.start
+            h = np.where(inside, h * np.uint64(257) + words.bytes[np.maximum(at, 0)] + np.uint64(1), h)
+        h = h * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+        return ((h >> np.uint64(8)) % np.uint64(self.suffix)).astype(np.int64)
 
 
 class Model:
@@ -127,41 +131,70 @@ def expected_counts(model: Model, sequences: list[np.ndarray], segment: int):
     """Expected start, move and emission counts of the sequences (scaled forward-backward), and log likelihood."""
     states, classes = model.emit.shape
     flat, _, nth, begin, size = _grid(sequences, segment)
-    emit = np.ascontiguousarray(model.emit.T)
     steps = int(size[0])
     running = np.searchsorted(-size, -np.arange(steps), side="left")
+    # States along the first axis: every operation then runs over long rows.
+    symbols = [flat[begin[:k] + t] for t, k in enumerate(running)]
     alphas, scales, logs = [], [], 0.0
-    stay = model.start
-    for t in range(steps):
-        k = running[t]
-        e = emit[flat[begin[:k] + t]]
-        a = (np.broadcast_to(stay, (k, states)) if t == 0 else alphas[-1][:k] @ model.move) * e
-        c = a.sum(axis=1, keepdims=True)
-        alphas.append(a / c)
+    for t, k in enumerate(running):
+        a = model.emit.take(symbols[t], axis=1)
+        a *= model.start[:, None] if t == 0 else model.move.T @ alphas[-1][:, :k]
+        c = a.sum(axis=0)
+        a /= c
+        alphas.append(a)
         scales.append(c)
         logs += float(np.log(c).sum())
     move = np.zeros((states, states))
     gammas = [None] * steps
-    beta = np.ones((running[-1], states))
+    beta = np.ones((states, running[-1]))
     for t in range(steps - 1, -1, -1):
         k = running[t]
-        if len(beta) < k:
-            beta = np.concatenate([beta, np.ones((k - len(beta), states))])
+        if beta.shape[1] < k:
+            beta = np.concatenate([beta, np.ones((states, k - beta.shape[1]))], axis=1)
         gammas[t] = alphas[t] * beta
         if t:
-            e = emit[flat[begin[:k] + t]]
-            onward = e * beta / scales[t]
-            move += alphas[t - 1][:k].T @ onward
-            beta = onward @ model.move.T
+            onward = model.emit.take(symbols[t], axis=1)
+            onward *= beta
+            onward /= scales[t]
+            move += alphas[t - 1][:, :k] @ onward.T
+            beta = model.move @ onward
     move *= model.move
-    gamma = np.concatenate(gammas)
-    symbols = np.concatenate([flat[begin[:running[t]] + t] for t in range(steps)])
-    counts = np.stack([np.bincount(symbols, weights=gamma[:, i], minlength=classes) for i in range(states)])
-    return gammas[0].sum(axis=0), move, counts, logs
+    gamma, emitted = np.concatenate(gammas, axis=1), np.concatenate(symbols)
+    counts = np.stack([np.bincount(emitted, weights=g, minlength=classes) for g in gamma])
+    return gammas[0].sum(axis=1), move, counts, logs
+
+
+def forward_log10(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of every sequence, word by word over all sequences at once."""
+    n = np.array([len(s) for s in sequences])
+    order = np.argsort(-n, kind="stable")
+    flat, begin = np.concatenate(sequences), (np.cumsum(n) - n)[order]
+    total = np.zeros(len(n))
+    state = None
+    for t, k in enumerate(np.searchsorted(-n[order], -np.arange(int(n.max())), side="left")):
+        a = model.emit.take(flat[begin[:k] + t], axis=1)
+        a *= model.start[:, None] if t == 0 else model.move.T @ state[:, :k]
+        c = a.sum(axis=0)
+        a /= c
+        total[:k] += np.log10(c)
+        state = a
+    out = np.empty(len(n))
+    out[order] = total
+    return out
 
 
 def sequence_log10(model: Model, sequences: list[np.ndarray], segment: int) -> np.ndarray:
-    """Exact log10 probability of every sequence."""
+    """Exact log10 probability of every sequence: short ones word by word, long ones by segments."""
+    long = np.array([len(s) > 16 * segment for s in sequences])
+    out = np.zeros(len(sequences))
+    for choose, some in ((segments_log10, long), (lambda m, s, _: forward_log10(m, s), ~long)):
+        if some.any():
+            out[some] = choose(model, [s for s, x in zip(sequences, some) if x], segment)
+    return out
+
+
+def segments_log10(model: Model, sequences: list[np.ndarray], segment: int) -> np.ndarray:
+    """log10 probability of every sequence, all segments of all sequences at once."""
     states = len(model.start)
     flat, owner, nth, begin, size = _grid(sequences, segment)
     emit = np.ascontiguousarray(model.emit.T)
@@ -199,7 +232,7 @@ def _texts(column) -> list[bytes]:
     return [t.as_py() or b"" for t in column.cast(pa.binary())]
 
 
-def _slices(sequences: list[np.ndarray], limit: int = 1 << 20):
+def _slices(sequences: list[np.ndarray], limit: int = 1 << 19):
     lo = size = 0
     for i, s in enumerate(sequences):
         if i > lo and size + len(s) > limit:
@@ -279,6 +312,63 @@ def train(encoded: DataFrame, classes: Classes, totals: np.ndarray, states: int,
     return model
 
 
+ENCODED = (pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+
+
+def encoded_part(known: Classes, texts: list[bytes], base: np.ndarray, norm: np.ndarray, ends: int) -> list[pa.Array]:
+    """The ``ENCODED`` columns of some lower-cased texts."""
+    words, k = Words(texts), len(texts)
+    hashes = words.hashes()
+    s = known.of(words, hashes)
+    n = np.diff(words.first)
+    doc = np.repeat(np.arange(k), n)
+    tail = s >= known.first_tail
+    seq = np.zeros(len(s) + k, "<u4")  # an end token, class 0, after the words of each text
+    seq[np.arange(len(s)) + doc] = s
+    seq_ends = 4 * np.concatenate([[0], np.cumsum(n + 1)])
+    base_sum = np.bincount(doc[~tail], weights=base[s[~tail]], minlength=k) + base[0]
+    within = -np.bincount(doc[tail], weights=norm[s[tail] - known.first_tail], minlength=k)
+    known_n = np.bincount(doc[~tail], minlength=k) + ends
+    # Distinct words outside the head: runs of equal hashes within a text.
+    at = np.flatnonzero(tail)
+    at = at[np.lexsort((hashes[at], doc[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.concatenate([first, [len(at)]]))
+    own = at[first]
+    lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[own], minlength=k))]), pa.int32())
+    size = words.end[own] - words.start[own]
+    ends_at = np.concatenate([[0], np.cumsum(size)])
+    letters = words.bytes[np.arange(ends_at[-1]) + np.repeat(words.start[own] - ends_at[:-1], size)]
+    return [_binary(seq_ends, seq.view(np.uint8)), pa.array(base_sum), pa.array(within), pa.array(known_n, pa.int64()),
+            pa.ListArray.from_arrays(lists, _binary(ends_at, letters)),
+            pa.ListArray.from_arrays(lists, pa.array(counts, pa.int32()))]
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)),
+                                                              pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def head_words(counts: DataFrame, head: int) -> list:
+    """The ``head`` most frequent words, ties to the smaller word.
+
+    A histogram of counts first tells a count that few more than ``head`` words reach, so
+    that no more are sorted; one task merges them, and the driver gets the result only.
+    """
+    words = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= HEAD_BYTES))
+    step = F.floor(F.log2("c") * 16)
+    left, least = head, None
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        least, left = r["step"], left - r["count"]
+        if left <= 0:
+            break
+    some = words if least is None else words.where(step >= least)
+    kept = stage(some.orderBy(F.col("c").desc(), "word").limit(head), "hmm-head").collect()
+    return sorted(kept, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", head: int = 16384,
           suffix_classes: int = 2048, states: int = 6, rounds: int = 4, segment: int = 128) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
@@ -292,23 +382,22 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
     training = docs.where(~F.col("held_out"))
     counts = stage(word_counts(training, "text"), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tops = (counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= HEAD_BYTES))
-            .orderBy(F.col("c").desc(), "word").limit(head).collect())
+    tops = head_words(counts, head)
     classes = Classes([bytes(r["word"]) for r in tops], suffix_classes)
     head_counts = np.array([r["c"] for r in tops], np.int64)
-    shared = spark.sparkContext.broadcast((list(classes.head), suffix_classes))
+    shared = spark.sparkContext.broadcast(([bytes(r["word"]) for r in tops], suffix_classes))
 
     def by_class(batches):
-        total, words = np.zeros(suffix_classes, np.int64), np.zeros(suffix_classes, np.int64)
+        total, words = np.zeros(suffix_classes), np.zeros(suffix_classes, np.int64)
         known = Classes(*shared.value)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w and w not in known.head:
-                    k = known.tail(w)
-                    total[k] += c
-                    words[k] += 1
+            listed = Words([b"\n".join(batch.column(0).to_pylist())])  # the empty word, the end token, is none of them
+            k = known.of(listed, listed.hashes()) - known.first_tail
+            c = np.asarray(batch.column(1))[np.asarray(pc.binary_length(batch.column(0))) > 0]
+            total += np.bincount(k[k >= 0], weights=c[k >= 0], minlength=suffix_classes)
+            words += np.bincount(k[k >= 0], minlength=suffix_classes)
         at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at]), pa.array(words[at])],
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64)), pa.array(words[at])],
                                          names=["k", "total", "words"])
 
     tail_total, tail_words = np.zeros(suffix_classes, np.int64), np.zeros(suffix_classes, np.int64)
@@ -321,31 +410,17 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
     base_of_class = np.log10(totals + 1) - base_norm
     tail_norm = np.log10(tail_total + tail_words + 1)
     fixed = spark.sparkContext.broadcast((base_of_class, tail_norm))
-    first_tail = 1 + len(tops)
-
     def encode(batches):
         """Class sequence of each document, what its score needs beside the
         model and a join, and its other words as distinct (word, n) lists."""
         base, norm = fixed.value
         known = Classes(*shared.value)
         for batch in batches:
-            rows = {"seq": [], "base": [], "within": [], "known": [], "words": [], "ns": []}
-            for t in _texts(batch.column(1)):
-                words = tokens(t)
-                s = np.fromiter(map(known.of, words), np.uint32, len(words))
-                tail = s >= first_tail
-                rest = Counter(w for w, far in zip(words, tail.tolist()) if far)
-                rows["seq"].append(np.append(s, np.uint32(0)).tobytes())
-                rows["base"].append(float(base[s[~tail]].sum() + base[0]))
-                rows["within"].append(float(-norm[s[tail] - first_tail].sum()))
-                rows["known"].append(int((~tail).sum()) + (1 if ends else 0))
-                rows["words"].append(list(rest))
-                rows["ns"].append(list(rest.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(rows["seq"], pa.binary()), pa.array(rows["base"], pa.float64()),
-                 pa.array(rows["within"], pa.float64()), pa.array(rows["known"], pa.int64()),
-                 pa.array(rows["words"], pa.list_(pa.binary())), pa.array(rows["ns"], pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "seq", "base", "within", "known", "words", "ns"])
+            texts = [t.lower() for t in _texts(batch.column(1))]
+            parts = [encoded_part(known, texts[lo:hi], base, norm, 1 if ends else 0) for lo, hi in byte_slices(texts)]
+            columns = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], t) for t in ENCODED]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns],
+                                             names=["doc_id", "held_out", "seq", "base", "within", "known", "words", "ns"])
 
     kind = dict(docs.dtypes)["doc_id"]
     raw = docs.select("doc_id", F.col("text").cast("binary"), "held_out")
