@@ -13,7 +13,7 @@ A fingerprint is a string cut from these arrays, of size O(log n):
 * 64 samples of the hashes of all spans of ``WIDTH`` code points: the least
   hash of each of 64 classes (a shorter text is one span);
 * the hashes of the first and of the last g code points for g = 1 .. 16 and on
-  in steps of a quarter.
+  in steps of a third, two bytes each.
 
 ``likeness`` compares two fingerprints: 1 if they are equal, else the greater
 of two shares: twice the common part of the sampled spans over both texts'
@@ -117,7 +117,7 @@ def steps(n: int) -> list[int]:
     out, g = [], 1
     while g <= n:
         out.append(g)
-        g = g + 1 if g < 16 else g + g // 4
+        g = g + 1 if g < 16 else g + g // 3
     return out
 
 
@@ -147,7 +147,7 @@ class Batch:
         return np.where(least == none, 0, least % np.uint64(65535) + np.uint64(1)).astype(">u2")
 
     def marks(self) -> list[bytes]:
-        """Three bytes for each marked start, then for each marked end, of every text."""
+        """Two bytes for each marked start, then for each marked end, of every text."""
         grids = [steps(n) for n in self.length.tolist()]
         count = np.array([len(g) for g in grids], np.int64)
         g = np.array([x for grid in grids for x in grid], np.int64)
@@ -155,9 +155,9 @@ class Batch:
         both = []
         for s, e in ((first, first + g), (last - g, last)):
             h = _mix(self.hashes.span(s, e) + (self.hashes.span(s, e, 1) << np.uint64(32)))
-            both.append(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes())
-        ends = (3 * np.cumsum(count)).tolist()
-        return [both[0][e - 3 * c:e] + both[1][e - 3 * c:e] for e, c in zip(ends, count.tolist())]
+            both.append(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :2].tobytes())
+        ends = (2 * np.cumsum(count)).tolist()
+        return [both[0][e - 2 * c:e] + both[1][e - 2 * c:e] for e, c in zip(ends, count.tolist())]
 
     def fingerprints(self) -> list[str]:
         end = self.start + self.length
@@ -169,11 +169,11 @@ class Batch:
 
 
 def _common(a: bytes, b: bytes, count: int) -> int:
-    """How many leading three-byte marks agree: agreement ends once for all, so binary search finds it."""
+    """How many leading two-byte marks agree: agreement ends once for all, so binary search finds it."""
     low, high = 0, count
     while low < high:
         mid = (low + high + 1) // 2
-        if a[3 * mid - 3:3 * mid] == b[3 * mid - 3:3 * mid]:
+        if a[2 * mid - 2:2 * mid] == b[2 * mid - 2:2 * mid]:
             low = mid
         else:
             high = mid - 1
