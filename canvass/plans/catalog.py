@@ -31,6 +31,7 @@ from ..operators.lookup import catalogue_by_key
 from ..session import scratch_path
 from ..streaming.append import stream_append
 from ..sources.leads_io import CSV_WRITE, append_dataset, read_leads_csv, write_leads
+from ..sources.pluggable import read_pages
 from ..sources.responses import (collect_pages, flatten_responses, harmonise_places,
                                  lookup_outcome)
 
@@ -202,6 +203,13 @@ def flatten_responses_q(spark, sf):
     return flatten_responses(fx.responses(spark, sf))
 
 
+def source_pages(spark, sf):
+    """Captured pages on disk, read through the pluggable source."""
+    path = _scratch(spark, "captured")
+    fx.responses(spark, sf).write.parquet(path)
+    return flatten_responses(read_pages(spark, path=path))
+
+
 def paged_collect(spark, sf):
     return collect_pages(fx.responses(spark, sf), max_results=20)
 
@@ -298,8 +306,8 @@ def resolve_headers(spark, sf):
 
 
 LOCATION_SQL = """
-SELECT n_nationkey AS place, CASE WHEN n_nationkey % 5 = 4 THEN 'somewhere'
-  ELSE CAST(n_nationkey * 3 - 30 AS STRING) || ', ' || CAST(n_nationkey * 7 - 80 AS STRING) END AS location FROM nation
+SELECT c_custkey AS place, CASE WHEN c_custkey % 5 = 4 THEN c_name WHEN c_custkey % 31 = 0 THEN '1,2,' || c_mktsegment
+  ELSE CAST(c_custkey % 60 - 30 AS STRING) || ', ' || CAST(c_acctbal / 100 AS STRING) END AS location FROM customer
 """
 
 
@@ -453,6 +461,7 @@ QUERIES = {
     "generate_retry": generate_retry,
     "generate_journal": generate_journal,
     "flatten_responses": flatten_responses_q,
+    "source_pages": source_pages,
     "paged_collect": paged_collect,
     "response_outcome": response_outcome,
     "field_coalesce": field_coalesce,

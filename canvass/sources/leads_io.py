@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.columns import to_external, to_internal
 from ..session import scratch_path
+from . import files
 
 # Cell texts read as missing (the pandas read_csv defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -172,7 +173,8 @@ def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "au
     parquet: ``mode('append')``, existing files are never rewritten, and the
     rows are counted during the write by an ``Observation``.  csv: one header
     holds for the whole file, so the union is written once to the shared
-    checkpoint folder and then replaces the file, under the headers it had.
+    checkpoint folder, written beside the file in order, and then put in its
+    place, under the headers it had: a failed append leaves the file whole.
     """
     from ..operators.append import append_new, new_rows
 
@@ -187,22 +189,44 @@ def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "au
 
 def _append_csv(spark: SparkSession, path: str, new: DataFrame, by: str, append_new) -> int:
     try:
-        current = read_leads_csv(spark, path, internal=False)
+        current = read_leads_csv(spark, path, internal=False, row_id=True)
     except AnalysisException as e:
         if not missing_path(e):
             raise
         current = None
-    if current is None:
-        union, before = to_external(new), 0
-    else:
-        # An order column keeps the file's rows in place and the new ones last.
-        current, before = read_leads_csv(spark, path, internal=False, row_id=True), current.count()
-        union = append_new(current, new.withColumn("row_id", F.lit(None).cast("bigint")), by)
+    # An order column keeps the file's rows in place and the new ones, which have none, last.
+    new = new.withColumn("row_id", F.lit(None).cast("bigint"))
+    union = to_external(new) if current is None else append_new(current, new, by)
     staged = scratch_path(spark, f"append-{uuid.uuid4().hex}")
     obs = Observation("appended")
-    union.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(staged)
-    back = spark.read.schema(union.schema).parquet(staged)
-    if "row_id" in back.columns:
-        back = back.orderBy(F.col("row_id").asc_nulls_last()).drop("row_id")
-    back.write.mode("overwrite").options(**CSV_WRITE).csv(path)
-    return int(obs.get["n"]) - before
+    (union.observe(obs, F.count_if(F.col("row_id").isNull()).alias("n"))
+     .withColumn("_nth", F.monotonically_increasing_id()).write.parquet(staged))
+    # The staged position orders the new rows and spreads them over tasks.
+    back = spark.read.parquet(staged).orderBy(F.col("row_id").asc_nulls_last(), "_nth").drop("row_id", "_nth")
+    replace(spark, path, lambda beside: back.write.options(**CSV_WRITE).csv(beside))
+    return int(obs.get["n"])
+
+
+def replace(spark: SparkSession, path: str, write) -> None:
+    """Let ``write`` make a folder beside ``path``, then put it in the place of ``path``.
+
+    What was at ``path`` is there untouched until the new folder is whole; if
+    the swap itself fails it is moved back."""
+    home, tag = path.rstrip("/"), uuid.uuid4().hex
+    beside, old = f"{home}.new-{tag}", f"{home}.old-{tag}"
+    try:
+        write(beside)
+        had = files.exists(spark, home)
+        if had:
+            files.move(spark, home, old)
+        try:
+            files.move(spark, beside, home)
+        except Exception:
+            if had:
+                files.move(spark, old, home)
+            raise
+    except Exception:
+        files.delete(spark, beside)
+        raise
+    if had:
+        files.delete(spark, old)
