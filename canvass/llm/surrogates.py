@@ -11,11 +11,16 @@ keys and passwords, names) are replaced by surrogates drawn from a keyed hash:
 * coreference stays: an entity is mapped by its bare form (lower case, digits
   only), so all its spellings get one surrogate, in every document; an e-mail
   is mapped as mailbox and domain, a name word by word;
-* distinctness stays: surrogates are checked against each other and against
-  the real entities of the corpus, and all but one of those that collide are
-  drawn again until none does.
+* distinctness stays: surrogates are checked against each other and, but for
+  names, against the real entities of the corpus, and all but one of those that
+  collide are drawn again, a fixed number of rounds;
+* where a layout has no room (half of its values are real, as with thousands of
+  addresses of one private network) its entities are permuted instead: each
+  takes the next one's value in a keyed order, so all stay distinct, none keeps
+  its own, and check digits hold.
 
 Cards and IBANs with wrong check digits are numbers, not entities, and stay.
+A value without letters and digits (a masked password) gets a drawn ending.
 
 Defined cases: null text stays null; texts without an entity stay unchanged;
 null ids are ordinary values; repeated rows are treated alike; an empty table
@@ -31,7 +36,7 @@ adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, stage
@@ -78,8 +83,8 @@ _GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
 #: that most positions of a text fail at once.
 _NAMES = r"(?=[A-ZА-Я])" + _B + "(?:" + _TITLE + " " + _NAME + "(?: " + _NAME + "){0,2}|" + _GIVEN + " " + _NAME + _E + ")"
 _MARKS = "|".join([
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    r"(?=[pPsStTaA])" + _B + _ASSIGN + r"[^\s\"',;]{6,128}",
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}+\.){1,126}\p{L}{2,}+",
+    r"(?=[pPsStTaA])" + _B + _ASSIGN + r"[^\s\"',;]{6,}+",
     r"(?=A)" + _B + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _E,
     r"(?=[A-Z]{2}\d)" + _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     r"(?=[0-9A-Fa-f]{1,4}[:-])(?:(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
@@ -93,6 +98,9 @@ _MARKS = "|".join([
     r"|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}]|-\d))",
     r"(?=\(\d)(?<![\p{L}\p{N}+.-])\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}]|-\d)",
 ])
+#: Country codes of the numbering plan: one digit, two, else three.
+_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+ROUNDS, BUCKET = 12, 1024
 PATTERN = _MARKS + "|" + _NAMES
 NAME_TYPES = ("given_m", "given_f", "given_n", "surname", "surname_f")
 
@@ -165,7 +173,8 @@ def _norm(kind: Column, raw: Column) -> Column:
     """The bare form by which an entity is mapped."""
     digits = _digits(raw)
     return (F.when(kind.isin("card", "ssn"), digits)
-            .when(kind == "phone", F.right(digits, F.lit(10)))
+            .when(kind == "phone", F.regexp_replace(F.when(raw.startswith("+"), F.regexp_replace(digits, _CODE, ""))
+                                                    .otherwise(digits), "^0+(?=\\d)", ""))
             .when(kind == "iban", F.regexp_replace(raw, " ", ""))
             .when(kind.isin("secret", "ip"), raw)
             .otherwise(F.lower(raw)))
@@ -243,10 +252,35 @@ def _surrogate() -> Column:
             .when((kind == "surname_f") & cyr, named([x + "а" for x in SURNAMES["cyrillic"]])).otherwise(other))
 
 
+def _layout(kind: Column, norm: Column) -> Column:
+    """What a value shares with those it may be exchanged for: kinds of characters, and the network of an address."""
+    shape = norm
+    for i, rule in enumerate(_SCRIPTS.values()):
+        shape = F.regexp_replace(shape, rule, chr(0xE000 + i))
+    for rule, mark in ((r"\p{Lu}", "A"), (r"\p{L}", "a"), (r"\p{Nd}", "0")):
+        shape = F.regexp_replace(shape, rule, mark)
+    network = F.regexp_extract(norm, r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 0)
+    return (F.when(kind == "ip", F.when(network.startswith("172."), "172.").otherwise(network))
+            .when(kind == "hex", F.regexp_replace(norm, "[0-9a-f]", "x"))
+            .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), shape)).otherwise(shape))
+
+
+def _exchanged(entities: DataFrame, key: str) -> DataFrame:
+    """(type, norm, surrogate): each entity takes the value of the next one of its layout, in a keyed order.
+
+    A large layout is exchanged in buckets of about ``BUCKET``."""
+    sizes = entities.groupBy("type", "layout").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {BUCKET}")).alias("buckets"))
+    order = F.xxhash64(F.lit(key), "norm")
+    placed = entities.join(sizes, ["type", "layout"]).withColumn("bucket", F.pmod(F.xxhash64("norm", F.lit(key)), "buckets"))
+    ring = Window.partitionBy("type", "layout", "bucket").orderBy(order, "norm")
+    first = F.first("norm").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return placed.select("type", "norm", F.coalesce(F.lead("norm").over(ring), first).alias("surrogate"))
+
+
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     """(type, norm, surrogate) for distinct (type, norm), without collisions inside a type."""
     now = stage(entities.withColumn("attempt", F.lit(0)), "pii-entities")
-    while True:
+    for _ in range(ROUNDS):
         drawn = stage(now.withColumn("h", _drawn(key)).withColumn("surrogate", _surrogate())
                       .select("type", "norm", "attempt", "surrogate"), "pii-drawn")
         # The first by hash of those that share a surrogate keeps it.
@@ -263,6 +297,11 @@ def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
         if not again.where("again").limit(1).count():
             return again.select("type", "norm", "surrogate")
         now = again.select("type", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    # No room: whole layouts, those resolved included, so that no two meet.
+    laid = stage(again.withColumn("layout", _layout(F.col("type"), F.col("norm"))), "pii-laid")
+    full = laid.where("again").select("type", "layout").distinct()
+    rest = laid.join(full, ["type", "layout"], "left_anti").select("type", "norm", "surrogate")
+    return rest.unionByName(_exchanged(laid.join(full, ["type", "layout"], "left_semi"), key))
 
 
 def _shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
@@ -297,29 +336,33 @@ def _shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with surrogates in ``text`` and ``n_entities`` (replaced entities, long)."""
     docs = docs.drop("n_entities")
+    own = "__"  # of helper columns: no column of the input begins with it
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    key_col, found_col, out_col, n_col = (own + x for x in ("key", "found", "out", "n"))
     # All but names hold a digit, an at sign or an assignment; a text without
     # one needs only the search for names.
     has = F.coalesce((F.col(text).rlike("[0-9@=:]") & F.col(text).rlike(_MARKS)) | F.col(text).rlike(_NAMES), F.lit(False))
     some = stage(docs.where(has).select(
-        "*", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("__found"),
-        F.struct(row_key(F.col(doc_id), F.col(text)).alias("a"), row_key(F.col(text), F.col(doc_id), seed=1).alias("b")).alias("__key")),
+        "*", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias(found_col),
+        F.struct(row_key(F.col(doc_id), F.col(text)).alias("a"), row_key(F.col(text), F.col(doc_id), seed=1).alias("b")).alias(key_col)),
         "pii-documents")
     e = F.col("e")
-    found = (some.select("__key", "__found").dropDuplicates(["__key"])
-             .select("__key", F.posexplode("__found").alias("i", "e"))
-             .select("__key", "i", F.posexplode(_parts(e, _type(e))).alias("j", "p"))
-             .select("__key", "i", "j", "p.type", "p.raw", _norm(F.col("p.type"), F.col("p.raw")).alias("norm")))
+    found = (some.select(key_col, found_col).dropDuplicates([key_col])
+             .select(key_col, F.posexplode(found_col).alias("i", "e"))
+             .select(key_col, "i", F.posexplode(_parts(e, _type(e))).alias("j", "p"))
+             .select(key_col, "i", "j", "p.type", "p.raw", _norm(F.col("p.type"), F.col("p.raw")).alias("norm")))
     found = stage(found, "pii-occurrences")
     mapping = stage(surrogate_map(found.where("type != 'lit'").select("type", "norm").distinct(), key), "pii-map")
     shaped = (found.join(mapping, ["type", "norm"], "left")
               .withColumn("out", _shaped(F.col("type"), F.col("raw"), F.col("surrogate"))))
-    whole = (shaped.groupBy("__key", "i").agg(
+    whole = (shaped.groupBy(key_col, "i").agg(
         F.array_join(F.expr("transform(array_sort(collect_list(struct(j, out))), x -> x.out)"), "").alias("out"),
         F.max((F.col("type") != "lit").cast("long")).alias("real"))
-        .groupBy("__key").agg(F.expr("transform(array_sort(collect_list(struct(i, out))), x -> x.out)").alias("__out"),
-                              F.sum("real").alias("__n")))
+        .groupBy(key_col).agg(F.expr("transform(array_sort(collect_list(struct(i, out))), x -> x.out)").alias(out_col),
+                              F.sum("real").alias(n_col)))
     new = F.array_join(F.transform(F.split(F.col(text), PATTERN, -1),
-                                   lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__out"), i), F.lit("")))), "")
-    replaced = some.join(stage(whole, "pii-replacements"), "__key").select(
-        *[new.alias(text) if c == text else F.col(c) for c in docs.columns], F.col("__n").alias("n_entities"))
+                                   lambda p, i: F.concat(p, F.coalesce(F.get(F.col(out_col), i), F.lit("")))), "")
+    replaced = some.join(stage(whole, "pii-replacements"), key_col).select(
+        *[new.alias(text) if c == text else F.col(c) for c in docs.columns], F.col(n_col).alias("n_entities"))
     return docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")).unionByName(replaced)
