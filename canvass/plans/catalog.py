@@ -440,6 +440,14 @@ def run_rest_q(spark, sf):
     return run_rest(fx.fixture(spark, sf, fx.F_WEB_LEADS), start=10, **_staged(spark, sf)).select(*RUN_OUT)
 
 
+def run_continued(spark, sf):
+    """A preview, then a run that finds by itself where the preview stopped; its stages are read, not run again."""
+    leads, ledger = fx.fixture(spark, sf, fx.F_WEB_LEADS), _scratch(spark, "ledger")
+    settings = dict(places=_places(spark, sf), pages=fx.fixture(spark, sf, fx.F_HTML), mode="interactive", ledger=ledger)
+    run_preview(leads, n=10, **settings)
+    return run_rest(leads, **settings).select(*RUN_OUT)
+
+
 QUERIES = {
     "enrich_classify": enrich_classify,
     "enrich_lookup": enrich_lookup,
@@ -489,4 +497,5 @@ QUERIES = {
     "staged_run_generate": staged_run_generate,
     "run_preview": run_preview_q,
     "run_rest": run_rest_q,
+    "run_continued": run_continued,
 }
