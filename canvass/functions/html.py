@@ -30,9 +30,11 @@ _REFERENCE_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30
 
 # The end of a tag name: 'p' must not match '<p-card>'.
 _E = r"(?=[\s/>])"
-_HIDDEN_RE = (r"(?is)<!--.*?-->"
-              r"|<script" + _E + r"[^>]*>.*?</script\s*>"
-              r"|<style" + _E + r"[^>]*>.*?</style\s*>")
+# What is never closed goes to the end of the page, as browsers have it; so no
+# opening is looked at twice, however many there are.
+_HIDDEN_RE = (r"(?is)<!--.*?(?:-->|\z)"
+              r"|<script" + _E + r"[^>]*+(?:>.*?(?:</script\s*>|\z)|\z)"
+              r"|<style" + _E + r"[^>]*+(?:>.*?(?:</style\s*>|\z)|\z)")
 _ATTR_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _HREF_RE = r"(?is)<a\s[^>]*?(?<![\w-])href\s*=\s*" + _ATTR_VALUE
 _TITLE_RE = r"(?is)<title" + _E + r"[^>]*>(.*?)</title\s*>"
@@ -79,8 +81,10 @@ def unquote(c) -> Column:
 
 
 def clean_html(html) -> Column:
-    """Page with comments, scripts and styles removed."""
-    return F.regexp_replace(F.coalesce(_c(html), F.lit("")), _HIDDEN_RE, " ")
+    """Page with comments, scripts and styles removed, and a tag that its end cuts off."""
+    page = F.regexp_replace(F.coalesce(_c(html), F.lit("")), _HIDDEN_RE, " ")
+    tail = F.substring_index(page, ">", -1)
+    return F.concat(F.substr(page, F.lit(1), F.length(page) - F.length(tail)), F.substring_index(tail, "<", 1))
 
 
 def hrefs(clean) -> Column:

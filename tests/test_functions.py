@@ -155,3 +155,20 @@ def test_captured_failure_reasons(spark):
     got = [r["research_brief"] for r in enrich_web(leads, pages).orderBy("row_id").collect()]
     assert got == ["Could not fetch: Timeout", "Could not fetch: SSL Error",
                    "Could not fetch: Request failed: " + long[:50], "N - T"]
+
+
+def test_hostile_pages_take_linear_time(spark):
+    import time
+
+    from canvass.functions.html import clean_html, page_features
+
+    units = ["<!--", "<script>", "<script ", "<style>x", "<a ", "<", "<!-- x --", "</script ", "<script><!--"]
+    pages = [(i, u * (1_000_000 // len(u))) for i, u in enumerate(units)]
+    df = spark.createDataFrame(pages, "page_id int, html string").withColumn("url", F.lit("u"))
+    page_features(df.limit(1), keep=("page_id",)).collect()
+    begun = time.perf_counter()
+    assert len(page_features(df, keep=("page_id",)).collect()) == len(units)
+    assert time.perf_counter() - begun < 1.5 * len(units)
+    got = {h: c for h, c in spark.createDataFrame([("a<!-- b",), ("a<script>b",), ("a <p>b <i",), ("a < b > c",)], "h string")
+           .select("h", clean_html("h")).collect()}
+    assert got == {"a<!-- b": "a ", "a<script>b": "a ", "a <p>b <i": "a <p>b ", "a < b > c": "a < b > c"}

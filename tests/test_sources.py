@@ -80,22 +80,33 @@ def read(path):
 NEW = "company_name string, company_address string, maps_url string"
 
 
-def test_csv_append_keeps_the_order_and_spreads_new_rows(spark, tmp_path):
+def test_csv_append_keeps_the_order(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "leads")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more rows
     first = [(f"old {i}", "x", f"u{i}") for i in range(50)]
     assert append_dataset(spark, path, spark.createDataFrame(first, NEW).coalesce(1), fmt="csv") == 50
     new = [(f"new {i}", "y", f"v{i}") for i in range(4000)] + [("again", "x", "u7")]
-    try:
-        assert append_dataset(spark, path, spark.createDataFrame(new, NEW).repartition(4), fmt="csv") == 4000
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    real = leads_io.in_order
+    monkeypatch.setattr(leads_io, "in_order", lambda df, **kw: real(df, rows_a_part=20, **kw))
+    assert append_dataset(spark, path, spark.createDataFrame(new, NEW).repartition(4), fmt="csv") == 4000
     rows = read(path)
     assert [r["Company Name"] for r in rows[:50]] == [n for n, _, _ in first]
     assert sorted(r["Company Name"] for r in rows[50:]) == sorted(n for n, _, _ in new[:-1])
-    sizes = [sum(1 for _ in open(p)) for p in glob.glob(f"{path}/part-*.csv")]
-    assert len(sizes) > 1 and max(sizes) < 4000  # not one task
-    assert os.listdir(tmp_path) == ["leads"]
+    assert len(glob.glob(f"{path}/part-*.csv")) > 3 and os.listdir(tmp_path) == ["leads"]
+
+
+def test_rows_go_straight_to_their_part(spark):
+    rows = [(i if i % 3 else None, f"n{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, name string, nth bigint").repartition(7)
+    for then in (None, "nth"):
+        out = leads_io.in_order(df, then=then, rows_a_part=100)
+        got = [r.row_id for r in out.collect()]
+        assert got == [i for i in range(3000) if i % 3] + [None] * 1000
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+        assert len(sizes) == 40 and max(sizes) <= 150  # those without a number are spread as well
+    assert [r.nth for r in out.collect()][2000:] == list(range(0, 3000, 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "rangepartitioning" not in plan  # one of them is the test's own
+    assert leads_io.in_order(df.where("false")).collect() == []
 
 
 @pytest.mark.parametrize("fails", ["write", "swap"])
