@@ -38,6 +38,14 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column of the input is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship() -> None:
     """Send this package's functions to the Python workers by value: they need not have it installed."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])

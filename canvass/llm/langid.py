@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, ship
+from .common import fresh, row_key, ship
 
 MAX_DICT_BYTES = 64 << 20
 SHORT, COPIES = 256, 8
@@ -109,7 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     column = docs.columns.index(text)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
               T.StructField("rejected", T.BooleanType())]
-    letter = docs.columns.index("__letter") if "__letter" in docs.columns else len(docs.columns)
+    letter, mark = len(docs.columns), fresh("__letter", docs.columns)
 
     def run(batches):
         names, compressors = _compressors(shared.value, level)
@@ -124,5 +124,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                  pa.array([m < min_margin for m in margins], pa.bool_())],
                 names=[*[batch.schema.names[i] for i in keep], *OUTPUT])
 
-    marked = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

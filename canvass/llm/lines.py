@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import fresh, row_key, stage
 
 #: Half the width of the band around the threshold that is counted exactly, in
 #: standard errors of the sketch; beyond it an estimate decides.
@@ -69,22 +69,23 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", key: s
     """Documents with boilerplate lines removed and ``n_lines_removed`` (long)."""
     docs = docs.drop("n_lines_removed")
     lines = boilerplate(docs, text, site, min_sites, precision)
-    keyed = docs.withColumn("__key", F.struct(row_key(F.col(key), F.col(text)).alias("a"),
+    own_key, own_gone = fresh("__key", docs.columns), fresh("__gone", docs.columns)
+    keyed = docs.withColumn(own_key, F.struct(row_key(F.col(key), F.col(text)).alias("a"),
                                               row_key(F.col(text), F.col(key), seed=1).alias("b")))
-    places = (keyed.select("__key", F.posexplode(line_parts(F.col(text))).alias("__no", "__line"))
-              .select("__key", _numbered(F.col("__line"), F.col("__no")).alias("__mark"), _hash(F.col("__line")).alias("line")))
+    places = (keyed.select(own_key, F.posexplode(line_parts(F.col(text))).alias("__no", "__line"))
+              .select(own_key, _numbered(F.col("__line"), F.col("__no")).alias("__mark"), _hash(F.col("__line")).alias("line")))
     gone = (places.where(F.col("line").isNotNull()).join(lines, "line", "left_semi")
-            .groupBy("__key").agg(F.collect_set("__mark").alias("__gone")))
+            .groupBy(own_key).agg(F.collect_set("__mark").alias(own_gone)))
     gone = stage(gone, "line-places")
     parts = line_parts(F.col(text))
     # Lines are told apart by their numbers, and array_except hashes: linear in
     # the lines of a text, however many go.
-    kept = F.transform(F.array_except(F.transform(parts, _numbered), F.col("__gone")),
+    kept = F.transform(F.array_except(F.transform(parts, _numbered), F.col(own_gone)),
                        lambda x: F.substring_index(x, "\n", -1))
     left = F.exists(kept, lambda x: _hash(x).isNotNull())
-    cut = F.col("__gone").isNotNull() & left
-    out = keyed.join(gone, "__key", "left")
+    cut = F.col(own_gone).isNotNull() & left
+    out = keyed.join(gone, own_key, "left")
     return out.select(
         *[F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c)
           for c in docs.columns],
-        F.when(cut, F.size("__gone")).otherwise(0).cast("long").alias("n_lines_removed"))
+        F.when(cut, F.size(own_gone)).otherwise(0).cast("long").alias("n_lines_removed"))
