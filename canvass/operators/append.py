@@ -28,23 +28,38 @@ def dedup_rule(existing: DataFrame) -> str:
     return "name_address" if len(found) == 2 else "none"
 
 
+#: Key columns of a dedup rule.
+KEYS = {"url": ["_k"], "name_address": ["_kn", "_ka"]}
+
+
+def existing_keys(existing: DataFrame, rule: str) -> DataFrame:
+    """The key columns of an existing table's rows (by URL: of rows that have one)."""
+    if rule == "url":
+        return (existing.where(F.col("maps_url").isNotNull())
+                .select(strip(F.col("maps_url").cast("string")).alias("_k")))
+    found = resolve_columns(existing.columns, NAME_ALIASES)
+    return existing.select(match_key(found["company_name"]).alias("_kn"),
+                           match_key(found["company_address"]).alias("_ka"))
+
+
+def keyed(new: DataFrame, rule: str) -> DataFrame:
+    """``new`` with the key columns of the rule."""
+    if rule == "url":
+        return new.withColumn("_k", strip(F.coalesce(F.col("maps_url").cast("string"), F.lit(""))))
+    return new.withColumns({"_kn": match_key("company_name"), "_ka": match_key("company_address")})
+
+
 def new_rows(existing: DataFrame, new: DataFrame, by: str = "auto") -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``."""
     rule = dedup_rule(existing) if by == "auto" else by
-    if rule == "url":
-        keys = (existing.where(F.col("maps_url").isNotNull())
-                .select(strip(F.col("maps_url").cast("string")).alias("_k")))
-        staged = new.withColumn("_k", strip(F.coalesce(F.col("maps_url").cast("string"),
-                                                        F.lit(""))))
-        return _anti(staged, keys, ["_k"])
-    if rule == "name_address":
-        found = resolve_columns(existing.columns, NAME_ALIASES)
-        keys = existing.select(match_key(found["company_name"]).alias("_kn"),
-                               match_key(found["company_address"]).alias("_ka"))
-        staged = new.withColumns({"_kn": match_key("company_name"),
-                                  "_ka": match_key("company_address")})
-        return _anti(staged, keys, ["_kn", "_ka"])
-    return new
+    if rule not in KEYS:
+        return new
+    return unseen(keyed(new, rule), existing_keys(existing, rule), rule)
+
+
+def unseen(staged: DataFrame, keys: DataFrame, rule: str) -> DataFrame:
+    """Rows of ``staged`` (see ``keyed``) whose key is not among ``keys``."""
+    return _anti(staged, keys, KEYS[rule])
 
 
 def _anti(staged: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -343,6 +343,19 @@ def append_dataset_q(spark, sf):
     return spark.read.option("mergeSchema", "true").parquet(path).select(*APPEND_OUT)
 
 
+def append_indexed(spark, sf):
+    """Three appends by the persisted key index: a third of the table is written behind its back."""
+    path = _scratch(spark, "append-indexed")
+    ex, new = fx.fixture(spark, sf, fx.F_APPEND_EXISTING), fx.fixture(spark, sf, fx.F_APPEND_NEW)
+    late = F.pmod(F.xxhash64("row_id"), F.lit(3)) == 0
+    ex.where(~late).write.parquet(path)
+    append_dataset(spark, path, new.limit(0), indexed=True)     # builds the index
+    ex.where(late).write.mode("append").parquet(path)           # another writer
+    append_dataset(spark, path, new, indexed=True)
+    append_dataset(spark, path, new.where("maps_url != ''"), indexed=True)   # nothing new
+    return spark.read.option("mergeSchema", "true").parquet(path).select(*APPEND_OUT)
+
+
 def append_csv(spark, sf):
     """Append to a CSV file under its own headers."""
     path = _scratch(spark, "append-csv")
@@ -485,6 +498,7 @@ QUERIES = {
     "merge_back": merge_back_q,
     "append_external_headers": append_external_headers,
     "append_dataset": append_dataset_q,
+    "append_indexed": append_indexed,
     "append_csv": append_csv,
     "fuzzy_lookup": fuzzy_lookup_q,
     "fuzzy_lookup_2": fuzzy_lookup_2,

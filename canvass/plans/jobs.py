@@ -82,16 +82,16 @@ def enrich_file(spark: SparkSession, input_path: str, output_path: str, places:
 def search_file(spark: SparkSession, places: DataFrame, query: str, output_path: str,
                 max_results: int = 20, location: str | None = None,
                 radius_miles: float | None = None, append: bool = False,
-                pages: DataFrame | None = None, fmt: str = "parquet") -> int:
+                pages: DataFrame | None = None, fmt: str = "parquet", indexed: bool = False) -> int:
     """Search and save.  ``append=True`` adds only the found rows the
-    dataset at ``output_path`` does not hold yet.  Returns the number of rows
+    dataset at ``output_path`` does not hold yet (``indexed``: by its key index).  Returns the number of rows
     written; a search without hits writes nothing."""
     loc = parse_location(location) if location else None
     radius = miles_to_metres(radius_miles) if radius_miles else None
     found = _staged(search(places, query, max_results, loc, radius, pages=pages), "search")
     n = found.count()   # of the written result: the search runs once
     if append:
-        return append_dataset(spark, output_path, found, fmt=fmt) if n else 0
+        return append_dataset(spark, output_path, found, fmt=fmt, indexed=indexed) if n else 0
     if n:
         _write(found, output_path, fmt)
     return n

@@ -190,7 +190,7 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "auto",
-                   fmt: str = "parquet") -> int:
+                   fmt: str = "parquet", indexed: bool = False) -> int:
     """Append the rows of ``new`` that the dataset at ``path`` does not hold
     yet; returns their number.  A missing dataset is created.
 
@@ -199,18 +199,43 @@ def append_dataset(spark: SparkSession, path: str, new: DataFrame, by: str = "au
     holds for the whole file, so the union is written once to the shared
     checkpoint folder, written beside the file in order, and then put in its
     place, under the headers it had: a failed append leaves the file whole.
+
+    ``indexed`` (parquet): the keys come from a persisted index instead of the
+    whole dataset (``sources.seen_keys``).  It is built by the first such
+    append and kept in the dataset's folder; the batch is written once to the
+    shared checkpoint folder, as it is read twice.
     """
     from ..operators.append import append_new, new_rows
 
     if fmt == "csv":
         return _append_csv(spark, path, new, by, append_new)
     current = read_dataset(spark, path)
-    kept = new if current is None else new_rows(current, new, by)
+    if current is None:
+        kept = new
+    elif indexed:
+        kept = _unseen_by_index(spark, path, current, new, by)
+    else:
+        kept = new_rows(current, new, by)
     obs = Observation("appended")
     kept.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(obs.get["n"])
 
 
+def _unseen_by_index(spark: SparkSession, path: str, current: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    from ..operators.append import KEYS, dedup_rule, keyed, unseen
+    from .seen_keys import SeenKeys
+
+    rule = dedup_rule(current) if by == "auto" else by
+    if rule not in KEYS:
+        return new
+    staged = scratch_path(spark, f"batch-{uuid.uuid4().hex}")
+    new.write.parquet(staged)
+    batch = keyed(spark.read.schema(new.schema).parquet(staged), rule)
+    index = SeenKeys(spark, path, rule)
+    index.sync(current)
+    return unseen(batch, index.known(batch), rule)
+
+
 def _append_csv(spark: SparkSession, path: str, new: DataFrame, by: str, append_new) -> int:
     try:
         current = read_leads_csv(spark, path, internal=False, row_id=True)
