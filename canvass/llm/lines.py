@@ -14,11 +14,13 @@ repeated rows are alike and treated alike; an empty table gives an empty
 result; columns other than the text pass unchanged, and an input column named
 ``n_lines_removed`` is replaced.
 
-Scale: documents' lines are reduced to (line hash, site) pairs within each
-task before any shuffle, so a line that a third of the rows share arrives once
-per site and task.  Only hashes, sites and sketches are shuffled, then the
-text once, when the documents meet their removed line numbers.  Nothing is
-broadcast by hint and nothing reaches the driver.
+Scale: the sketches are built in the tasks that read the text and merged after
+one shuffle of (line hash, sketch), so a line that a third of the rows share
+arrives once per task, whatever its sites.  The few lines near the threshold
+are looked up in a second read and counted exactly; no other pair of line and
+site is shuffled.  The text is shuffled once, when the documents meet their
+removed line numbers.  Nothing is broadcast by hint and nothing reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -49,18 +51,19 @@ def _hash(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int, precision: int = 12) -> DataFrame:
     """One row per boilerplate line: its hash (struct of two longs) as ``line``."""
-    pairs = (docs.select(F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"),
-                         F.explode(F.array_distinct(F.transform(line_parts(F.col(text)), _hash))).alias("line"))
-             .where(F.col("line").isNotNull()).distinct())
-    pairs = stage(pairs, "line-sites")
-    spread = (pairs.groupBy("line").agg(F.hll_sketch_agg("site", precision).alias("sketch"))
+    # A line counts once per text; no pair of line and site is shuffled for the sketches.
+    held = (docs.select(F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"),
+                        F.explode(F.array_distinct(F.transform(line_parts(F.col(text)), _hash))).alias("line"))
+            .where(F.col("line").isNotNull()))
+    spread = (held.groupBy("line").agg(F.hll_sketch_agg("site", precision).alias("sketch"))
               .select("line", F.hll_sketch_estimate("sketch").alias("spread")))
     band = min_sites * BAND_ERRORS * 1.04 / 2 ** (precision / 2) + 1
     spread = stage(spread.where(F.col("spread") > min_sites - band), "line-spread")
     sure = spread.where(F.col("spread") >= min_sites + band).select("line")
     near = spread.where(F.col("spread") < min_sites + band).select("line")
-    exact = (pairs.join(near, "line", "left_semi").groupBy("line")
-             .agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("line"))
+    # Exact counts of the near lines, from a second read; their pairs are reduced in the task.
+    exact = (held.join(near, "line", "left_semi").distinct().groupBy("line")
+             .agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"))
     return stage(sure.unionByName(exact), "boilerplate-lines")
 
 

@@ -89,3 +89,23 @@ def test_stages_of_the_pipeline_take_odd_tables(spark, odd, at):
         assert sum(ids.values()) == odd.count()
     else:
         assert not re.search("CartesianProduct", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_line_dedup_shuffles_no_pairs_of_line_and_site(spark, monkeypatch):
+    """Sketches are merged from the read itself; only near lines meet an exact count."""
+    from canvass.llm import lines
+
+    plans = {}
+
+    def noted(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name, *rest)
+
+    kept = lines.stage
+    monkeypatch.setattr(lines, "stage", noted)
+    # Lines on 9, 10 and 40 sites; the last is decided by its sketch alone.
+    rows = [(i, "forty\n" + ("ten\n" if i < 10 else "") + ("nine\n" if i < 9 else "") + f"own {i}", "x", f"s{i}", 1) for i in range(40)]
+    found = lines.line_dedup(table(spark, rows * 3))
+    assert Counter(r.n_lines_removed for r in found.collect()) == {2: 30, 1: 90}
+    assert plans["line-spread"].count("Aggregate") == 1 and "hllsketchagg" in plans["line-spread"].replace("_", "").lower()
+    assert "LeftSemi" in plans["boilerplate-lines"]
