@@ -160,9 +160,14 @@ def test_decontaminate(spark, texts):
                     hit.update(range(at, at + len(win)))
                     ids |= found
         want.append((d, len(w), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(w)))
-    for bound in (1 << 20, 150):  # one automaton, then several
-        got = decontaminate(make(spark, texts), bench, max_bytes=bound).collect()
+    spans = []
+    for bound in (1 << 20, 400, 150):  # one automaton, then several
+        docs = make(spark, texts).withColumn("__key", F.lit(1)).withColumn("extra", F.create_map("doc_id", F.lit("m")))
+        got = decontaminate(docs, bench, max_bytes=bound).collect()
+        assert all(r["__key"] == 1 and (r.doc_id is None or r.extra == {r.doc_id: "m"}) for r in got)
+        spans.append(sorted((r.doc_id, [tuple(s) for s in r.hit_spans]) for r in got))
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.hit_items, r.contaminated) for r in got) == want
+    assert spans[0] == spans[1] == spans[2] and any(len(x) for _, x in spans[0])
     for r in got:
         covered = [w for s in r.hit_spans for w in norm(r.text[s.start:s.end])]
         assert len(set(covered)) <= r.n_hit <= len(covered) + r.n_words
@@ -170,6 +175,16 @@ def test_decontaminate(spark, texts):
     assert decontaminate(make(spark, ["a"]), bench.limit(0)).first().n_hit == 0
 
 
+def test_shards_join_spans_that_overlap_or_touch(spark):
+    """Each item is a shard of its own; one automaton and many give one span, and copies keep their own columns."""
+    bench = spark.createDataFrame([(1, "aa bb cc dd"), (2, "cc dd ee ff"), (3, "gg hh"), (4, "zz")], "item_id long, text string")
+    docs = make(spark, ["x aa bb cc dd ee ff gg hh y zz zz", "gg hh gg hh", "ee ff", "gg hh gg hh", None, ""])
+    whole, parts = ([tuple(map(str, r)) for r in decontaminate(docs, bench, max_bytes=b).orderBy("doc_id").collect()] for b in (1 << 20, 3))
+    assert whole == parts
+    r = decontaminate(docs, bench, max_bytes=3).orderBy("doc_id").first()
+    assert [tuple(x) for x in r.hit_spans] == [(2, 25), (28, 33)] and (r.n_words, r.n_hit, r.hit_items) == (12, 10, ["1", "2", "3", "4"])
+
+
 def test_spans_name_the_original_characters(spark):
     bench = spark.createDataFrame([(1, "crème brûlée")], "item_id long, text string")
     r = decontaminate(make(spark, ["Ünd CRèME, brûlée!"]), bench).first()
