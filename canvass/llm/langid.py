@@ -21,8 +21,9 @@ Scale: training reads a bounded sample.  What binds is ``dict_bytes`` per
 dictionary (the whole set at most ``MAX_DICT_BYTES``, which bounds the
 broadcast), filled by pieces of ``take`` characters; at most ``sample_docs``
 documents per language, picked by hash, are drawn for it, enough for 64 kB
-unless most texts are short.  Prediction is one
-pass without a shuffle.
+unless most texts are short.  A count per language bounds the hashes that can
+be drawn, so the task that ranks a language gets some 2000 rows of it, however
+many there are.  Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from .common import fresh, row_key, ship
 
 MAX_DICT_BYTES = 64 << 20
 SHORT, COPIES = 256, 8
+#: Rows let through to the ranking of a language, in times of ``sample_docs``: so many that chance, or the
+#: error of the estimated number of keys, never leaves fewer than ``sample_docs``.
+DRAW = 4
 OUTPUT = ("lang_pred", "score", "rejected")
 #: Bytes of lower-cased UTF-8: a-z and non-ASCII stay, the rest become spaces.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -58,8 +62,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     order = Window.partitionBy(lang).orderBy("__h", F.col(key))
     places = F.greatest(F.length(F.col(text)) - take + 1, F.lit(1))
     start = (F.pmod(row_key(F.col(key), seed=1), places) + 1).cast("int")
-    drawn = (rows.select(F.col(lang).alias("lang"), F.col(key), row_key(F.col(key)).alias("__h"),
-                         F.col(text).substr(start, F.lit(take)).alias("text"))
+    # Hashes are even, so a language's least ``sample_docs`` lie below a bound that its number of keys gives:
+    # only rows below ``DRAW`` times that are dealt by language.  The draw is that of all rows.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang"))
+              .agg(F.approx_count_distinct(row_key(F.col(key))).alias("n")).collect()}
+    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, DRAW * sample_docs / max(1, n))))]
+    share = F.create_map(*shares)[F.col(lang)] if counts else F.lit(1.0)
+    place = row_key(F.col(key)).cast("double") / 2.0 ** 64 + 0.5
+    drawn = (rows.where(place <= share)
+             .select(F.col(lang).alias("lang"), F.col(key), row_key(F.col(key)).alias("__h"),
+                     F.col(text).substr(start, F.lit(take)).alias("text"))
              .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample_docs))
     found: dict[str, list] = {}
     for r in drawn.select("lang", "__n", "text").collect():

@@ -109,3 +109,23 @@ def test_line_dedup_shuffles_no_pairs_of_line_and_site(spark, monkeypatch):
     assert Counter(r.n_lines_removed for r in found.collect()) == {2: 30, 1: 90}
     assert plans["line-spread"].count("Aggregate") == 1 and "hllsketchagg" in plans["line-spread"].replace("_", "").lower()
     assert "LeftSemi" in plans["boilerplate-lines"]
+
+
+def test_language_draw_is_that_of_all_rows(spark):
+    """The hash bound before the ranking changes nothing: also with one id for a third of the rows, or for all."""
+    from pyspark.sql import Window
+
+    from canvass.llm import langid
+    from canvass.llm.common import row_key
+
+    rows = [(i if i % 3 else None, f"text number {i} of some length", "ab"[i % 2], "s", 1) for i in range(3000)]
+    for docs in (table(spark, rows), table(spark, [(None, *r[1:]) for r in rows])):
+        got = train(docs, sample_docs=20, take=10_000, dict_bytes=1 << 20)
+        order = Window.partitionBy("lang").orderBy(row_key(F.col("doc_id")), "doc_id")
+        every = docs.withColumn("n", F.row_number().over(order)).where("n <= 20").collect()
+        for k in "ab":
+            want = [r for r in every if r.lang == k]
+            if want[0].doc_id is not None:
+                assert got[k] == b" ".join(langid.letters_of(r.text) for r in sorted(want, key=lambda r: r.n))
+            else:
+                assert len(got[k].split()) == 20 * 5
