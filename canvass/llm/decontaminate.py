@@ -3,7 +3,7 @@
 Texts are normalised (A-Z lowered) and cut into words of ASCII letters, ASCII
 digits and non-ASCII characters.  A window is ``width`` consecutive words of a
 benchmark item; an item of fewer words, but not none, is one window.  All
-windows go into one automaton, each between spaces, and every document is
+windows go into one automaton, word by word, and every document is
 scanned once in normalised form.  Words inside an occurrence are hit.  Word
 spans are mapped back to character offsets of the original text.
 
@@ -15,8 +15,8 @@ a null item id is written as the empty string, so its windows still hit;
 repeated items count once by id; empty tables give zero hits or an empty
 result; input columns named like an output column are replaced by it.
 
-Scale: the automaton reads numbered words, so a window takes ``width`` states
-whatever the length of its words.  Items of up to ``max_bytes`` of text make one
+Scale: the automaton reads words as codes of one to four letters, so a window takes
+few states whatever the length of its words.  Items of up to ``max_bytes`` of text make one
 automaton, which is broadcast, and documents are scanned once and never shuffle.
 The size is measured first: more items are dealt by hash into shards below the
 bound, whose automata scan one after another.  A pass writes its hits only, to
@@ -55,41 +55,54 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 def windows_of(items, width: int):
-    """(number of every item word, from 1; window as numbers -> the ids of the items that hold it)."""
+    """(code of every item word, code of any other word, window in codes -> (its words, ids of the items that hold it)).
+
+    Codes are ``d`` letters: the first out of 64, the others out of 64 more, so
+    a state has at most 64 successors and a match can begin at a word only.
+    """
     numbers: dict[bytes, int] = {}
-    found: dict[tuple, set] = {}
+    held = []
     for item_id, text in items:
-        words = [numbers.setdefault(w, len(numbers) + 1) for w in normal_words((text or "").encode("utf-8", "surrogatepass"))]
+        words = normal_words((text or "").encode("utf-8", "surrogatepass"))
+        for w in words:
+            numbers.setdefault(w, len(numbers))
+        held.append(("" if item_id is None else str(item_id), words))
+    d = 1
+    while 64 ** d < len(numbers):
+        d += 1
+    codes = {w: chr(1 + n % 64) + "".join(chr(65 + n // 64 ** k % 64) for k in range(1, d)) for w, n in numbers.items()}
+    found: dict[str, tuple] = {}
+    for item_id, words in held:
         for at in range(max(1, len(words) - width + 1) if words else 0):
-            found.setdefault(tuple(words[at:at + width]), set()).add("" if item_id is None else str(item_id))
-    return numbers, {w: tuple(sorted(ids)) for w, ids in found.items()}
+            part = words[at:at + width]
+            found.setdefault("".join([codes[w] for w in part]), (len(part), set()))[1].add(item_id)
+    return codes, chr(255) * d, {w: (n, tuple(sorted(ids))) for w, (n, ids) in found.items()}
 
 
 def automaton(windows):
     import ahocorasick
 
-    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, ids in windows.items():
-        a.add_word(window, (len(window), ids))
+    a = ahocorasick.Automaton()
+    for window, found in windows.items():
+        a.add_word(window, found)
     if windows:
         a.make_automaton()
     return a
 
 
-def scan(numbers, a, text: bytes):
+def scan(codes, other: str, a, text: bytes):
     """(number of words, ids, runs of hit words) of one text."""
     normal = text.translate(_NORMAL)
     words = normal.split()
-    # A word of no item is 0, which no window holds.
-    line = tuple([numbers.get(w, 0) for w in words])
-    found = list(a.iter(line)) if len(a) and any(line) else []
+    found = list(a.iter("".join([codes.get(w, other) for w in words]))) if len(a) else []
     if not found:
         return len(words), [], []
     hit = np.zeros(len(words) + 1, np.int32)
     ids: set = set()
-    for last, (n, items) in found:
-        hit[last + 1 - n] += 1
-        hit[last + 1] -= 1
+    for end, (n, items) in found:
+        stop = (end + 1) // len(other)
+        hit[stop - n] += 1
+        hit[stop] -= 1
         ids.update(items)
     at = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
     places = [m.span() for m in re.finditer(rb"[^ ]+", normal)]
@@ -103,11 +116,11 @@ def scan(numbers, a, text: bytes):
 
 def _scanner(column: int, shared):
     def run(batches):
-        numbers, windows = shared.value
+        codes, other, windows = shared.value
         a = automaton(windows)
         for batch in batches:
             texts = batch.column(column).cast(pa.binary())
-            rows = [scan(numbers, a, t.as_py() or b"") for t in texts]
+            rows = [scan(codes, other, a, t.as_py() or b"") for t in texts]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_ARROW)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[n for n, _ in _FIELDS]])
     return run
@@ -158,7 +171,7 @@ def _by_shards(docs: DataFrame, text: str, items: DataFrame, width: int, shards:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", width: int = 13, max_parts: int = 20,
-                  max_bytes: int = 2 << 20) -> DataFrame:
+                  max_bytes: int = 1 << 20) -> DataFrame:
     """Documents with n_words, n_hit, hit_items (sorted), hit_spans and contaminated."""
     docs = docs.drop(*[c for c in OUTPUT if c != text])
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
