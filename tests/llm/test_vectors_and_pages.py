@@ -3,7 +3,7 @@
 import math
 import random
 
-from canvass.llm.mainhtml import blocks, extract, shared_runs
+from canvass.llm.mainhtml import blocks, covering, enough, extract, window_spread
 from canvass.llm.pivots import top_k
 from pyspark.sql import functions as F
 
@@ -51,13 +51,13 @@ def test_huge_components_stay_exact(spark):
     assert search(spark, rows) == brute([(a, b) for a, b, _ in rows], 10, 1024, lambda q: q % 10 == 0)
 
 
-def test_shared_runs_by_brute_force():
+def test_spread_of_runs_by_brute_force():
     import numpy as np
 
     r = np.random.default_rng(1)
     page = np.sort(r.integers(0, 9, 300))
     tokens = r.integers(0, 3, 300)
-    got = shared_runs(tokens, page, 4)
+    got = np.maximum(covering(window_spread(tokens, page, 4), 4), 1)
     for i in range(300):
         best = 1
         for at in range(max(0, i - 3), min(i, 296) + 1):
@@ -144,6 +144,86 @@ def test_sections_named_like_furniture_stay_in_an_article():
     assert blocks("<div id=related-links>f</div><div class=site-search>g</div>") == [("f", 0), ("g", 0)]
 
 
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for piece in ("<a ", '<a x="', '<a x=">" ', "<div>", "<svg>", "<!--", "<!", "<script>", "</x>", "<p><span>", "&#", "class='"):
+        page = piece * (1_000_000 // len(piece))
+        for tail in ("", ">"):
+            start = time.time()
+            blocks(page + tail)
+            assert time.time() - start < 10, piece  # a quadratic scan takes hours
+    blocks("<div>" * 100_000 + "</x>" * 100_000)
+    blocks("<span>" * 50_000 + "<br>" * 50_000)
+
+
+def test_blocks_of_odd_tags():
+    assert blocks('<article>a <svg class="i"/>b<p>c</article>') == [("a b", 3), ("c", 3)]
+    assert blocks("<p>a <svg>b</p><p>c") == [("a b", 1), ("c", 1)] and blocks("<p>c <SVG><text>d</text></SVG> e") == [("c e", 1)]
+    assert blocks("<p>a <noscript>b</p><p>c") == [("a b", 1), ("c", 1)]
+    assert blocks('<p title="class=ad">x</p><p title="a>b">y</p><p it\'s>z\'s</p><p a="q>v') == [(c, 1) for c in ("x", "y", "z's", "v")]
+    assert blocks("<p>a <b c='d") == [("a <b c='d", 1)]
+    assert blocks("İİ<script>x</SCRIPT >ok<textarea><p>n</textarea>") == [("İİok", 1)]
+    assert blocks(f"&#{'9' * 6000}; &#{'0' * 6000}65; &#x{'F' * 6000} &#x0041;&#65 &#;") == [("� A � AA &#;", 1)]
+
+
+def test_main_beside_an_article(spark):
+    text = "The text of the page itself, which is longer than what it announces"
+    rows = [f"<main><h1>Head</h1><p>{text}</p><article>Teaser</article></main>",
+            f"<main><h1>Head</h1><article>{text}</article><section class=related>More</section></main>",
+            f"<main id=app>x</main><article>{text}</article>", f"<article>t</article><main>{text}</main>",
+            f"<article><main>{text}</main><p>after</p></article>", f"<div role=main>{text}<div class=related>r</div></div>"]
+    df = spark.createDataFrame([(i, f"https://h{i}.example/", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in extract(df).collect()}
+    assert got == {0: f"Head\n{text}\nTeaser", 1: f"Head\n{text}", 2: text, 3: text, 4: text, 5: f"{text}\nr"}
+
+
+def brute_force_extract(pages, min_tokens=8, min_pages=10, share=0.1):
+    """Texts of pages of plain blocks: every run of a host counted over its distinct texts."""
+    hosts, out = {}, {}
+    for _, host, lines in pages:
+        hosts.setdefault(host, set()).add("\n".join(lines))
+    for host, texts in hosts.items():
+        counts = {}
+        for t in texts:
+            w = t.split()
+            for run in {tuple(w[i:i + min_tokens]) for i in range(len(w) - min_tokens + 1)}:
+                counts[run] = counts.get(run, 0) + 1
+        limit = enough(len(texts), share, min_pages)
+        for i, own, lines in pages:
+            if own == host:
+                w = " ".join(lines).split()
+                gone = {k for j in range(len(w) - min_tokens + 1) if counts[tuple(w[j:j + min_tokens])] >= limit for k in range(j, j + min_tokens)}
+                kept, at = [], 0
+                for line in lines:
+                    n = len(line.split())
+                    kept.append(" ".join(w[k] for k in range(at, at + n) if k not in gone))
+                    at += n
+                out[i] = "\n".join(k for k in kept if k)
+    return out
+
+
+def test_repetition_by_brute_force_on_hosts_of_any_size(spark):
+    r = random.Random(9)
+    pages = []
+    for host, n in (("two", 2), ("three", 3), ("nine", 9), ("some", 40), ("large", 1500)):
+        notes = [" ".join(f"{host}{k}n{j}" for j in range(r.randrange(6, 15))) for k in range(4)]
+        for i in range(n):
+            own = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(1, 30))) for _ in range(3)]
+            # The notes stand on all, about every sixth, every tenth and every twentieth page; some pages are copies.
+            lines = [note for note, every in zip(notes, (1, 6, 10, 20)) if r.randrange(every) == 0] + own
+            r.shuffle(lines)
+            pages.append((len(pages), host, lines))
+            if r.randrange(5) == 0:
+                pages += [(len(pages) + k, host, lines) for k in range(r.randrange(1, 4))]
+    df = spark.createDataFrame([(i, f"https://{h}.example/{i}", "".join(f"<p>{x}</p>" for x in lines)) for i, h, lines in pages],
+                               "page_id long, url string, html string").repartition(3)
+    want = brute_force_extract(pages)
+    assert any(want[i] != "\n".join(lines) for i, _, lines in pages)
+    for size in (5, 256, 100000):
+        assert {x.page_id: x.text for x in extract(df, pages_per_group=size).collect()} == want
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as c
 
