@@ -41,9 +41,8 @@ hash into groups of about ``pages_per_group`` texts and ``chars_per_group``
 characters; copies are dropped before the shuffle.  Each group's suffix array
 names the runs that are frequent enough there for the host to reach its
 threshold, which loses none (the groups' counts add up), and a second pass counts those
-exactly over all groups of the host, for hosts with pages that can be cut.  So
-results do not depend on the dealing.  Only pages that can be cut, of hosts
-with such runs, move again.
+exactly over all groups of the host.  So results do not depend on the dealing.
+Only pages of hosts with such runs move again.
 """
 
 from __future__ import annotations
@@ -352,8 +351,9 @@ def enough(distinct: int, share: float, min_pages: int) -> int:
 
 
 def cut_runs(text: str, fixed: list[bool], runs: np.ndarray, counts: np.ndarray, limit: int, named: bool,
-             min_tokens: int) -> str:
-    """``text`` without the runs (sorted hashes and their counts) that occur on ``limit`` distinct texts of the host."""
+             min_tokens: int) -> tuple[str, int]:
+    """``text`` without the runs (sorted hashes and their counts) that occur on ``limit`` distinct texts of the host,
+    and the number of tokens in such runs, cut or kept."""
     tokens, owner = _streams([text.encode()])
     at, h = _windows(tokens, owner, min_tokens)
     place = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
@@ -370,7 +370,7 @@ def cut_runs(text: str, fixed: list[bool], runs: np.ndarray, counts: np.ndarray,
             line = " ".join(w for w, g in zip(words, mine) if not g)
         if line:
             kept.append(line)
-    return text if named and 2 * cut > i else "\n".join(kept)
+    return text if named and 2 * cut > i else "\n".join(kept), int(gone.sum())
 
 
 def _parse(batches):
@@ -434,8 +434,9 @@ def _cut(min_tokens: int, min_pages: int, open_share: float, named_share: float,
                                   p["named"], min_tokens) for p in row["pages"]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p["page_id"] for p in row["pages"]], page_type),
-                     pa.array([p["url"] for p in row["pages"]], pa.string()), pa.array(texts, pa.string()),
-                     pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                     pa.array([p["url"] for p in row["pages"]], pa.string()), pa.array([t for t, _ in texts], pa.string()),
+                     pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars", "n_repeated"])
     return run
 
 
@@ -445,25 +446,27 @@ def _whole(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"),
              pa.array([unpack(b).decode() for b in batch.column("body").to_pylist()], pa.string()),
-             batch.column("n_chars")], names=["page_id", "url", "text", "n_chars"])
+             batch.column("n_chars"), pa.array([0] * batch.num_rows, pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_repeated"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_tokens: int = 8,
             min_pages: int = 10, open_share: float = 0.1, named_share: float = 0.5,
             pages_per_group: int = 256, chars_per_group: int = 1 << 21) -> DataFrame:
-    """Per page: page_id, url, text and n_chars.  The last two parameters deal out the work and change no result."""
+    """Per page: page_id, url, text, n_chars and n_repeated, the tokens of its candidate text in runs that enough
+    pages of the host share, whether cut or, in an article, kept.  The last two parameters deal out the work and
+    change no result."""
     ship()
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                      F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1),
                                 F.lit("")).alias("host"))
     id_type = dict(p.dtypes)["page_id"]
-    out = f"page_id {id_type}, url string, text string, n_chars long"
+    out = f"page_id {id_type}, url string, text string, n_chars long, n_repeated long"
     parsed = stage(p.mapInArrow(_parse, f"page_id {id_type}, url string, host string, body binary, n_chars long, "
                                         "fixed array<boolean>, named boolean, salt int"), "html-parsed")
-    loose = F.exists("fixed", lambda stays: ~stays)
     per_host = parsed.groupBy("host").agg(
         F.count_distinct(F.when(F.col("n_chars") > 0, F.xxhash64("body"))).alias("distinct"),
-        F.sum("n_chars").alias("chars"), F.count("*").alias("rows"), F.max(loose).alias("loose"))
+        F.sum("n_chars").alias("chars"), F.count("*").alias("rows"))
     limit = F.greatest(F.lit(3), F.ceil(F.col("distinct") * min(open_share, named_share)),
                        F.least(F.lit(min_pages), F.expr("(distinct + 1) div 2")))
     hosts = stage(per_host
@@ -481,8 +484,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 .groupBy("host", "least", F.pmod(F.xxhash64("body"), F.col("groups")).alias("part"))
                 .agg(F.collect_set("body").alias("bodies")))
 
-    found = (groups(hosts).mapInArrow(_repeated(min_tokens), "host string, run long")
-             .join(hosts.where("loose").select("host"), "host", "left_semi"))
+    found = groups(hosts).mapInArrow(_repeated(min_tokens), "host string, run long")
     runs = stage(found.groupBy("host").agg(F.collect_set("run").alias("runs")), "html-runs")
     counted = (groups(hosts.join(runs, "host", "left_semi")).join(runs, "host")
                .select("host", "bodies", "runs").mapInArrow(_counted(min_tokens), "host string, run long, n long")
@@ -490,13 +492,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                .join(hosts.select("host", "distinct", "chunks", limit.alias("limit")), "host").where("n >= limit")
                .groupBy("host", "distinct", "chunks").agg(F.collect_list(F.struct("run", "n")).alias("runs")))
     templates = stage(counted, "html-templates")
-    named = parsed.withColumn("loose", loose)
-    touched = named.where("loose").join(templates.select("host", "chunks"), "host")
+    touched = parsed.where("n_chars > 0").join(templates.select("host", "chunks"), "host")
     chunked = (touched.groupBy("host", F.pmod(F.xxhash64("page_id", "url", "salt"), F.col("chunks")).alias("chunk"))
                .agg(F.collect_list(F.struct("page_id", "url", "body", "fixed", "named")).alias("pages"))
                .join(templates, "host").select("host", "distinct", "runs", "pages"))
     page_type = to_arrow_type(p.schema["page_id"].dataType)
     cut = chunked.mapInArrow(_cut(min_tokens, min_pages, open_share, named_share, page_type), out)
-    untouched = (named.join(templates.select("host", F.lit(True).alias("templated")), "host", "left")
-                 .where(~F.col("loose") | F.col("templated").isNull()).select("page_id", "url", "body", "n_chars"))
+    untouched = (parsed.join(templates.select("host", F.lit(True).alias("templated")), "host", "left")
+                 .where("n_chars = 0 or templated is null").select("page_id", "url", "body", "n_chars"))
     return untouched.mapInArrow(_whole, out).unionByName(cut)

@@ -122,6 +122,8 @@ def test_a_host_of_mostly_copies_keeps_its_articles(spark):
     host("section", 30, lambda i: f"<article><p>own text {i}</p><p>{shared}</p></article>", lambda i: f"own text {i}\n{shared}")
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {x.page_id: x.text for x in got} == want
+    # Kept in an article, but told: the shared section has thirteen words.
+    assert all(x.n_repeated == 13 for x in got if "/section." in x.url) and sum("/section." in x.url for x in got) == 30
 
 
 def test_blocks_of_broken_markup():
@@ -174,7 +176,9 @@ def test_main_beside_an_article(spark):
             f"<main id=app>x</main><article>{text}</article>", f"<article>t</article><main>{text}</main>",
             f"<article><main>{text}</main><p>after</p></article>", f"<div role=main>{text}<div class=related>r</div></div>"]
     df = spark.createDataFrame([(i, f"https://h{i}.example/", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
-    got = {x.page_id: x.text for x in extract(df).collect()}
+    rows = extract(df).collect()
+    got = {x.page_id: x.text for x in rows}
+    assert all(x.n_repeated == 0 and x.n_chars == len(x.text) for x in rows)
     assert got == {0: f"Head\n{text}\nTeaser", 1: f"Head\n{text}", 2: text, 3: text, 4: text, 5: f"{text}\nr"}
 
 
