@@ -20,7 +20,7 @@ Scale: one pass writes (source, hash, size) per document.  Totals per
 (source, hash bucket) give every bucket its offset in the source's stream, so
 a source of any share of the rows is spread over all buckets.  The documents
 are shuffled once, by (source, bucket).  Single-task steps hold one row per
-source only.
+source, or per stretch of 65536 slots of one.
 """
 
 from __future__ import annotations
@@ -95,14 +95,17 @@ def _blocks(sources: DataFrame, block_words: int, min_blocks: int, max_epochs: i
     return s.withColumn("__low", F.coalesce(F.sum("__quota").over(upto), F.lit(0)))
 
 
-def _schedule(blocks: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def _schedule(blocks: DataFrame, chunk: int = 1 << 16, slots_per_task: int = 1 << 20) -> DataFrame:
     m = blocks.agg(F.sum("__quota")).first()[0] or 0
     g = lattice_step(m) if m else 1
     back = pow(g, -1, m) if m > 1 else 0
     # Point p belongs to the slot i with i * g = p (mod M), so i = p * g^-1; the
-    # product is exact in decimal(38).
+    # product is exact in decimal(38).  The few rows of a source come from one
+    # file, so its stretches are dealt out before they become slots; a given
+    # number of parts is never coalesced by the size of these tiny rows.
     points = (blocks.where("__quota > 0")
               .withColumn("__part", F.explode(F.expr(f"sequence(0, (__quota - 1) div {chunk})")))
+              .repartition(1 + m // slots_per_task, "__src", "__part")
               .withColumn("__in", F.explode(F.expr(
                   f"sequence(__part * {chunk}, least(__quota, (__part + 1) * {chunk}) - 1)"))))
     slot = F.expr(f"cast(cast((__low + __in) as decimal(19,0)) * cast({back} as decimal(19,0)) "

@@ -386,3 +386,22 @@ def test_surrogates_stay_distinct_when_the_space_is_small(spark):
 
 def test_digest_of_no_words():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_slots_of_one_source_are_made_by_many_tasks(spark):
+    from canvass.llm.mixing import _schedule, lattice_step
+
+    quotas = [("sa", 900, 7), ("sb", 90, 40), ("n", 10, 3)]
+    low, rows, want = 0, [], []
+    m = sum(q for _, q, _ in quotas)
+    slot_of = {i * lattice_step(m) % m: i for i in range(m)}
+    for src, quota, n in quotas:
+        rows.append((src, quota, low, n))
+        want += [(slot, src, r // n, r % n) for r, slot in enumerate(sorted(slot_of[low + j] for j in range(quota)))]
+        low += quota
+    blocks = spark.createDataFrame(rows, "__src string, __quota long, __low long, __n long").coalesce(1)
+    for chunk, slots_per_task in ((16, 50), (1 << 16, 1 << 20)):
+        got = _schedule(blocks, chunk, slots_per_task)
+        assert sorted((r["slot"], r["__src"], r["epoch"], r["block"]) for r in got.collect()) == sorted(want)
+    plan = _schedule(blocks, 16, 50)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and ", 21" in plan
