@@ -87,6 +87,11 @@ def _finish(v) -> str:
     return _error_text(v) if isinstance(v, BaseException) else str(v).strip()
 
 
+def _tasks(spark) -> int:
+    """Tasks of a shuffle; asked for by number, they are not merged for being small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
              product_description: str = "", retry_errors: bool = False,
              col: str = "generated_email", batch_rows: int = 1,
@@ -95,8 +100,9 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
 
     ``batch_rows``: prompts per call of ``fn``.  ``partitions``: spreads the
     pending rows over so many tasks, which is also the most calls in flight;
-    without it they stay where they are.  Lazy, and every action runs ``fn``
-    again: write the result once before sorting or reusing it.
+    without it over as many as a shuffle has, as the work is in the calls and
+    not in the bytes that files are split by.  Lazy, and every action runs
+    ``fn`` again: write the result once before sorting or reusing it.
 
     ``journal``: a shared folder of answers by prompt.  The calls then run at
     once, as one job over the distinct prompts the journal does not answer,
@@ -108,8 +114,8 @@ def generate(leads: DataFrame, fn, template: str = DEFAULT_TEMPLATE,
     pending = needs_text(retry_errors, col)
     done = leads.where(~pending)
     todo = leads.where(pending)
-    if partitions:
-        todo = todo.repartition(partitions)
+    if partitions or not journal:  # with a journal ``answer`` spreads the distinct prompts
+        todo = todo.repartition(partitions or _tasks(leads.sparkSession))
     todo = todo.withColumn("_prompt", render_prompt(template, product_description, cols))
     schema = leads.schema
     _ship_by_value(sys.modules[__name__.split(".")[0]])
@@ -184,8 +190,7 @@ def answer(prompts: DataFrame, fn, journal: str, batch_rows: int = 1, partitions
     known = journaled(spark, journal)
     wanted = prompts.groupBy("_hash").agg(F.min("_prompt").alias("_prompt"))
     missing = skew_safe_join(wanted, known.select("_hash"), ["_hash"], "left_anti")
-    if partitions:
-        missing = missing.repartition(partitions, "_hash")
+    missing = missing.repartition(partitions or _tasks(spark), "_hash")
     # A partition must hold the same prompts again when it is repeated, so their order is fixed.
     missing = missing.sortWithinPartitions("_hash")
 
@@ -221,7 +226,7 @@ def answer(prompts: DataFrame, fn, journal: str, batch_rows: int = 1, partitions
 def upper_generator(prompts: pd.Series) -> list[str]:
     """Deterministic stand-in generator (upper-cases the prompt).  Rows whose
     prompt has no company name fail, to exercise per-row error handling."""
-    bad = prompts.str.contains("Business name: N/A", regex=False)
-    if bad.any():
+    texts = prompts.tolist()  # a call has few prompts: pandas' own string methods cost more than the work
+    if any(isinstance(t, str) and "Business name: N/A" in t for t in texts):
         raise ValueError("no company name")
-    return list(prompts.str.upper())
+    return [t.upper() if isinstance(t, str) else None for t in texts]
