@@ -151,3 +151,18 @@ def test_values_cross_the_state_unchanged(spark, tmp_path):
     f.run()
     got = {r.row_id: tuple(r) for r in spark.read.parquet(f.target).select("row_id", "company_name", "company_address", "maps_url", "rating", "opened").collect()}
     assert got == {BIG: item, -1: (-1, None, "", "v", float("inf"), None)}
+
+
+def test_rows_stay_in_the_jvm_and_all_rows_of_a_key_meet(spark, tmp_path):
+    """No Python call a key; a key of half the batch passes whole, or not at all once it is known."""
+    f = Flow(spark, tmp_path)
+    f.table(rows((0, "A", "x", "u0")))
+    f.arrive("b1", rows(*[(i, "N", "y", "hot" if i % 2 else f"v{i}") for i in range(1, 101)], (200, "A", "x", "u0")))
+    q = f.run()
+    assert f.ids() == list(range(101))
+    assert "Pandas" not in q._jsq.explainInternal(True)
+    f.arrive("b2", rows(*[(300 + i, "N", "y", "hot") for i in range(50)], (400, "D", "z", "w")))
+    f.run()
+    assert f.ids() == [*range(101), 400]
+    left = [n for n in files.names(spark, f.target + "/_appends") if n]
+    assert not any(n.startswith(("batch", "arrived")) for h in left for n in files.names(spark, f"{f.target}/_appends/{h}"))
