@@ -14,11 +14,15 @@ more than ``crowd`` names share is refined: the key also takes the text before
 it with up to i characters deleted and the text after it with up to k - i
 deleted.  Two texts within d edits share such a variant, so the refined join
 is exact too, and the names it brings together are at most 2k edits apart.
-``crowd`` moves work, never results.
+``crowd`` moves work, never results.  As variants are many, what is shuffled for
+one is a hash of the key and the name; keys of equal hash only make a pair more
+to be decided.
 
 Each distinct (name, address) is looked up once, and only if the catalogue
-does not hold it; the best candidate per key is a partial-aggregating
-``min(struct)``; leads then meet their key's answer in one skew-safe join.
+does not hold it: first within one edit, then those not found within two, then
+within three, as a place nearer by hides all that are farther.  The best
+candidate per key is a partial-aggregating ``min(struct)``; leads then meet their
+key's answer in one skew-safe join.
 """
 
 from __future__ import annotations
@@ -31,7 +35,6 @@ from pyspark.sql import functions as F
 from .lookup import KEY_COLS, PLACE_PAYLOAD, with_key
 from .skew import skew_safe_join
 
-PROBE = ["_ka", "_len", "_i", "_seg"]
 MAX_EDITS = 3
 
 
@@ -51,64 +54,66 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
 
 
-def _piece(name: Column, i: int, start: Column, size: Column) -> Column:
-    return F.struct(F.lit(i).alias("_i"), name.substr(start + 1, size).alias("_seg"),
-                    name.substr(F.lit(1), start).alias("_left"),
-                    name.substr(start + size + 1, F.length(name)).alias("_right"))
-
-
-def _piece_at(name: Column, i: int, size: Column, start: Column) -> Column:
-    return _piece(name, i, start, size)
+def _piece(name: Column, length: Column, i: int, size: Column, start: Column) -> Column:
+    """Segment i of a name of ``length``, as it stands at ``start``: a hash of what it must share, and where it is."""
+    shared = F.xxhash64(F.col("_ka"), length, F.lit(i), name.substr(start + 1, size))
+    return F.struct(shared.alias("_b"), F.lit(i).alias("_i"), start.alias("_at"), size.alias("_size"))
 
 
 def index_segments(names: DataFrame, k: int) -> DataFrame:
-    """A row per name and segment: ``PROBE`` columns, the texts around it, the name."""
-    name, length = F.col("_kn"), F.col("_len")
-    pieces = F.array(*[_piece(name, i, *_segment(length, i, k)) for i in range(k + 1)])
-    return (names.select("_kn", "_ka", F.length(name).alias("_len"))
-            .select("_ka", "_len", F.explode(pieces).alias("_p"), F.col("_kn").alias("_ckn"))
-            .select("_ka", "_len", "_p.*", "_ckn"))
+    """A row per name and segment: ``_b`` (hash of address, length, i, segment), the segment's place, the name."""
+    name, length = F.col("_kn"), F.length("_kn")
+    pieces = []
+    for i in range(k + 1):
+        start, size = _segment(length, i, k)
+        pieces.append(_piece(name, length, i, size, start))
+    return names.select(F.explode(F.array(*pieces)).alias("_p"), F.col("_kn").alias("_ckn")).select("_p.*", "_ckn")
 
 
-def probe_segments(names: DataFrame, k: int) -> DataFrame:
-    """A row per name, length of a name within k edits, and place that one of its segments can stand at."""
+def probe_segments(leads: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """A row per name, length of a name within k edits that its address has, and place that a segment of it can stand at."""
+    held = names.groupBy("_ka").agg(F.collect_set(F.length("_kn")).alias("_lens"))
+    leads = skew_safe_join(leads, held, ["_ka"], "inner")
     name, length = F.col("_kn"), F.col("_len")
     own = F.length(name)
-    none = F.array().cast("array<struct<_i:int,_seg:string,_left:string,_right:string>>")
+    none = F.array().cast("array<struct<_b:bigint,_i:int,_at:int,_size:int>>")
     pieces = []
     for i in range(k + 1):
         start, size = _segment(length, i, k)
         longer = own - length
         low = F.greatest(start - i, start + longer - (k - i), F.lit(0))
         high = F.least(start + i, start + longer + (k - i), own - size)
-        pieces.append(F.when(low <= high, F.transform(F.sequence(low, high), partial(_piece_at, name, i, size))).otherwise(none))
-    lengths = F.sequence(F.greatest(own - k, F.lit(1)), own + k)
-    return (names.select("_kn", "_ka", F.explode(lengths).alias("_len"))
-            .select("_kn", "_ka", "_len", F.explode(F.flatten(F.array(*pieces))).alias("_p"))
-            .select("_kn", "_ka", "_len", "_p.*"))
-
-
-def _refined(segments: DataFrame, k: int) -> DataFrame:
-    """``segments`` once for each pair of variants of the texts before and after the segment."""
-    def by_segment(side: str, edits) -> Column:
-        out = F.when(F.col("_i") == 0, deletion_variants(F.col(side), edits(0)))
-        for i in range(1, k + 1):
-            out = out.when(F.col("_i") == i, deletion_variants(F.col(side), edits(i)))
+        pieces.append(F.when(low <= high, F.transform(F.sequence(low, high), partial(_piece, name, length, i, size))).otherwise(none))
+    lengths = F.filter("_lens", lambda n: (n > 0) & (F.abs(n - own) <= k))
+    return (leads.select("_kn", "_ka", F.explode(lengths).alias("_len"))
+            .select("_kn", "_ka", F.explode(F.flatten(F.array(*pieces))).alias("_p"))
+            .select("_kn", "_ka", "_p.*"))
+
+
+def _keyed(segments: DataFrame, crowded: DataFrame, k: int, col: str) -> DataFrame:
+    """``segments`` with their join key ``_h``; those of a crowded segment once for each pair of variants of the texts around it."""
+    name = F.col(col)
+
+    def variants(text: Column, edits) -> Column:
+        out = F.when(F.col("_crowded").isNull(), F.array(F.lit("")))
+        for i in range(k + 1):
+            out = out.when(F.col("_i") == i, deletion_variants(text, edits(i)))
         return out
 
-    return (segments.withColumn("_lv", F.explode(by_segment("_left", lambda i: i)))
-            .withColumn("_rv", F.explode(by_segment("_right", lambda i: k - i))).drop("_left", "_right"))
+    marked = skew_safe_join(segments, crowded.withColumn("_crowded", F.lit(True)), ["_b"], "left")
+    return (marked.withColumn("_lv", F.explode(variants(name.substr(F.lit(1), F.col("_at")), lambda i: i)))
+            .withColumn("_rv", F.explode(variants(name.substr(F.col("_at") + F.col("_size") + 1, F.length(name)), lambda i: k - i)))
+            .withColumn("_h", F.when(F.col("_crowded"), F.xxhash64("_b", "_lv", "_rv")).otherwise(F.col("_b")))
+            .drop("_b", "_i", "_at", "_size", "_crowded", "_lv", "_rv"))
 
 
 def candidates(leads: DataFrame, names: DataFrame, k: int, crowd: int = 64) -> DataFrame:
     """(``_kn``, ``_ka``, ``_ckn``) pairs, repeats included: all within k edits at one address are among them."""
-    index, probes = index_segments(names, k), probe_segments(leads, k)
+    index = index_segments(names, k)
     # Counts leave the map tasks as partial sums: a crowded segment is a row per task.
-    crowded = index.groupBy(*PROBE).count().where(F.col("count") > crowd).select(*PROBE)
-    plain = probes.join(skew_safe_join(index, crowded, PROBE, "left_anti").drop("_left", "_right"), PROBE)
-    fine = (_refined(skew_safe_join(probes, crowded, PROBE, "left_semi"), k)
-            .join(_refined(skew_safe_join(index, crowded, PROBE, "left_semi"), k), [*PROBE, "_lv", "_rv"]))
-    return plain.select("_kn", "_ka", "_ckn").unionByName(fine.select("_kn", "_ka", "_ckn"))
+    crowded = index.groupBy("_b").count().where(F.col("count") > crowd).select("_b")
+    return (_keyed(probe_segments(leads, names, k), crowded, k, "_kn")
+            .join(_keyed(index, crowded, k, "_ckn"), "_h").select("_kn", "_ka", "_ckn"))
 
 
 def nearest(keys: DataFrame, catalogue: DataFrame, max_distance: int, payload=PLACE_PAYLOAD,
@@ -129,19 +134,27 @@ def nearest(keys: DataFrame, catalogue: DataFrame, max_distance: int, payload=PL
         *KEY_COLS, *payload, F.col("_kn").alias("matched_name"), F.lit(0).alias("distance"))
     if not max_distance:
         return exact
-    missing = wanted.join(cat.select(*KEY_COLS), KEY_COLS, "left_anti")
-    pairs = (candidates(missing, cat.select(*KEY_COLS), max_distance, crowd)
-             .withColumn("distance", F.levenshtein("_kn", "_ckn", max_distance))
+    found, left = exact, wanted
+    for d in range(1, max_distance + 1):
+        left = left.join((cat if d == 1 else best).select(*KEY_COLS), KEY_COLS, "left_anti")
+        best = _best_within(left, cat, d, payload, crowd)
+        found = found.unionByName(best)
+    return found
+
+
+def _best_within(keys: DataFrame, cat: DataFrame, d: int, payload: list[str], crowd: int) -> DataFrame:
+    """The best place within ``d`` edits of each of ``keys`` that has one."""
+    pairs = (candidates(keys, cat.select(*KEY_COLS), d, crowd)
+             .withColumn("distance", F.levenshtein("_kn", "_ckn", d))
              .where(F.col("distance") >= 0))
     # Names first, places after: the variants carry no payload, and of equally near names all meet their place.
     near = pairs.groupBy(*KEY_COLS, "_ckn").agg(F.min("distance").alias("distance"))
     places = cat.withColumnRenamed("_kn", "_ckn")
-    best = (near.join(places, ["_ckn", "_ka"]).groupBy(*KEY_COLS)
+    return (near.join(places, ["_ckn", "_ka"]).groupBy(*KEY_COLS)
             .agg(F.min(F.struct("distance", F.col("review_count").isNull().alias("_rn"), (-F.col("review_count")).alias("_rc"),
                                 F.col("place_id").alias("_pid"), *payload, "_ckn")).alias("_b"))
             .select(*KEY_COLS, *[F.col("_b." + p).alias(p) for p in payload],
                     F.col("_b._ckn").alias("matched_name"), F.col("_b.distance").alias("distance")))
-    return exact.unionByName(best)
 
 
 def fuzzy_lookup(leads: DataFrame, catalogue: DataFrame, max_distance: int = 1,
