@@ -110,10 +110,11 @@ def _keyed(segments: DataFrame, crowded: DataFrame, k: int, col: str) -> DataFra
 def candidates(leads: DataFrame, names: DataFrame, k: int, crowd: int = 64) -> DataFrame:
     """(``_kn``, ``_ka``, ``_ckn``) pairs, repeats included: all within k edits at one address are among them."""
     index = index_segments(names, k)
+    # A merge join by hint: planned from the few rows that they are made of, the variants of one side would be broadcast.
     # Counts leave the map tasks as partial sums: a crowded segment is a row per task.
     crowded = index.groupBy("_b").count().where(F.col("count") > crowd).select("_b")
     return (_keyed(probe_segments(leads, names, k), crowded, k, "_kn")
-            .join(_keyed(index, crowded, k, "_ckn"), "_h").select("_kn", "_ka", "_ckn"))
+            .join(_keyed(index, crowded, k, "_ckn").hint("merge"), "_h").select("_kn", "_ka", "_ckn"))
 
 
 def nearest(keys: DataFrame, catalogue: DataFrame, max_distance: int, payload=PLACE_PAYLOAD,

@@ -113,3 +113,14 @@ def test_enrichment_falls_back_to_the_nearest_name(spark):
     assert full == {1: ("u1", None), 2: ("u1", None), 3: ("u1", None), 4: (None, lost), 5: (None, "Missing business name or address")}
     assert {r.row_id: r.review_count for r in enrich_reviews(leads, places, fuzzy=2).collect()} == {1: 7, 2: 7, 3: 7, 4: None, 5: None}
     assert [r.error for r in enrich_leads(leads.where("row_id = 2"), places).collect()] == [lost]
+
+
+def test_variants_are_never_broadcast(spark):
+    """Names of a small table make few bytes, their variants many: no join of these may be planned from the former."""
+    df = spark.createDataFrame([(f"customer#{i * 7919 % 10 ** 9:09}", "") for i in range(500)], "_kn string, _ka string")
+    out = candidates(df, df, 2, crowd=8).repartition(1)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*(_h|_lv)#", plan)
+    assert re.search(r"SortMergeJoin[^\[]*\[[^\]]*(_h|_lv)#", plan)
