@@ -9,33 +9,41 @@ that can be that segment, and an equi-join on (address, length, i, segment)
 finds every pair within k edits.  ``levenshtein`` then decides each pair.
 
 Names of one address often share a segment ('dental', or 'customer#' in a
-generated table; a blank address holds names of everywhere).  A segment that
-more than ``crowd`` names share is refined: the key also takes the text before
-it with up to i characters deleted and the text after it with up to k - i
-deleted.  Two texts within d edits share such a variant, so the refined join
-is exact too, and the names it brings together are at most 2k edits apart.
-``crowd`` moves work, never results.  As variants are many, what is shuffled for
-one is a hash of the key and the name; keys of equal hash only make a pair more
-to be decided.
+generated table; a blank address holds names of everywhere).  Addresses of more
+than ``crowd`` names are therefore searched in memory (``spelling``): the names
+and leads of an address are cut into parts of about ``CELL`` characters, and a
+task takes the cell of one part of each.  So a name is shuffled once for each part of the leads
+of its address, a lead once for each part of the names, and never for a variant
+of its spelling.  ``crowd`` and ``CELL`` move work, never results.
+
+``candidates`` alone serves addresses of any size: it refines a segment that more
+than its own ``crowd`` names share.  The key then also takes the text before
+the segment with up to i characters deleted and the text after it with up to
+k - i deleted.  Two texts within d edits share such a variant, so the refined join
+is exact too, and the names it brings together are at most 2k edits apart.  As
+variants are many (up to 1,350 of an 18-letter name at k = 3), what is shuffled for one
+is a hash of the key and the name; keys of equal hash only make a pair more to be decided.
 
 Each distinct (name, address) is looked up once, and only if the catalogue
-does not hold it: first within one edit, then those not found within two, then
-within three, as a place nearer by hides all that are farther.  The best
-candidate per key is a partial-aggregating ``min(struct)``; leads then meet their
-key's answer in one skew-safe join.
+does not hold it.  The best candidate per key is a partial-aggregating
+``min(struct)``; leads then meet their key's answer in one skew-safe join.
 """
 
 from __future__ import annotations
 
+import sys
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .generate import _ship_by_value, _tasks
 from .lookup import KEY_COLS, PLACE_PAYLOAD, with_key
 from .skew import skew_safe_join
+from .spelling import searcher
 
 MAX_EDITS = 3
+CELL = 1 << 22  # characters of an address's names, and of its leads, that one task searches
 
 
 def deletion_variants(c: Column, d: int) -> Column:
@@ -90,8 +98,10 @@ def probe_segments(leads: DataFrame, names: DataFrame, k: int) -> DataFrame:
             .select("_kn", "_ka", "_p.*"))
 
 
-def _keyed(segments: DataFrame, crowded: DataFrame, k: int, col: str) -> DataFrame:
+def _keyed(segments: DataFrame, crowded: DataFrame | None, k: int, col: str) -> DataFrame:
     """``segments`` with their join key ``_h``; those of a crowded segment once for each pair of variants of the texts around it."""
+    if crowded is None:
+        return segments.withColumnRenamed("_b", "_h").drop("_i", "_at", "_size")
     name = F.col(col)
 
     def variants(text: Column, edits) -> Column:
@@ -107,12 +117,14 @@ def _keyed(segments: DataFrame, crowded: DataFrame, k: int, col: str) -> DataFra
             .drop("_b", "_i", "_at", "_size", "_crowded", "_lv", "_rv"))
 
 
-def candidates(leads: DataFrame, names: DataFrame, k: int, crowd: int = 64) -> DataFrame:
-    """(``_kn``, ``_ka``, ``_ckn``) pairs, repeats included: all within k edits at one address are among them."""
+def candidates(leads: DataFrame, names: DataFrame, k: int, crowd: int | None = 64) -> DataFrame:
+    """(``_kn``, ``_ka``, ``_ckn``) pairs, repeats included: all within k edits at one address are among them.
+
+    ``crowd`` None refines no segment: for addresses of few names."""
     index = index_segments(names, k)
     # A merge join by hint: planned from the few rows that they are made of, the variants of one side would be broadcast.
     # Counts leave the map tasks as partial sums: a crowded segment is a row per task.
-    crowded = index.groupBy("_b").count().where(F.col("count") > crowd).select("_b")
+    crowded = None if crowd is None else index.groupBy("_b").count().where(F.col("count") > crowd).select("_b")
     return (_keyed(probe_segments(leads, names, k), crowded, k, "_kn")
             .join(_keyed(index, crowded, k, "_ckn").hint("merge"), "_h").select("_kn", "_ka", "_ckn"))
 
@@ -135,25 +147,56 @@ def nearest(keys: DataFrame, catalogue: DataFrame, max_distance: int, payload=PL
         *KEY_COLS, *payload, F.col("_kn").alias("matched_name"), F.lit(0).alias("distance"))
     if not max_distance:
         return exact
-    found, left = exact, wanted
-    for d in range(1, max_distance + 1):
-        left = left.join((cat if d == 1 else best).select(*KEY_COLS), KEY_COLS, "left_anti")
-        best = _best_within(left, cat, d, payload, crowd)
-        found = found.unionByName(best)
-    return found
-
-
-def _best_within(keys: DataFrame, cat: DataFrame, d: int, payload: list[str], crowd: int) -> DataFrame:
-    """The best place within ``d`` edits of each of ``keys`` that has one."""
-    pairs = (candidates(keys, cat.select(*KEY_COLS), d, crowd)
-             .withColumn("distance", F.levenshtein("_kn", "_ckn", d))
+    parts = F.ceil(F.sum(F.length("_kn") + 1) / CELL)
+    held = (cat.groupBy("_ka").agg(F.count("*").alias("_names"), parts.alias("_nparts"))
+            .join(wanted.groupBy("_ka").agg(parts.alias("_lparts")), "_ka"))
+    left = skew_safe_join(wanted.join(cat.select(*KEY_COLS), KEY_COLS, "left_anti"), held, ["_ka"], "inner")
+    names = skew_safe_join(cat.select(*KEY_COLS, *_rank()), held, ["_ka"], "inner")
+    few = F.col("_names") <= crowd
+    near = (_near_by_segments(left.where(few).select(*KEY_COLS), names.where(few).select(*KEY_COLS), max_distance)
+            .unionByName(_near_in_memory(left.where(~few), names.where(~few), max_distance)))
+    return exact.unionByName(_best(near, cat, payload))
+
+
+def _rank() -> list[Column]:
+    """Of equally near places the one least in these is the best."""
+    return [F.col("review_count").isNull().alias("_rn"), (-F.col("review_count")).alias("_rc"), F.col("place_id").alias("_pid")]
+
+
+def _near_by_segments(leads: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """(``_kn``, ``_ka``, ``_ckn``, ``distance``) of all names within ``k`` edits, for addresses of few names."""
+    pairs = (candidates(leads, names, k, None)
+             .withColumn("distance", F.levenshtein("_kn", "_ckn", k))
              .where(F.col("distance") >= 0))
-    # Names first, places after: the variants carry no payload, and of equally near names all meet their place.
-    near = pairs.groupBy(*KEY_COLS, "_ckn").agg(F.min("distance").alias("distance"))
+    return pairs.groupBy(*KEY_COLS, "_ckn").agg(F.min("distance").alias("distance"))
+
+
+def _near_in_memory(leads: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """(``_kn``, ``_ka``, ``_ckn``, ``distance``) of the best name of each cell that has one within ``k`` edits of the lead."""
+    part = F.xxhash64("_kn")
+
+    def cells(df: DataFrame, own: Column, others: Column, of_lead: bool) -> DataFrame:
+        every = df.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+        at = [F.pmod(part, own), F.col("_other")]
+        return every.withColumns({"_cell": F.xxhash64("_ka", *(at if of_lead else at[::-1])), "_lead": F.lit(of_lead)})
+
+    rows = cells(names, F.col("_nparts"), F.col("_lparts"), False).unionByName(
+        cells(leads, F.col("_lparts"), F.col("_nparts"), True), allowMissingColumns=True)
+    # A cell's names come first, the better places before the others.  Asked for by number, the tasks are not merged: the work is not in the bytes.
+    ordered = (rows.repartition(_tasks(leads.sparkSession), "_cell").sortWithinPartitions("_cell", "_lead", "_ka", "_rn", "_rc", "_pid")
+               .select("_cell", "_lead", F.col("_ka").cast("binary").alias("_ka"), F.col("_kn").cast("binary").alias("_kn")))
+    _ship_by_value(sys.modules[__name__.split(".")[0]])
+    texts = ["_kn", "_ka", "_ckn"]
+    return (ordered.mapInArrow(searcher(k), "_kn binary, _ka binary, _ckn binary, distance int")
+            .select(*[F.col(c).cast("string").alias(c) for c in texts], "distance"))
+
+
+def _best(near: DataFrame, cat: DataFrame, payload: list[str]) -> DataFrame:
+    """The best place of each key among the names ``near`` it."""
+    # Names first, places after: of equally near names all meet their place.
     places = cat.withColumnRenamed("_kn", "_ckn")
     return (near.join(places, ["_ckn", "_ka"]).groupBy(*KEY_COLS)
-            .agg(F.min(F.struct("distance", F.col("review_count").isNull().alias("_rn"), (-F.col("review_count")).alias("_rc"),
-                                F.col("place_id").alias("_pid"), *payload, "_ckn")).alias("_b"))
+            .agg(F.min(F.struct("distance", *_rank(), *payload, "_ckn")).alias("_b"))
             .select(*KEY_COLS, *[F.col("_b." + p).alias(p) for p in payload],
                     F.col("_b._ckn").alias("matched_name"), F.col("_b.distance").alias("distance")))
 

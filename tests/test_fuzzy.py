@@ -3,11 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from canvass.operators import fuzzy, spelling
 from canvass.operators.fuzzy import candidates, deletion_variants, fuzzy_lookup
 from canvass.operators.lookup import catalogue_by_key
 from canvass.plans.enrich import enrich_leads, enrich_reviews
@@ -124,3 +127,62 @@ def test_variants_are_never_broadcast(spark):
     assert "isFinalPlan=true" in plan
     assert not re.search(r"BroadcastHashJoin \[[^\]]*(_h|_lv)#", plan)
     assert re.search(r"SortMergeJoin[^\[]*\[[^\]]*(_h|_lv)#", plan)
+
+
+@pytest.mark.parametrize("letters", ["ab", "0123456789", "abé\U0001F600"])
+@pytest.mark.parametrize("rows", [1, 1 << 18])
+def test_search_in_memory_by_brute_force(monkeypatch, letters, rows):
+    """The first of the nearest names of the lead's own group, however few places are looked at together."""
+    monkeypatch.setattr(spelling, "ROWS", rows)
+    r = random.Random(rows)
+    for most in (4, 8, 14):
+        names, leads = list(dict.fromkeys(words(r, 40, letters, most))), words(r, 30, letters, most)
+        groups, own = [r.randrange(2) for _ in names], [r.randrange(3) for _ in leads]
+        for k in (1, 2, 3):
+            at, distance = spelling.nearest_names(names, np.array(groups), leads, np.array(own), k)
+            for i, lead in enumerate(leads):
+                near = [(edits(lead, n), j) for j, n in enumerate(names) if groups[j] == own[i] and edits(lead, n) <= k]
+                assert (distance[i], at[i]) == min(near, default=(-1, -1))
+
+
+def test_cells_stay_whole_over_batches(monkeypatch):
+    monkeypatch.setattr(spelling, "TOGETHER", 4)
+    cells = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5]
+    for size in range(1, 14):
+        batches = [pa.RecordBatch.from_pydict({"_cell": cells[i:i + size]}) for i in range(0, len(cells), size)]
+        tables = [t["_cell"].to_pylist() for t in spelling._whole_groups([pa.RecordBatch.from_pydict({"_cell": pa.array([], pa.int64())}), *batches])]
+        assert sum(tables, []) == cells
+        assert all(not set(a) & set(b) for a, b in zip(tables, tables[1:]))
+
+
+@pytest.mark.parametrize("cell", [40, 1 << 22])
+def test_crowded_addresses_by_brute_force(spark, monkeypatch, cell):
+    """Names and leads of an address in one cell or in many: the same places, the best of equally near ones."""
+    monkeypatch.setattr(fuzzy, "CELL", cell)
+    r = random.Random(5)
+    names = sorted({f"shop #{r.randrange(3000):04}" for _ in range(60)})
+    places = [(f"p{i:03}", n, a, 1.0, r.choice([None, 3, 5]), "u") for i, n in enumerate(names) for a in r.sample(["", "x", "y"], 2)]
+    leads = [(i, n + r.choice(["", "x"]), r.choice(["", "x", "y", "z"])) for i, n in enumerate(f"shop #{r.randrange(3000):04}" for _ in range(80))]
+    got = {x.row_id: (x.place_id, x.distance) for x in fuzzy_lookup(
+        spark.createDataFrame(leads, LEADS), catalogue_by_key(spark.createDataFrame(places, PLACES)), 3, crowd=20).collect()}
+    assert got == {i: best((i, n, a), places, 3) for i, n, a in leads}
+
+
+def records_shuffled(plan):
+    """Rows that the shuffles of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return records_shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return records_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(records_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_variants_are_never_shuffled(spark):
+    """Names of one address that differ in a few digits: each is shuffled a few times, not for each of its variants."""
+    places = [(f"p{i}", f"customer#{i * 7919 % 10 ** 9:09}", "x", 1.0, i, "u") for i in range(300)]
+    leads = [(i, f"kuzdomer#{i * 7919 % 10 ** 9:09}", "x") for i in range(300)]
+    out = fuzzy_lookup(spark.createDataFrame(leads, LEADS), catalogue_by_key(spark.createDataFrame(places, PLACES)), 3)
+    assert {(x.place_id, x.distance) for x in out.collect()} == {(f"p{i}", 3) for i in range(300)}
+    assert 0 < records_shuffled(out._jdf.queryExecution().executedPlan()) < 40 * 600
